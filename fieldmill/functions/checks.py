@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldmill.functions.text import col_of, utrim
+from fieldmill.functions.text import col_of, let, utrim
 
 # Check-digit weights.
 IK_WEIGHTS = [2, 1, 2, 1, 2, 1]             # institution id, digits 3..8
@@ -33,6 +33,10 @@ def ik_clean(c) -> Column:
 
 def ik_check_ok(s: Column) -> Column:
     """``s`` is 9 ASCII digits and digit 9 equals the weighted sum mod 10."""
+    return let(s, _ik_check_ok)
+
+
+def _ik_check_ok(s: Column) -> Column:
     total = None
     for i, w in enumerate(IK_WEIGHTS):
         term = _cross(_digit(s, 3 + i), w)
@@ -49,6 +53,10 @@ def validate_ik(c) -> Column:
 
 def kvnr_check_ok(s: Column) -> Column:
     """``s`` is letter + 9 digits with a valid check digit (letter A=01..Z=26)."""
+    return let(s, _kvnr_check_ok)
+
+
+def _kvnr_check_ok(s: Column) -> Column:
     code = F.ascii(F.substring(s, 1, 1)) - 64
     digits = [F.floor(code / 10).cast("int"), F.pmod(code, F.lit(10))] + [_digit(s, p) for p in range(2, 10)]
     total = None
@@ -72,13 +80,17 @@ def repair_kvnr(c) -> Column:
     """struct(fixed, value): one confusion fix, accepted only if the check
     digit then holds.  Fixes: letter+'O'... -> letter+'0'...; a leading
     ``0 1 ) ( = /`` before 9 digits -> ``O I O I P U``."""
-    v = kvnr_clean(c)
+    return let(kvnr_clean(c), _repair)
+
+
+def _repair(v: Column) -> Column:
     cand = (F.when((F.length(v) == 10) & v.rlike("^[A-Z]O"),
                    F.concat(F.substring(v, 1, 1), F.lit("0"), F.substring(v, 3, 8)))
             .when((F.length(v) == 10) & v.rlike(r"^[01)(=/][0-9]{9}$"),
                   F.concat(F.translate(F.substring(v, 1, 1), "01)(=/", "OIOIPU"), F.substring(v, 2, 9))))
-    fixed = F.coalesce(cand.isNotNull() & kvnr_check_ok(cand), F.lit(False))
-    return F.struct(fixed.alias("fixed"), F.when(fixed, cand).otherwise(v).alias("value"))
+    return let(cand, lambda cd: let(F.coalesce(cd.isNotNull() & kvnr_check_ok(cd), F.lit(False)),
+                                    lambda fixed: F.struct(fixed.alias("fixed"),
+                                                           F.when(fixed, cd).otherwise(v).alias("value"))))
 
 
 # E-mail: a documented syntax subset (no DNS).  Local part: dot-separated

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldmill.functions.text import col_of, is_empty_token, utrim
+from fieldmill.functions.text import col_of, is_empty_token, let, utrim
 
 _TIME = r"(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?"
 DOT4 = rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{4}}){_TIME}$"
@@ -26,9 +26,8 @@ ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
 def _num(v: Column, pat: str, i: int) -> Column:
-    # digits only, so ascii arithmetic via cast is safe; regexp_extract returns ''
-    # on no match and we only use it under a matching branch.
-    return F.regexp_extract(v, pat, i).cast("int")
+    # regexp_extract gives '' on no match: try_cast keeps ANSI mode quiet
+    return F.regexp_extract(v, pat, i).try_cast("int")
 
 
 def iso_parts(v: Column) -> tuple[Column, Column, Column]:
@@ -64,12 +63,15 @@ def format_date(c, fallback: str | None = None) -> Column:
     if fallback:
         v = F.when(empty, F.lit(fallback)).otherwise(v)
         empty = F.lit(False)
+    return F.when(~empty, let(v, _to_iso))
+
+
+def _to_iso(v: Column) -> Column:
     y, m, d = iso_parts(v)
     iso = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"),
                       F.lpad(d.cast("string"), 2, "0"))
     ok = y.isNotNull() & F.try_to_date(iso, "yyyy-MM-dd").isNotNull()
-    out = F.when(v.rlike(ISO), v).when(ok, iso).otherwise(v)
-    return F.when(~empty, out)
+    return F.when(v.rlike(ISO), v).when(ok, iso).otherwise(v)
 
 
 def date_parsed(c) -> Column:

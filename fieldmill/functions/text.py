@@ -32,6 +32,16 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    Rules such as check digits read their input a dozen times; inlining a
+    non-trivial input that often makes the expression tree grow with every
+    nesting level.  A one-element ``transform`` binds it once instead.
+    """
+    return F.element_at(F.transform(F.array(col_of(value)), fn), 1)
+
+
 def utrim(c) -> Column:
     """Strip Unicode whitespace at both ends (Spark's trim() strips spaces only)."""
     return F.regexp_replace(col_of(c), _TRIM, "")
@@ -188,7 +198,10 @@ def split_title(c) -> Column:
     The title must be followed by whitespace; a value that is nothing but a
     title is left alone.
     """
-    v = utrim(col_of(c))
+    return let(utrim(col_of(c)), _split_title)
+
+
+def _split_title(v: Column) -> Column:
     lv = F.lower(v)
     only_title = lv.isin([t.lower() for t in TITLES])
     title = F.lit("")
