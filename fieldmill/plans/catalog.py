@@ -503,3 +503,397 @@ def q_read_payer_dim(spark, sf):
     path = scratch_path(spark, "payers")
     _write_lines(I.derived(spark, sf, I.PAYER_LINES, ["part"]), path)
     return dims.read_payer_dim(spark, path).select("line", "ik", "name")
+
+
+# ============================================================ reports
+
+
+_FLAG_MAP = [Checked("kv", "p_vnr", 40, "validate_kvnr"), Checked("ik", "p_ik", 40, "validate_ik"),
+             Checked("mail", "p_email", 60, "validate_email"), Checked("street", "p_street", 60, "split_street"),
+             Checked("street", "p_hausnummer", 10, "split_number"), Checked("name", "p_name", 60, None),
+             Checked("sex", "p_anrede", 60, "gender"), Checked("seg", "p_vs", 10, None)]
+_PERSON_COLS = ["k", "kv", "ik", "mail", "street", "name", "sex", "seg", "plz_in"]
+
+
+def _flag_sql_parts(i: int, m: Checked) -> tuple[str, list[str]]:
+    """(column definitions, message expressions) for one mapped column."""
+    src, tgt, rule = m.source, m.target, m.rule or ""
+    val = O.utrim(src)
+    skip = f"({src} IS NULL OR lower({val}) IN ('nan', 'none', 'null', '<na>', ''))"
+    r, t = rule.lower(), tgt.lower()
+    if any(k in r or k in t for k in ("hausnummer", "hnr")):
+        tv = f"coalesce({O.split_number(val)}, '')"
+    elif any(k in r or k in t for k in ("strasse", "street")):
+        tv = f"coalesce({O.split_street(val)}, '')"
+    else:
+        tv = val
+    cols = f"{val} AS v{i}, {tv} AS tv{i}, NOT {skip} AND {tv} <> '' AS live{i}"
+    V, TV, L = f"v{i}", f"tv{i}", f"live{i}"
+    msgs = []
+    if rule not in ("validate_ik", "validate_kvnr"):
+        msgs.append(f"CASE WHEN {L} AND {O.strict(TV)} <> {TV} THEN 'Sonderzeichen in ''{src}'' -> ''{tgt}'' (' "
+                    f"|| {TV} || ' -> ' || {O.strict(TV)} || ')' END")
+    if m.limit:
+        msgs.append(f"CASE WHEN {L} AND length({TV}) > {m.limit} THEN 'Überlänge in ''{tgt}'' (aus ''{src}''): ''' "
+                    f"|| {TV} || ''' hat ' || CAST(length({TV}) AS VARCHAR) || ' Zeichen (max. {m.limit})' END")
+    if rule == "validate_ik" or "ik" in t:
+        msgs.append(f"CASE WHEN {L} AND NOT {O.ik_ok(O.ik_clean(TV))} THEN 'Ungültige IK in ''{src}'' (' || {V} || ')' END")
+    if rule == "validate_kvnr" or "kvnr" in t or "vnr" in t:
+        clean = f"upper({O.utrim(TV)})"
+        value = O.kvnr_value(clean)
+        ok = O.kvnr_ok(value)
+        msgs.append(f"CASE WHEN {L} AND {ok} AND {O.kvnr_fixed(clean)} THEN 'KVNR in ''{src}'' korrigiert: (' "
+                    f"|| {clean} || ' -> ' || {value} || ')' END")
+        msgs.append(f"CASE WHEN {L} AND NOT {ok} THEN 'Ungültige KVNR in ''{src}'' (' || {V} || ')' END")
+    if rule == "validate_email" or "mail" in t:
+        msgs.append(f"CASE WHEN {L} AND NOT {O.email_ok(TV)} THEN 'Ungültige E-Mail in ''{src}'' (' || {V} || ')' END")
+    return cols, msgs
+
+
+def _flag_sql() -> str:
+    parts = [_flag_sql_parts(i, m) for i, m in enumerate(_FLAG_MAP)]
+    cols = ", ".join(c for c, _ in parts)
+    msgs = ", ".join(x for _, ms in parts for x in ms)
+    return f"""
+WITH t AS (SELECT r.*, {cols} FROM {PR} r),
+m AS (SELECT *, concat_ws(' | ', {msgs}) AS f FROM t)
+SELECT _row + 2 AS __quell_zeile, f AS __gefundene_fehler, {', '.join(_PERSON_COLS)} FROM m WHERE f <> ''"""
+
+
+FLAG_SQL = _flag_sql()
+
+
+@query("flag_records", FLAG_SQL)
+def q_flag_records(spark, sf):
+    return findings.flag_records(_persons_rows(spark, sf), _FLAG_MAP)
+
+
+_NA_SQL = ", ".join(O.q(t) for t in text.NA_TOKENS)
+
+
+def _na(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR {x} IN ({_NA_SQL}) THEN NULL ELSE {x} END AS {x}"
+
+
+@query("write_flagged", f"""
+SELECT CAST(__quell_zeile AS VARCHAR) AS __quell_zeile, __gefundene_fehler, {', '.join(_na(c) for c in _PERSON_COLS[1:])},
+  CAST(k AS VARCHAR) AS k FROM ({FLAG_SQL})""")
+def q_write_flagged(spark, sf):
+    out_dir = scratch_path(spark, "flagged")
+    sinks.write_flagged(q_flag_records(spark, sf), out_dir)
+    import os
+    return delimited.read_delimited(spark, os.path.join(out_dir, sinks.FLAGGED_NAME), sep=";")
+
+
+_CONV = "(SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS _row FROM conversations)"
+
+
+def _conv_rows(spark, sf) -> DataFrame:
+    return with_row_index(_table(spark, sf, "conversations"), order_by=["conv_id", "turn"])
+
+
+@query("cleanup_preview", " UNION ALL ".join(
+    f"SELECT _row AS row_idx, '{c}' AS col_name, {c} AS original, {O.strict(c)} AS cleaned FROM {_CONV} "
+    f"WHERE NOT {b(c)} AND {O.strict(c)} <> {c}" for c in ("role", "text")))
+def q_cleanup_preview(spark, sf):
+    return findings.cleanup_preview(_conv_rows(spark, sf), ["role", "text"])
+
+
+@query("apply_cleanup", f"""
+SELECT _row, conv_id, turn, {', '.join(f"CASE WHEN {b(c)} OR _row % 3 = 0 THEN {c} ELSE {O.strict(c)} END AS {c}" for c in ("role", "text"))}
+FROM {_CONV}""")
+def q_apply_cleanup(spark, sf):
+    rows = _conv_rows(spark, sf)
+    rejected = findings.cleanup_preview(rows, ["role", "text"]).where(F.col("row_idx") % 3 == 0) \
+        .select("row_idx", "col_name")
+    out = resolve.apply_cleanup(rows, ["role", "text"], rejected=rejected)
+    return out.select("_row", "conv_id", "turn", "role", "text")
+
+
+_DOC_LIMITS = {c: n for c, n in limits("adressen").items() if c in ("name1", "strasse", "kategorie")}
+_DOCS = ("(SELECT row_number() OVER (ORDER BY doc_id) - 1 AS _row, split_part(text, chr(10), 1) AS name1, "
+         "text AS strasse, lang || '-' || source AS kategorie FROM documents)")
+
+
+def _doc_rows(spark, sf) -> DataFrame:
+    d = _table(spark, sf, "documents").select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("name1"), F.col("text").alias("strasse"),
+        F.concat_ws("-", "lang", "source").alias("kategorie"))
+    return with_row_index(d, order_by=["doc_id"]).drop("doc_id")
+
+
+@query("length_conflicts", " UNION ALL ".join(
+    f"SELECT _row AS row_idx, '{c}' AS col_name, {n} AS limit, {c} AS orig_val FROM {_DOCS} "
+    f"WHERE {c} IS NOT NULL AND {c} <> 'NULL' AND length({c}) > {n}" for c, n in _DOC_LIMITS.items()))
+def q_length_conflicts(spark, sf):
+    return findings.length_conflicts(_doc_rows(spark, sf), _DOC_LIMITS)
+
+
+@query("resolve_length", f"""
+SELECT _row, {', '.join(
+    f"CASE WHEN {c} IS NOT NULL AND {c} <> 'NULL' AND length({c}) > {n} THEN "
+    f"(CASE WHEN _row % 4 = 0 THEN 'KURZ' || CAST(_row AS VARCHAR) ELSE substr({c}, 1, {n}) END) ELSE {c} END AS {c}"
+    for c, n in _DOC_LIMITS.items())} FROM {_DOCS}""")
+def q_resolve_length(spark, sf):
+    rows = _doc_rows(spark, sf)
+    conflicts = findings.length_conflicts(rows, _DOC_LIMITS)
+    decisions = conflicts.where(F.col("row_idx") % 4 == 0).select(
+        "row_idx", "col_name", F.concat(F.lit("KURZ"), F.col("row_idx").cast("string")).alias("new_val"))
+    out = resolve.resolve_length(rows, _DOC_LIMITS, policy="truncate", decisions=decisions)
+    return out.select("_row", *_DOC_LIMITS)
+
+
+# ============================================================ mapping
+
+
+def _rank_sql(t: str) -> str:
+    s = "lower(column_name)"
+    bare = t[2:] if t.startswith("p_") else t
+    arms = []
+    if t in ("p_nr", "ext_id"):
+        arms.append(f"WHEN {s} IN ('id', 'patient_id', 'patienten_id', 'pat_id') THEN 0")
+    if t == "ext_id":
+        arms.append(f"WHEN {s} IN ('lanr', 'la-nr', 'la_nr') THEN 1")
+    arms.append(f"WHEN {s} = '{t}' OR {s} = '{bare}' THEN 2")
+    if t in mapping.MOBILE_TARGETS:
+        arms.append(f"WHEN {s} IN ('mobil', 'handy', 'mobile', 'telefonmobil') THEN 3")
+    else:
+        if t in mapping.PHONE_TARGETS:
+            arms.append(f"WHEN {s} IN ('telefon', 'p_tel', 'tel', 'telefon1') THEN 3")
+        syn = [f"{s} IN ({', '.join(map(O.q, srcs))})" for srcs, frags in mapping.SYNONYMS if any(f in t for f in frags)]
+        if syn:
+            arms.append(f"WHEN {' OR '.join(syn)} THEN 4")
+        arms.append(f"WHEN (instr('{t}', {s}) > 0 OR instr({s}, '{t}') > 0) AND length({s}) > 3 THEN 5")
+    return f"CASE {' '.join(arms)} END"
+
+
+_KINDS = "['" + "', '".join(mapping.MATCH_KINDS) + "']"
+
+
+@query("match_columns", f"""
+WITH c AS ({I.CATALOGUE}),
+h AS ({' UNION ALL '.join(f"SELECT source_table, position, column_name, '{t}' AS target, {_rank_sql(t)} AS rank FROM c"
+                          for t in LAYOUTS['patienten'])}),
+best AS (SELECT *, row_number() OVER (PARTITION BY source_table, target ORDER BY rank, position) AS rn
+         FROM h WHERE rank IS NOT NULL)
+SELECT source_table, target, column_name AS source_column, {_KINDS}[rank + 1] AS match_kind FROM best WHERE rn = 1""")
+def q_match_columns(spark, sf):
+    cat = I.derived(spark, sf, I.CATALOGUE, ["documents"])
+    return mapping.match_columns(cat, LAYOUTS["patienten"])
+
+
+_ADDR_SRC = f"""SELECT c_custkey AS k, cast(c_custkey as string) AS id,
+  CASE c_custkey % 3 WHEN 0 THEN 'Dr.' WHEN 1 THEN ' Prof. ' ELSE NULL END AS titel,
+  {_FIRST_SQL} AS vorname, c_name AS nachname,
+  CASE c_custkey % 7 WHEN 0 THEN 'M' WHEN 1 THEN 'W' WHEN 2 THEN 'f' WHEN 3 THEN '1' WHEN 4 THEN '2'
+    WHEN 5 THEN 'x' ELSE ' ' END AS geschlecht,
+  'Strasse ' || c_mktsegment || ' ' || cast(c_custkey % 200 as string) AS strasse,
+  CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN cast((c_custkey % 30) * 37 as string) WHEN 2 THEN ' '
+    ELSE lpad(cast((c_custkey % 30) * 37 as string), 5, '0') END AS plz,
+  CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN lower(n_name) WHEN 2 THEN ' ' || n_name ELSE 'Nowhere' END AS ort,
+  CASE c_custkey % 3 WHEN 0 THEN lower(replace(c_name, '#', '.')) || '@mail.example.com'
+    WHEN 1 THEN lower(c_name) ELSE ' ' || lower(replace(c_name, '#', '_')) || '@x.de ' END AS email,
+  '0' || cast(c_custkey as string) AS telefon,
+  CASE WHEN c_custkey % 2 = 0 THEN '0170' || cast(c_custkey as string) END AS mobil,
+  c_mktsegment AS kategorie
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+_ADDR_SOURCES = {"ext_id": "id", "anrede": "geschlecht", "name1": "titel", "name2": "vorname",
+                 "name3": "nachname", "strasse": "strasse", "plz": "plz", "ort": "ort", "email": "email",
+                 "telefon": "telefon", "kategorie": "kategorie", "telefonmobil": "mobil"}
+
+
+def _addr_spec(extra_rules: dict | None = None) -> MappingSpec:
+    cols = ["k", "id", "titel", "vorname", "nachname", "geschlecht", "strasse", "plz", "ort", "email",
+            "telefon", "mobil", "kategorie"]
+    rules, sources = default_rules(LAYOUTS["adressen"], cols, _ADDR_SOURCES)
+    rules.update(extra_rules or {})
+    return MappingSpec.for_layout("adressen", sources, rules)
+
+
+def _addr_projected(spark, sf, spec: MappingSpec) -> DataFrame:
+    src = with_row_index(I.derived(spark, sf, _ADDR_SRC, ["customer", "nation"]), order_by=["k"])
+    return mapping.project_to_schema(src, spec, postcode_dim=_postcode_dim(spark, sf))
+
+
+def _plain_sql(x: str, fn) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {O.utrim(fn(x))} = '' THEN NULL ELSE {fn(x)} END)"
+
+
+_ADDR_EXPR = {
+    "ext_id": _plain_sql("id", O.basic),
+    "anrede": f"(CASE WHEN geschlecht IS NULL THEN NULL ELSE NULLIF({O.gender(O.basic('geschlecht'))}, '') END)",
+    "name1": _plain_sql("titel", O.strict),
+    "name2": _plain_sql("vorname", O.strict),
+    "name3": _plain_sql("nachname", O.strict),
+    "strasse": _plain_sql("strasse", O.basic),
+    "plz": f"(CASE WHEN {O.utrim('plz')} <> '' THEN {O.pad(O.utrim('plz'))} ELSE fp.postcode END)",
+    "ort": f"(CASE WHEN {O.utrim('ort')} <> '' THEN {O.utrim('ort')} ELSE fc.city END)",
+    "email": f"(CASE WHEN {O.email_ok('email')} THEN {O.utrim('email')} END)",
+    "telefon": _plain_sql("telefon", O.basic),
+    "kategorie": _plain_sql("kategorie", O.basic),
+    "telefonmobil": _plain_sql("mobil", O.basic),
+}
+_ADDR_FROM = f"""(SELECT *, row_number() OVER (ORDER BY k) - 1 AS _row FROM ({_ADDR_SRC})) s
+LEFT JOIN {FIRST_PLZ} fp ON fp.city_key = CASE WHEN NOT {b('s.ort')} THEN lower({O.utrim('s.ort')}) END
+LEFT JOIN {FIRST_CITY} fc ON fc.postcode = CASE WHEN NOT {b('s.plz')} THEN {O.pad(O.utrim('s.plz'))} END"""
+_ADDR_TARGETS = [t for t in LAYOUTS["adressen"] if t != "id"]
+
+
+@query("project_to_schema", f"""
+SELECT _row, {', '.join(f'{_ADDR_EXPR[t]} AS {t}' for t in _ADDR_TARGETS)}, 1 AS id_ok FROM {_ADDR_FROM}""")
+def q_project_to_schema(spark, sf):
+    out = _addr_projected(spark, sf, _addr_spec())
+    return out.select("_row", *_ADDR_TARGETS, F.col("id").rlike(keys.UID_SHAPE).cast("int").alias("id_ok"))
+
+
+_COPY_RULES = {"name3": Rule("copy_target", "name2"), "kategorie": Rule("copy_target", "ext_id"),
+               "telefonmobil": Rule("copy_target", "telefon")}
+_COPY_COLS = ["ext_id", "name2", "name3", "telefon", "kategorie", "telefonmobil"]
+
+
+@query("copy_target", f"""
+SELECT _row, {', '.join(f"{_ADDR_EXPR[_COPY_RULES[t].param if t in _COPY_RULES else t]} AS {t}" for t in _COPY_COLS)}
+FROM {_ADDR_FROM}""")
+def q_copy_target(spark, sf):
+    out = _addr_projected(spark, sf, _addr_spec(_COPY_RULES))
+    return out.select("_row", *_COPY_COLS)
+
+
+_MERGE_SRC = f"""SELECT c_custkey AS k, 'Strasse ' || c_mktsegment AS street_name,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE cast(c_custkey % 200 as string) END AS hnr,
+  {_FIRST_SQL} AS vn, c_name AS nn FROM customer"""
+
+
+@query("merge_columns", f"""
+SELECT _row,
+  NULLIF({O.utrim(f"coalesce(CASE WHEN street_name IS NULL THEN NULL ELSE {O.basic('street_name')} END, '') || ' ' || {O.basic('hnr')}")}, '') AS strasse,
+  NULLIF({O.utrim(f"coalesce(CASE WHEN nn IS NULL THEN NULL ELSE {O.strict('nn')} END, '') || ' ' || {O.strict('vn')}")}, '') AS name1
+FROM (SELECT *, row_number() OVER (ORDER BY k) - 1 AS _row FROM ({_MERGE_SRC}))""")
+def q_merge_columns(spark, sf):
+    src = with_row_index(I.derived(spark, sf, _MERGE_SRC, ["customer"]), order_by=["k"])
+    spec = MappingSpec.for_layout("adressen", {"strasse": "street_name", "name1": "nn"},
+                                  {"strasse": Rule("merge_columns", "hnr"), "name1": Rule("merge_columns", "vn")})
+    return mapping.project_to_schema(src, spec).select("_row", "strasse", "name1")
+
+
+_REST_SRC = """SELECT o_orderkey, cast(o_orderkey as string) AS nr, o_orderstatus AS status,
+  o_orderpriority AS prio, cast(o_custkey as string) AS kasse,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Notiz ' || cast(o_orderkey % 97 as string) END AS notiz
+FROM orders"""
+_REST_SPEC = MappingSpec.for_layout("patienten", {"p_nr": "nr", "p_vs": "status"},
+                                    {"p_krankenkasse": Rule("lookup_ik_provider", "kasse")})
+_REST_ROWS = f"(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row FROM ({_REST_SRC}))"
+
+
+def _rest_rows(spark, sf) -> DataFrame:
+    return with_row_index(I.derived(spark, sf, _REST_SRC, ["orders"]), order_by=["o_orderkey"])
+
+
+@query("rest_table", f"SELECT _row, o_orderkey, prio, notiz FROM {_REST_ROWS}")
+def q_rest_table(spark, sf):
+    return mapping.rest_table(_rest_rows(spark, sf), _REST_SPEC)
+
+
+@query("write_rest", f"SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, prio, notiz FROM {_REST_ROWS}")
+def q_write_rest(spark, sf):
+    import os
+    out_dir = scratch_path(spark, "rest")
+    path = sinks.write_rest(mapping.rest_table(_rest_rows(spark, sf), _REST_SPEC), out_dir, "orders.csv")
+    assert os.path.basename(path) == "REST_UNMAPPED_orders.csv"
+    return delimited.read_delimited(spark, path, sep=";")
+
+
+_FIELDS = [extras.ExtraField("prio"), extras.ExtraField("notiz", "Hinweis"), extras.ExtraField("status", "#Status")]
+_VALUES_SQL = " UNION ALL ".join(
+    f"SELECT '{f.property_id}' AS property_id, nr AS patienten_id, {O.utrim(f.source_col)} AS content "
+    f"FROM {_REST_ROWS} WHERE NOT {b(f.source_col)}" for f in _FIELDS)
+
+
+def _values(spark, sf) -> DataFrame:
+    return extras.property_values(_rest_rows(spark, sf), _FIELDS, id_col="nr")
+
+
+@query("property_values", f"SELECT property_id, patienten_id, content, 1 AS uid_ok FROM ({_VALUES_SQL})")
+def q_property_values(spark, sf):
+    v = _values(spark, sf)
+    return v.select("property_id", "patienten_id", "content", F.col("id").rlike(keys.UID_SHAPE).cast("int").alias("uid_ok"))
+
+
+_DEFS_SQL = f"""SELECT id, label, proptyp, CAST(NULL AS VARCHAR) AS options, 255 AS maxwidth,
+  CAST(NULL AS VARCHAR) AS bereich, 0 AS sortierung, 202 AS system, CAST(NULL AS VARCHAR) AS kartei_id
+FROM (VALUES {', '.join(f"('{f.property_id}', '{f.source_col}', '{f.data_type}')" for f in _FIELDS)}) d(id, label, proptyp)
+WHERE id IN (SELECT property_id FROM ({_VALUES_SQL}))"""
+
+
+@query("property_definitions", _DEFS_SQL)
+def q_property_definitions(spark, sf):
+    v = _values(spark, sf)
+    defs = extras.property_definitions(v, _FIELDS)
+    return defs.join(v.select(F.col("property_id").alias("id")).distinct(), "id", "left_semi")
+
+
+@query("write_extra_fields", f"SELECT property_id, patienten_id, content FROM ({_VALUES_SQL})")
+def q_write_extra_fields(spark, sf):
+    import os
+    v = _values(spark, sf)
+    out_dir = scratch_path(spark, "extras")
+    _, map_path = sinks.write_extra_fields(extras.property_definitions(v, _FIELDS), v, out_dir)
+    defs_back = delimited.read_delimited(spark, os.path.join(out_dir, sinks.PROPERTY_NAME), sep=";")
+    assert defs_back.columns[:3] == ["id", "label", "proptyp"]
+    return delimited.read_delimited(spark, map_path, sep=";").select("property_id", "patienten_id", "content")
+
+
+# ============================================================ sources / sinks
+
+_RD_LINES = """SELECT c_custkey AS line, CASE c_custkey % 7
+  WHEN 0 THEN cast(c_custkey as string) || ';' || c_name || ';' || c_mktsegment || ';extra'
+  WHEN 1 THEN cast(c_custkey as string) || ';' || c_name
+  WHEN 2 THEN cast(c_custkey as string) || ';"' || c_name || ';x";' || c_mktsegment
+  WHEN 3 THEN cast(c_custkey as string) || ';NULL;' || c_mktsegment
+  WHEN 4 THEN cast(c_custkey as string) || ';"";' || c_mktsegment
+  ELSE cast(c_custkey as string) || ';' || c_name || ';' || c_mktsegment END AS value FROM customer"""
+
+
+def write_raw_lines_with_header(lines: DataFrame, path: str, header: str, parts: int = 4) -> None:
+    """Write pre-formatted lines as they are, each part file starting with
+    ``header`` (the CSV writer with quoting switched off and one column)."""
+    (lines.repartitionByRange(parts, "line").sortWithinPartitions("line")
+     .select(F.col("value").alias(header))
+     .write.mode("overwrite").option("header", True).option("quote", "").option("escape", "")
+     .option("sep", "\u0001").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
+
+
+@query("read_delimited", """
+SELECT cast(c_custkey as varchar) AS c_custkey,
+  CASE c_custkey % 7 WHEN 2 THEN c_name || ';x' WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE c_name END AS c_name,
+  CASE WHEN c_custkey % 7 = 1 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+FROM customer WHERE c_custkey % 7 <> 0""")
+def q_read_delimited(spark, sf):
+    path = scratch_path(spark, "delimited")
+    write_raw_lines_with_header(I.derived(spark, sf, _RD_LINES, ["customer"]), path, "c_custkey;c_name;c_mktsegment")
+    return delimited.read_delimited(spark, path, sep=";")
+
+
+@query("detect_dialect", "SELECT '|' AS delimiter, 'utf-8' AS encoding, count(*) AS n_lines FROM customer")
+def q_detect_dialect(spark, sf):
+    path = scratch_path(spark, "dialect")
+    lines = I.derived(spark, sf, "SELECT c_custkey AS line, cast(c_custkey as string) || '|' || c_name || '|' || "
+                                 "c_mktsegment AS value FROM customer", ["customer"])
+    _write_lines(lines, path)
+    d = delimited.detect_dialect(spark, path)
+    return d.groupBy("delimiter", "encoding").agg(F.sum("n_lines").cast("long").alias("n_lines"))
+
+
+_WM_SRC = """SELECT cast(c_custkey as string) AS ext_id,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE replace(c_name, '#', '-') END AS name1,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS ort FROM customer"""
+
+
+@query("write_mapped", f"""
+SELECT ext_id || ';' || coalesce(name1, 'NULL') || ';' || coalesce(ort, 'NULL') AS value FROM ({_WM_SRC})""")
+def q_write_mapped(spark, sf):
+    path = scratch_path(spark, "mapped")
+    layout = {"ext_id": "VARCHAR(40)", "name1": "VARCHAR(60)", "ort": "VARCHAR(60)"}
+    sinks.write_mapped(I.derived(spark, sf, _WM_SRC, ["customer"]), path, layout)
+    return spark.read.text(path).where(F.col("value") != ";".join(layout))
