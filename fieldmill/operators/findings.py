@@ -80,9 +80,14 @@ def flag_records(df: DataFrame, mapped: list[Checked], row_col: str = "_row",
     msgs = [m for c in mapped for m in _msgs(c, df.columns, split_mode, check_email)]
     found = F.array_compact(F.array(*msgs)) if msgs else F.array().cast("array<string>")
     src_cols = [c for c in df.columns if c != row_col]
-    flagged = df.select((F.col(row_col) + 2).alias("__quell_zeile"), found.alias("_found"), *src_cols)
-    flagged = flagged.where(F.size("_found") > 0)
-    return flagged.select("__quell_zeile", F.array_join("_found", " | ").alias("__gefundene_fehler"), *src_cols)
+    # A Generate keeps the findings array to one evaluation per row (a plain
+    # filter on it would be pushed below the projection and evaluate it twice).
+    row = F.struct((F.col(row_col) + 2).alias("__quell_zeile"), found.alias("_found"),
+                   *[F.col(c) for c in src_cols])
+    flagged = df.select(F.explode(F.filter(F.array(row), lambda r: F.size(r["_found"]) > 0)).alias("_r"))
+    return flagged.select(F.col("_r.__quell_zeile").alias("__quell_zeile"),
+                          F.array_join("_r._found", " | ").alias("__gefundene_fehler"),
+                          *[F.col(f"_r.{c}").alias(c) for c in src_cols])
 
 
 # --------------------------------------------------------- long findings

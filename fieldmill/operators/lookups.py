@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldmill.functions.text import WS, col_of, is_blank, pad_postcode, utrim
 from fieldmill.operators.joins import BROADCAST_MAX_ROWS, is_broadcastable, lookup_join
+from fieldmill.session import stable
 
 # ---------------------------------------------------------------- parsing
 
@@ -197,32 +198,50 @@ def match_payer_fuzzy(df: DataFrame, name, dim: DataFrame, cutoff: float = 0.6,
 
     Only distinct unmatched names are scored, against candidates that share a
     padded bigram of the raw or token-sorted form -- exact for cutoff >= 0.5.
+    Both sides are normalised once; pairs are narrow (query, line) keys, and
+    a length band (edit distance >= length difference) drops pairs that
+    cannot reach the cutoff before any edit distance is computed.
     """
     if cutoff < 0.5:
         raise ValueError("cutoff below 0.5 is not supported by the exact bigram candidate filter")
     exact = lookup_id_by_payer(df, name, dim, prefix=prefix, max_rows=max_rows)
     qkey = F.lower(utrim(col_of(name)))
     queries = (exact.where(F.col(f"{prefix}_ik").isNull() & ~is_blank(name))
-               .select(qkey.alias("_q")).distinct())
-    names = payer_names(dim)
-    by_name = payer_by_name(dim).select("name_key", "ik")
-
-    def grams(frame: DataFrame, text: Column, key_cols: list[str]) -> DataFrame:
-        raw = frame.select(*key_cols, F.lit("r").alias("_form"), F.explode(padded_bigrams(F.lower(text))).alias("_g"))
-        srt = frame.select(*key_cols, F.lit("s").alias("_form"), F.explode(padded_bigrams(token_sorted(text))).alias("_g"))
-        return raw.unionByName(srt)
-
-    qg = grams(queries, F.col("_q"), ["_q"])
-    dg = grams(names, F.col("name"), ["name", "line"])
-    if is_broadcastable(dg, max_rows):
-        dg = F.broadcast(dg)
-    cands = qg.join(dg, ["_form", "_g"]).select("_q", "name", "line").distinct()
-    scored = cands.withColumn("_s", fuzzy_score(F.col("_q"), F.col("name"))).where(F.col("_s") >= cutoff)
+               .select(qkey.alias("_q")).distinct()
+               .select("_q", token_sorted(F.col("_q")).alias("_qs")))
+    names = payer_names(dim).select("name", "line", F.lower("name").alias("_n"), token_sorted(F.col("name")).alias("_ns"))
+    small = is_broadcastable(names, max_rows)
+    names_b = F.broadcast(names) if small else names
+
+    def grams(frame: DataFrame, raw: str, srt: str, keys: list[str]) -> DataFrame:
+        r = frame.select(*keys, F.lit("r").alias("_form"), F.explode(padded_bigrams(F.col(raw))).alias("_g"))
+        t = frame.select(*keys, F.lit("s").alias("_form"), F.explode(padded_bigrams(F.col(srt))).alias("_g"))
+        return r.unionByName(t)
+
+    qg = grams(queries, "_q", "_qs", ["_q"])
+    dg = grams(names, "_n", "_ns", ["line"])
+    dg = F.broadcast(dg) if small and is_broadcastable(dg, max_rows) else dg
+    pairs = qg.join(dg, ["_form", "_g"]).select("_q", "line").distinct()
+    cand = pairs.join(queries, "_q").join(names_b, "line")
+
+    def band(a: Column, b: Column) -> Column:
+        la, lb = F.length(a), F.length(b)
+        return F.abs(la - lb) <= F.greatest(la, lb) * (1.0 - cutoff)
+
+    def sim(a: Column, b: Column) -> Column:
+        m = F.greatest(F.length(a), F.length(b))
+        return F.when(m == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / m)
+
+    raw_s = F.when(band(F.col("_q"), F.col("_n")), sim(F.col("_q"), F.col("_n"))).otherwise(F.lit(0.0))
+    srt_s = F.when(band(F.col("_qs"), F.col("_ns")), F.lit(0.95) * sim(F.col("_qs"), F.col("_ns"))).otherwise(F.lit(0.0))
+    scored = cand.withColumn("_s", F.greatest(raw_s, srt_s)).where(F.col("_s") >= cutoff)
     best = (scored.groupBy("_q")
             .agg(F.max_by(F.struct("name", "_s"), F.struct("_s", (-F.col("line")).alias("_neg"))).alias("_b"))
             .select("_q", F.col("_b.name").alias("_fn"), F.col("_b._s").alias("_fs")))
-    best = best.join(by_name, F.lower(best["_fn"]) == by_name["name_key"]).drop("name_key") \
-        .withColumnRenamed("ik", "_fik")
+    by_name = payer_by_name(dim).select("name_key", F.col("ik").alias("_fik"))
+    # one row per distinct unmatched name: materialised once, so the size
+    # check before the join does not run the scoring a second time
+    best = stable(lookup_join(best, by_name, F.lower(F.col("_fn")), "name_key", max_rows=max_rows))
     j = lookup_join(exact, best, qkey, "_q", max_rows=max_rows)
     return (j.withColumn(f"{prefix}_ik", F.coalesce(F.col(f"{prefix}_ik"), F.col("_fik")))
             .withColumn(f"{prefix}_name", F.coalesce(F.col(f"{prefix}_name"), F.col("_fn")))

@@ -1,16 +1,17 @@
 """Contiguous 0-based row numbers in file (or sort) order, without a
 single-partition window.
 
-Pass 1 counts rows per partition (one small row per partition), a tiny
-window turns the counts into start offsets, and pass 2 adds the offset to
-the position inside the partition.  The input is materialised in the shared
+Pass 1 counts rows per partition (one small row per partition), the
+driver turns those counts into start offsets (a table bounded by the number
+of partitions, broadcast), and pass 2 adds the offset to the position
+inside the partition.  The input is materialised in the shared
 checkpoint folder first so both passes see the same partitioning, also
 after an executor loss.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.session import stable
@@ -33,16 +34,17 @@ def with_row_index(df: DataFrame, order_by=None, name: str = "_row",
     if materialize or order_by:
         tagged = stable(tagged)
     part = F.shiftright(F.col("_mid"), _POS_BITS)
-    # one row per partition: a proven, data-independent bound for broadcast
-    counts = tagged.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    offsets = offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
+    # one count per partition: the driver sees only (partition, count) pairs,
+    # a bound set by the partitioning, never by the data volume
+    counts = sorted((r[0], r[1]) for r in tagged.groupBy(part.alias("_pid")).count().collect())
+    offsets, running = [], 0
+    for pid, n in counts:
+        offsets.append((pid, running))
+        running += n
+    spark = df.sparkSession
+    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid long, _off long")
     pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    out = (tagged.withColumn("_pid", part)
-           .join(F.broadcast(offsets), "_pid")
-           .withColumn(name, (F.col("_off") + pos).cast("long"))
-           .drop("_pid", "_off", "_mid"))
-    return out
+    return (tagged.withColumn("_pid", part)
+            .join(F.broadcast(off_df), "_pid")
+            .withColumn(name, (F.col("_off") + pos).cast("long"))
+            .drop("_pid", "_off", "_mid"))
