@@ -64,8 +64,8 @@ def detect_dialect(spark: SparkSession, path: str) -> DataFrame:
     Delimiter: for each candidate, count it per non-blank line outside
     quotes; a candidate whose count is the same non-zero number on every
     line wins (highest count first), else the one with the highest minimum,
-    else ``;``.  Encoding: a BOM -> utf-8-sig; any U+FFFD after a UTF-8 read
-    -> cp1252; else utf-8.  All aggregates are partial (map-side).
+    else ``;``.  Encoding: a BOM -> utf-8-sig; any line that is not valid
+    UTF-8 -> cp1252; else utf-8.  All aggregates are partial (map-side).
     """
     lines = (spark.read.option("encoding", "UTF-8").text(path)
              .select(F.col("_metadata.file_path").alias("file_path"), F.col("value")))
@@ -78,7 +78,7 @@ def detect_dialect(spark: SparkSession, path: str) -> DataFrame:
     for i in range(len(DELIMITERS)):
         aggs += [F.min(f"_n{i}").alias(f"_min{i}"), F.max(f"_n{i}").alias(f"_max{i}")]
     aggs += [F.max(F.col("value").startswith("﻿").cast("int")).alias("_bom"),
-             F.max(F.instr("value", "�")).alias("_bad"),
+             F.max((~F.is_valid_utf8("value")).cast("int")).alias("_bad"),
              F.count(F.lit(1)).alias("n_lines")]
     per_file = counted.groupBy("file_path").agg(*aggs)
     # score: consistent candidates rank above inconsistent ones, then by count
