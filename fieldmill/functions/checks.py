@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldmill.functions.text import col_of, let, utrim
+from fieldmill.functions.text import col_of, utrim
 
 # Check-digit weights.
 IK_WEIGHTS = [2, 1, 2, 1, 2, 1]             # institution id, digits 3..8
@@ -32,39 +32,37 @@ def ik_clean(c) -> Column:
 
 
 def ik_check_ok(s: Column) -> Column:
-    """``s`` is 9 ASCII digits and digit 9 equals the weighted sum mod 10."""
-    return let(s, _ik_check_ok)
+    """``s`` is 9 ASCII digits and digit 9 equals the weighted sum mod 10.
 
-
-def _ik_check_ok(s: Column) -> Column:
+    Reads ``s`` several times: pass a column (or a small expression); the
+    operators stage nested checks as columns so expressions stay small, and
+    generated code computes the repeated input once.
+    """
     total = None
     for i, w in enumerate(IK_WEIGHTS):
         term = _cross(_digit(s, 3 + i), w)
         total = term if total is None else total + term
-    shape = s.rlike("^[0-9]{9}$")
-    return F.coalesce(shape & (F.pmod(total, F.lit(10)) == _digit(s, 9)), F.lit(False))
+    # arithmetic first: the left operand is always evaluated, so generated
+    # code can compute the shared input once for all digit reads
+    return F.coalesce((F.pmod(total, F.lit(10)) == _digit(s, 9)) & s.rlike("^[0-9]{9}$"), F.lit(False))
 
 
 def validate_ik(c) -> Column:
     """True if the (cleaned) value is a valid 9-digit institution id."""
-    c = col_of(c)
-    return F.when(c.isNull(), F.lit(False)).otherwise(ik_check_ok(ik_clean(c)))
+    # null input gives null arithmetic, which ik_check_ok maps to False
+    return ik_check_ok(ik_clean(c))
 
 
 def kvnr_check_ok(s: Column) -> Column:
-    """``s`` is letter + 9 digits with a valid check digit (letter A=01..Z=26)."""
-    return let(s, _kvnr_check_ok)
-
-
-def _kvnr_check_ok(s: Column) -> Column:
+    """``s`` is letter + 9 digits with a valid check digit (letter A=01..Z=26).
+    Reads ``s`` a dozen times: pass a column (see ``ik_check_ok``)."""
     code = F.ascii(F.substring(s, 1, 1)) - 64
     digits = [F.floor(code / 10).cast("int"), F.pmod(code, F.lit(10))] + [_digit(s, p) for p in range(2, 10)]
     total = None
     for d, w in zip(digits, KVNR_WEIGHTS):
         term = _cross(d, w)
         total = term if total is None else total + term
-    shape = s.rlike("^[A-Z][0-9]{9}$")
-    return F.coalesce(shape & (F.pmod(total, F.lit(10)) == _digit(s, 10)), F.lit(False))
+    return F.coalesce((F.pmod(total, F.lit(10)) == _digit(s, 10)) & s.rlike("^[A-Z][0-9]{9}$"), F.lit(False))
 
 
 def kvnr_clean(c) -> Column:
@@ -72,25 +70,20 @@ def kvnr_clean(c) -> Column:
 
 
 def validate_kvnr(c) -> Column:
-    c = col_of(c)
-    return F.when(c.isNull(), F.lit(False)).otherwise(kvnr_check_ok(kvnr_clean(c)))
+    return kvnr_check_ok(kvnr_clean(c))
 
 
 def repair_kvnr(c) -> Column:
     """struct(fixed, value): one confusion fix, accepted only if the check
     digit then holds.  Fixes: letter+'O'... -> letter+'0'...; a leading
     ``0 1 ) ( = /`` before 9 digits -> ``O I O I P U``."""
-    return let(kvnr_clean(c), _repair)
-
-
-def _repair(v: Column) -> Column:
+    v = kvnr_clean(c)
     cand = (F.when((F.length(v) == 10) & v.rlike("^[A-Z]O"),
                    F.concat(F.substring(v, 1, 1), F.lit("0"), F.substring(v, 3, 8)))
             .when((F.length(v) == 10) & v.rlike(r"^[01)(=/][0-9]{9}$"),
                   F.concat(F.translate(F.substring(v, 1, 1), "01)(=/", "OIOIPU"), F.substring(v, 2, 9))))
-    return let(cand, lambda cd: let(F.coalesce(cd.isNotNull() & kvnr_check_ok(cd), F.lit(False)),
-                                    lambda fixed: F.struct(fixed.alias("fixed"),
-                                                           F.when(fixed, cd).otherwise(v).alias("value"))))
+    fixed = F.coalesce(cand.isNotNull() & kvnr_check_ok(cand), F.lit(False))
+    return F.struct(fixed.alias("fixed"), F.when(fixed, cand).otherwise(v).alias("value"))
 
 
 # E-mail: a documented syntax subset (no DNS).  Local part: dot-separated

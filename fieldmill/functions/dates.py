@@ -10,74 +10,109 @@ trimmed; empties become null (or the fallback).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.functions.text import col_of, is_empty_token, let, utrim
+from fieldmill.functions.text import col_of, is_empty_token, utrim
 
-_TIME = r"(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?"
-DOT4 = rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{4}}){_TIME}$"
-DOT2 = rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{2}}){_TIME}$"
-YSLASH = rf"^([0-9]{{4}})/([0-9]{{1,2}})/([0-9]{{1,2}}){_TIME}$"
-YDASH = rf"^([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}}){_TIME}$"
-COMPACT = rf"^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}}){_TIME}$"
-USLASH = rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}}){_TIME}$"
+_T = r"(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?"
 ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+# Shape codes by the text's digit signature (every digit written as 9).
+DOT4_C, DOT2_C, YSLASH_C, YDASH_C, COMPACT_C, USLASH_C = 1, 2, 3, 4, 5, 6
+_DATE_SIG = r"^([9./\-]+)(?:[ T]9{1,2}:99(?::99(?:\.9+)?)?)?$"
 
 
-def _num(v: Column, pat: str, i: int) -> Column:
-    # regexp_extract gives '' on no match: try_cast keeps ANSI mode quiet
-    return F.regexp_extract(v, pat, i).try_cast("int")
-
-
-def iso_parts(v: Column) -> tuple[Column, Column, Column]:
-    """(year, month, day) ints for the accepted shapes, else nulls."""
-    y = (F.when(v.rlike(DOT4), _num(v, DOT4, 3))
-         .when(v.rlike(DOT2), F.when(_num(v, DOT2, 3) >= 69, _num(v, DOT2, 3) + 1900)
-               .otherwise(_num(v, DOT2, 3) + 2000))
-         .when(v.rlike(YSLASH), _num(v, YSLASH, 1))
-         .when(v.rlike(YDASH), _num(v, YDASH, 1))
-         .when(v.rlike(COMPACT), _num(v, COMPACT, 1))
-         .when(v.rlike(USLASH), _num(v, USLASH, 3)))
-    us_first, us_second = _num(v, USLASH, 1), _num(v, USLASH, 2)
-    m = (F.when(v.rlike(DOT4), _num(v, DOT4, 2))
-         .when(v.rlike(DOT2), _num(v, DOT2, 2))
-         .when(v.rlike(YSLASH), _num(v, YSLASH, 2))
-         .when(v.rlike(YDASH), _num(v, YDASH, 2))
-         .when(v.rlike(COMPACT), _num(v, COMPACT, 2))
-         .when(v.rlike(USLASH), F.when(us_first > 12, us_second).otherwise(us_first)))
-    d = (F.when(v.rlike(DOT4), _num(v, DOT4, 1))
-         .when(v.rlike(DOT2), _num(v, DOT2, 1))
-         .when(v.rlike(YSLASH), _num(v, YSLASH, 3))
-         .when(v.rlike(YDASH), _num(v, YDASH, 3))
-         .when(v.rlike(COMPACT), _num(v, COMPACT, 3))
-         .when(v.rlike(USLASH), F.when(us_first > 12, us_first).otherwise(us_second)))
-    return y, m, d
+def _signatures() -> dict[str, int]:
+    out = {}
+    for a in ("9", "99"):
+        for b in ("9", "99"):
+            out[f"{a}.{b}.9999"] = DOT4_C
+            out[f"{a}.{b}.99"] = DOT2_C
+            out[f"9999/{a}/{b}"] = YSLASH_C
+            out[f"9999-{a}-{b}"] = YDASH_C
+            out[f"{a}/{b}/9999"] = USLASH_C
+    out["99999999"] = COMPACT_C
+    return out
+
+
+def _sig_map() -> Column:
+    return F.create_map(*[x for k, v in _signatures().items() for x in (F.lit(k), F.lit(v))])
+
+
+def _stages(src: Column, p: str, fallback: str | None) -> list[dict[str, Column]]:
+    """Ordered projections computing the ISO date of ``src`` into ``{p}out``.
+
+    Each intermediate value is its own column, so it is computed once per
+    row and every later expression reads a plain column reference (small
+    generated code, no repeated regex evaluation)."""
+    c = lambda n: F.col(p + n)
+    v = utrim(src)
+    empty = is_empty_token(src)
+    if fallback:
+        v = F.when(empty, F.lit(fallback)).otherwise(v)
+        empty = F.lit(False)
+    year_first = c("code").isin(YSLASH_C, YDASH_C, COMPACT_C)
+    return [
+        {p + "v": v, p + "empty": empty},
+        {p + "sig": F.translate(c("v"), "0123456789", "9999999999")},
+        {p + "dsig": F.regexp_extract(c("sig"), _DATE_SIG, 1)},
+        {p + "code": F.try_element_at(_sig_map(), c("dsig")), p + "txt": F.substr(c("v"), F.lit(1), F.length(c("dsig")))},
+        {p + "parts": F.split(F.when(c("code") == COMPACT_C, F.concat_ws(
+            "-", F.substr(c("txt"), F.lit(1), F.lit(4)), F.substr(c("txt"), F.lit(5), F.lit(2)),
+            F.substr(c("txt"), F.lit(7), F.lit(2)))).otherwise(c("txt")), r"[./\-]")},
+        {p + "a": F.get(c("parts"), 0).try_cast("int"), p + "b": F.get(c("parts"), 1).try_cast("int"),
+         p + "c": F.get(c("parts"), 2).try_cast("int")},
+        {p + "y": F.when(c("code") == DOT2_C, F.when(c("c") >= 69, c("c") + 1900).otherwise(c("c") + 2000))
+            .when(year_first, c("a")).otherwise(c("c")),
+         p + "m": F.when(year_first, c("b")).when((c("code") == USLASH_C) & (c("a") <= 12), c("a")).otherwise(c("b")),
+         p + "d": F.when(year_first, c("c")).when((c("code") == USLASH_C) & (c("a") > 12), c("a"))
+            .when(c("code") == USLASH_C, c("b")).otherwise(c("a"))},
+        {p + "iso": F.when(c("code").isNotNull(), F.concat_ws(
+            "-", F.lpad(c("y").cast("string"), 4, "0"), F.lpad(c("m").cast("string"), 2, "0"),
+            F.lpad(c("d").cast("string"), 2, "0")))},
+        {p + "out": F.when(~c("empty"), F.when(c("sig") == "9999-99-99", c("v"))
+                           .when(F.try_to_date(c("iso"), "yyyy-MM-dd").isNotNull(), c("iso")).otherwise(c("v")))},
+    ]
+
+
+def with_format_date(df: DataFrame, src, out: str, fallback: str | None = None) -> DataFrame:
+    """``df`` plus ``out`` = ISO text of ``src`` (see module doc); the
+    staged form for tables."""
+    p = f"_fd_{out}_"
+    for stage in _stages(col_of(src), p, fallback):
+        df = df.withColumns(stage)
+    tmp = [c for c in df.columns if c.startswith(p) and c != p + "out"]
+    return df.drop(*tmp).withColumnRenamed(p + "out", out)
 
 
 def format_date(c, fallback: str | None = None) -> Column:
-    """Date text -> ISO text (see module doc)."""
+    """Date text -> ISO text as one Column (a rewrite chain, one regex per
+    shape).  For whole tables ``with_format_date`` is faster: it computes each
+    intermediate value once per row."""
     raw = col_of(c)
     v = utrim(raw)
     empty = is_empty_token(raw)
     if fallback:
         v = F.when(empty, F.lit(fallback)).otherwise(v)
         empty = F.lit(False)
-    return F.when(~empty, let(v, _to_iso))
-
-
-def _to_iso(v: Column) -> Column:
-    y, m, d = iso_parts(v)
-    iso = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"),
-                      F.lpad(d.cast("string"), 2, "0"))
-    ok = y.isNotNull() & F.try_to_date(iso, "yyyy-MM-dd").isNotNull()
-    return F.when(v.rlike(ISO), v).when(ok, iso).otherwise(v)
+    r = v
+    for pat, rep in _CHAIN:
+        r = F.regexp_replace(r, pat, rep)
+    iso = F.when(r.startswith("D:"), F.substring(r, 3, 10))
+    pick = F.when(v.rlike(ISO), F.lit(1)).when(F.try_to_date(iso, "yyyy-MM-dd").isNotNull(), F.lit(2)).otherwise(F.lit(1))
+    return F.when(~empty, F.element_at(F.array(v, iso), pick))
 
 
-def date_parsed(c) -> Column:
-    """True where ``format_date`` recognised the text as a date."""
-    v = utrim(col_of(c))
-    y, m, d = iso_parts(v)
-    iso = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"),
-                      F.lpad(d.cast("string"), 2, "0"))
-    return v.rlike(ISO) | (y.isNotNull() & F.try_to_date(iso, "yyyy-MM-dd").isNotNull())
+# Each accepted shape rewritten to ``D:yyyy-M-d``; rewritten text matches no
+# later pattern, so the chain is one regex per shape.
+_CHAIN = [
+    (rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{4}}){_T}$", "D:$3-$2-$1"),
+    (rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.(69|[7-9][0-9]){_T}$", "D:19$3-$2-$1"),
+    (rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{2}}){_T}$", "D:20$3-$2-$1"),
+    (rf"^([0-9]{{4}})/([0-9]{{1,2}})/([0-9]{{1,2}}){_T}$", "D:$1-$2-$3"),
+    (rf"^([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}}){_T}$", "D:$1-$2-$3"),
+    (rf"^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}}){_T}$", "D:$1-$2-$3"),
+    (rf"^(1[3-9]|[2-9][0-9])/([0-9]{{1,2}})/([0-9]{{4}}){_T}$", "D:$3-$2-$1"),  # first > 12: day first
+    (rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}}){_T}$", "D:$3-$1-$2"),      # else month first
+    (r"-([0-9])(?=-|$)", "-0$1"),                                                # zero-fill month, day
+]

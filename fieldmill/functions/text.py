@@ -32,19 +32,14 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value, fn) -> Column:
-    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
-
-    Rules such as check digits read their input a dozen times; inlining a
-    non-trivial input that often makes the expression tree grow with every
-    nesting level.  A one-element ``transform`` binds it once instead.
-    """
-    return F.element_at(F.transform(F.array(col_of(value)), fn), 1)
+# The same set as WS, spelled out for btrim (no regex, generated code).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85 \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def utrim(c) -> Column:
     """Strip Unicode whitespace at both ends (Spark's trim() strips spaces only)."""
-    return F.regexp_replace(col_of(c), _TRIM, "")
+    return F.btrim(col_of(c), F.lit(WS_CHARS))
 
 
 def is_blank(c) -> Column:
@@ -198,7 +193,7 @@ def split_title(c) -> Column:
     The title must be followed by whitespace; a value that is nothing but a
     title is left alone.
     """
-    return let(utrim(col_of(c)), _split_title)
+    return _split_title(utrim(col_of(c)))
 
 
 def _split_title(v: Column) -> Column:

@@ -37,19 +37,43 @@ def _extract(v: Column, rule: str, target: str, split_mode: str) -> Column:
     return v
 
 
-def _msgs(m: Checked, df_cols: list[str], split_mode: str, check_email: bool) -> list[Column]:
-    if m.source not in df_cols:
-        return []
-    raw = F.col(m.source)
-    val = utrim(raw)
-    skip = is_empty_token(raw, ("nan", "none", "null", "<na>", ""))
-    tv = _extract(val, m.rule, m.target, split_mode)
-    live = ~skip & (tv != "")
+def _stage_checks(df: DataFrame, mapped: list[Checked], split_mode: str) -> tuple[DataFrame, list]:
+    """Add the per-column intermediate values as columns, in dependency
+    order, so each check reads plain column references (small expressions,
+    no repeated evaluation of nested checks)."""
+    live_maps = [(i, m) for i, m in enumerate(mapped) if m.source in df.columns]
+    s1, s2, s3, s4, s5 = {}, {}, {}, {}, {}
+    for i, m in live_maps:
+        raw = F.col(m.source)
+        s1[f"_v{i}"] = utrim(raw)
+        s1[f"_skip{i}"] = is_empty_token(raw, ("nan", "none", "null", "<na>", ""))
+        s2[f"_tv{i}"] = _extract(F.col(f"_v{i}"), m.rule, m.target, split_mode)
+        tv = F.col(f"_tv{i}")
+        rule, t = m.rule or "", m.target.lower()
+        if rule not in ("validate_ik", "validate_kvnr"):
+            s3[f"_cl{i}"] = text.sanitize_strict(tv)
+        if rule == "validate_ik" or "ik" in t:
+            s3[f"_ik{i}"] = checks.ik_check_ok(checks.ik_clean(tv))
+        if rule == "validate_kvnr" or "kvnr" in t or "vnr" in t:
+            s3[f"_kc{i}"] = F.upper(utrim(tv))
+            s4[f"_kr{i}"] = checks.repair_kvnr(F.col(f"_kc{i}"))
+            s5[f"_ko{i}"] = checks.kvnr_check_ok(F.col(f"_kr{i}.value"))
+        if rule == "validate_email" or "mail" in t:
+            s3[f"_em{i}"] = checks.validate_email(tv)
+    for stage in (s1, s2, s3, s4, s5):
+        if stage:
+            df = df.withColumns(stage)
+    return df, live_maps
+
+
+def _msgs(i: int, m: Checked, check_email: bool) -> list[Column]:
+    val, tv = F.col(f"_v{i}"), F.col(f"_tv{i}")
+    live = ~F.col(f"_skip{i}") & (tv != "")
     out = []
     rule = m.rule or ""
     t = m.target.lower()
     if rule not in ("validate_ik", "validate_kvnr"):
-        cleaned = text.sanitize_strict(tv)
+        cleaned = F.col(f"_cl{i}")
         out.append(F.when(live & (cleaned != tv), F.format_string(
             "Sonderzeichen in '%s' -> '%s' (%s -> %s)", F.lit(m.source), F.lit(m.target), tv, cleaned)))
     if m.limit:
@@ -57,17 +81,15 @@ def _msgs(m: Checked, df_cols: list[str], split_mode: str, check_email: bool) ->
             "Überlänge in '%s' (aus '%s'): '%s' hat %d Zeichen (max. %d)",
             F.lit(m.target), F.lit(m.source), tv, F.length(tv), F.lit(m.limit))))
     if rule == "validate_ik" or "ik" in t:
-        out.append(F.when(live & ~checks.ik_check_ok(checks.ik_clean(tv)), F.format_string(
+        out.append(F.when(live & ~F.col(f"_ik{i}"), F.format_string(
             "Ungültige IK in '%s' (%s)", F.lit(m.source), val)))
     if rule == "validate_kvnr" or "kvnr" in t or "vnr" in t:
-        clean = F.upper(utrim(tv))
-        rep = checks.repair_kvnr(clean)
-        ok = checks.kvnr_check_ok(rep["value"])
-        out.append(F.when(live & ok & rep["fixed"], F.format_string(
-            "KVNR in '%s' korrigiert: (%s -> %s)", F.lit(m.source), clean, rep["value"])))
+        ok, rep = F.col(f"_ko{i}"), f"_kr{i}"
+        out.append(F.when(live & ok & F.col(f"{rep}.fixed"), F.format_string(
+            "KVNR in '%s' korrigiert: (%s -> %s)", F.lit(m.source), F.col(f"_kc{i}"), F.col(f"{rep}.value"))))
         out.append(F.when(live & ~ok, F.format_string("Ungültige KVNR in '%s' (%s)", F.lit(m.source), val)))
     if check_email and (rule == "validate_email" or "mail" in t):
-        out.append(F.when(live & ~checks.validate_email(tv), F.format_string(
+        out.append(F.when(live & ~F.col(f"_em{i}"), F.format_string(
             "Ungültige E-Mail in '%s' (%s)", F.lit(m.source), val)))
     return out
 
@@ -77,14 +99,15 @@ def flag_records(df: DataFrame, mapped: list[Checked], row_col: str = "_row",
     """Rows with at least one finding: ``__quell_zeile`` (source line =
     row + 2), ``__gefundene_fehler`` (findings joined by `` | ``), then all
     source columns."""
-    msgs = [m for c in mapped for m in _msgs(c, df.columns, split_mode, check_email)]
-    found = F.array_compact(F.array(*msgs)) if msgs else F.array().cast("array<string>")
     src_cols = [c for c in df.columns if c != row_col]
+    staged, live_maps = _stage_checks(df, mapped, split_mode)
+    msgs = [x for i, m in live_maps for x in _msgs(i, m, check_email)]
+    found = F.array_compact(F.array(*msgs)) if msgs else F.array().cast("array<string>")
     # A Generate keeps the findings array to one evaluation per row (a plain
     # filter on it would be pushed below the projection and evaluate it twice).
     row = F.struct((F.col(row_col) + 2).alias("__quell_zeile"), found.alias("_found"),
                    *[F.col(c) for c in src_cols])
-    flagged = df.select(F.explode(F.filter(F.array(row), lambda r: F.size(r["_found"]) > 0)).alias("_r"))
+    flagged = staged.select(F.explode(F.filter(F.array(row), lambda r: F.size(r["_found"]) > 0)).alias("_r"))
     return flagged.select(F.col("_r.__quell_zeile").alias("__quell_zeile"),
                           F.array_join("_r._found", " | ").alias("__gefundene_fehler"),
                           *[F.col(f"_r.{c}").alias(c) for c in src_cols])
@@ -105,18 +128,21 @@ def invalid_cells(df: DataFrame, checked: list[tuple[str, str, str]], row_col: s
     validate_email.  A KVNR that the repair fixes is listed as ``repaired``
     (with its repaired value) rather than silently exported.
     """
+    reps = {f"_kr{i}": checks.repair_kvnr(F.col(s)) for i, (_, s, r) in enumerate(checked) if r == "validate_kvnr"}
+    if reps:
+        df = df.withColumns(reps)
+        df = df.withColumns({f"_ko{k[3:]}": checks.kvnr_check_ok(F.col(f"{k}.value")) for k in reps})
     cells = []
-    for target, source, rule in checked:
+    for i, (target, source, rule) in enumerate(checked):
         raw = F.col(source)
         live = ~text.is_blank(raw)
         if rule == "validate_ik":
             bad, issue, fixed = ~checks.validate_ik(raw), F.lit("invalid"), F.lit(None).cast("string")
         elif rule == "validate_kvnr":
-            rep = checks.repair_kvnr(raw)
-            ok = checks.kvnr_check_ok(rep["value"])
-            bad = ~ok | rep["fixed"]
+            ok = F.col(f"_ko{i}")
+            bad = ~ok | F.col(f"_kr{i}.fixed")
             issue = F.when(ok, F.lit("repaired")).otherwise(F.lit("invalid"))
-            fixed = F.when(ok, rep["value"])
+            fixed = F.when(ok, F.col(f"_kr{i}.value"))
         elif rule == "validate_email":
             bad, issue, fixed = ~checks.validate_email(raw), F.lit("invalid"), F.lit(None).cast("string")
         else:

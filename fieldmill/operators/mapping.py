@@ -163,8 +163,10 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
             exprs[t] = F.when(checks.validate_ik(src), checks.ik_clean(src)) if src is not None else F.lit(None)
         elif k == "validate_kvnr":
             if src is not None:
-                rep = checks.repair_kvnr(src)
-                exprs[t] = F.when(~text.is_blank(src) & checks.kvnr_check_ok(rep["value"]), rep["value"])
+                # staged: the repaired struct and its check become columns
+                df = df.withColumn(f"_kr_{t}", checks.repair_kvnr(src))
+                df = df.withColumn(f"_ko_{t}", checks.kvnr_check_ok(F.col(f"_kr_{t}.value")))
+                exprs[t] = F.when(~text.is_blank(src) & F.col(f"_ko_{t}"), F.col(f"_kr_{t}.value"))
             else:
                 exprs[t] = F.lit(None)
         elif k == "validate_email":
@@ -175,6 +177,12 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
             exprs[t] = keys.generate_uid(F.col(row_col), base_ms)
         elif k == "copy_target":
             exprs[t] = F.lit(None)
+        elif src is not None and (k == "format_date" or "birth" in t.lower() or "datum" in t.lower()):
+            # dates by rule or by name: the staged form (intermediates as columns)
+            fallback = rule.param if k == "format_date" else None
+            df = dates.with_format_date(df.withColumn(f"_dv_{t}", text.clean_by_kind(src, t)),
+                                        F.col(f"_dv_{t}"), f"_fd_{t}", fallback)
+            exprs[t] = F.col(f"_fd_{t}") if fallback else text.nullif_blank(F.col(f"_fd_{t}"))
         elif src is not None:
             c, exempt = _plain(src, t, rule, cols)
             exprs[t] = c if exempt else text.nullif_blank(c)

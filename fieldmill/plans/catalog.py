@@ -94,7 +94,7 @@ SELECT o_orderkey, date_in, {O.format_date('date_in')} AS date_out
 FROM (SELECT o_orderkey, {_DATE_IN_DUCK} AS date_in FROM orders)""")
 def q_format_date(spark, sf):
     o = I.derived(spark, sf, f"SELECT o_orderkey, {_DATE_IN_SPARK} AS date_in FROM orders", ["orders"])
-    return o.select("o_orderkey", "date_in", dates.format_date("date_in").alias("date_out"))
+    return dates.with_format_date(o, "date_in", "date_out").select("o_orderkey", "date_in", "date_out")
 
 
 @query("default_value", f"""
@@ -195,8 +195,8 @@ def q_validate_kvnr(spark, sf):
 SELECT k, kv, CAST({O.kvnr_fixed(O.kvnr_clean('kv'))} AS INTEGER) AS fixed, {O.kvnr_value(O.kvnr_clean('kv'))} AS kv_value
 FROM {P}""")
 def q_repair_kvnr(spark, sf):
-    r = checks.repair_kvnr("kv")
-    return _persons(spark, sf).select("k", "kv", r["fixed"].cast("int").alias("fixed"), r["value"].alias("kv_value"))
+    p = _persons(spark, sf).withColumn("_r", checks.repair_kvnr("kv"))
+    return p.select("k", "kv", F.col("_r.fixed").cast("int").alias("fixed"), F.col("_r.value").alias("kv_value"))
 
 
 _IK_IN = """CASE o_orderkey % 5
@@ -253,10 +253,11 @@ def q_issue_summary(spark, sf):
 
 
 def _exported(df: DataFrame) -> DataFrame:
-    rep = checks.repair_kvnr("kv")
+    df = df.withColumn("_r", checks.repair_kvnr("kv"))
+    df = df.withColumn("_ok", checks.kvnr_check_ok(F.col("_r.value")))
     return df.select(
         "_row", "kv", "ik", "mail",
-        F.when(~text.is_blank("kv") & checks.kvnr_check_ok(rep["value"]), rep["value"]).alias("p_vnr"),
+        F.when(~text.is_blank("kv") & F.col("_ok"), F.col("_r.value")).alias("p_vnr"),
         F.when(checks.validate_ik("ik"), checks.ik_clean("ik")).alias("p_ik"),
         F.when(checks.validate_email("mail"), text.utrim("mail")).alias("p_email"))
 

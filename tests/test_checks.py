@@ -125,3 +125,15 @@ class TestKeys:
         df = spark.createDataFrame([(0, " 7 "), (1, "None"), (2, "NULL")], "r long, e string")
         out = [r.o for r in df.select(keys.id_carry_over("e", "r").alias("o")).orderBy("r").collect()]
         assert out == ["7", "000002", "NULL"]
+
+
+def test_staged_and_column_dates_agree(spark):
+    from pyspark.sql import functions as F
+    vals = ["15.08.1985", "1985/08/15", "15.8.85", "abc", "31.02.2020", "19850815", "2020-01-05", "15.08.1985 10:30",
+            None, "nan", "01.02.1985", "02/03/2020", "13/02/2020", "2020-13-45", "1.1.70", "1.1.68", "1985-8-5",
+            " 7/4/2021 ", "1/2/3/4", "2021/2/30"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    out = dates.with_format_date(df, F.col("v"), "staged").select("i", "staged", dates.format_date("v").alias("col"))
+    rows = out.orderBy("i").collect()
+    assert [r.staged for r in rows] == [r.col for r in rows]
+    assert rows[14].staged == "1970-01-01" and rows[15].staged == "2068-01-01" and rows[17].staged == "2021-07-04"
