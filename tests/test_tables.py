@@ -280,3 +280,33 @@ def test_product_of_check_outputs_is_whole(spark):
     src = _src(spark)
     out = mapping.project_to_schema(src, MappingSpec.for_layout("adressen", {}, {}))
     assert sorted(r._row for r in out.collect()) == list(itertools.islice(itertools.count(), 4))
+
+
+class TestSaltedJoin:
+    """The non-broadcast path: a hot key with a third of all rows, salted."""
+
+    def test_salted_equals_broadcast(self, spark):
+        from fieldmill.operators.joins import lookup_join
+        fact = spark.range(0, 3000, 1, 6).select(
+            "id", F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise((F.col("id") % 50).cast("string")).alias("k"))
+        dim = spark.createDataFrame([("HOT", "h")] + [(str(i), f"v{i}") for i in range(40)], "key string, val string")
+        a = sorted(tuple(r) for r in lookup_join(fact, dim, F.col("k"), "key").collect())
+        b = sorted(tuple(r) for r in lookup_join(fact, dim, F.col("k"), "key", max_rows=0, salts=8).collect())
+        assert a == b and len(a) == 3000
+        assert sum(1 for r in b if r[2] == "h") == 1000
+
+    def test_lookups_without_broadcast(self, spark):
+        dim = lookups.postcode_dim_from_lines(_lines(spark, TestLookups.POSTCODES))
+        src = spark.createDataFrame([(i, None, "1945" if i % 3 else "10115") for i in range(300)],
+                                    "r int, own string, plz string")
+        a = lookups.lookup_city_by_postcode(src, F.col("own"), F.col("plz"), dim, "city")
+        b = lookups.lookup_city_by_postcode(src, F.col("own"), F.col("plz"), dim, "city", max_rows=0)
+        assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+    def test_fuzzy_without_broadcast(self, spark):
+        dim = lookups.payer_dim_from_lines(_lines(spark, TestLookups.PAYERS))
+        src = spark.createDataFrame(list(enumerate(["aok nordost", "BARMR", "zzz", "Techniker Krankenkase"])),
+                                    "r int, name string")
+        a = lookups.match_payer_fuzzy(src, F.col("name"), dim)
+        b = lookups.match_payer_fuzzy(src, F.col("name"), dim, max_rows=0)
+        assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
