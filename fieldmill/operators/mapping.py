@@ -118,11 +118,26 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
                       payer_dim: DataFrame | None = None, row_col: str = "_row",
                       base_ms: int | None = None, keep: list[str] | None = None,
                       postcode_width: int = 5, split_titles: bool = False,
-                      copies: bool = True) -> DataFrame:
+                      copies: bool = True, clean_kvnr: bool = False,
+                      infer_salutation: bool = False) -> DataFrame:
     """Evaluate every target column's rule; output ``row_col``, the target
-    columns in declared order, then ``keep`` source columns."""
+    columns in declared order, then ``keep`` source columns.
+
+    Options: ``split_titles`` strips a leading academic title from the
+    sources of name targets (a ``titel`` target receives it);
+    ``clean_kvnr`` reads letter O as zero after the first position in the
+    sources of targets named like an insurance number (off by default, D6);
+    ``infer_salutation`` fills an empty salutation target from the first
+    name mapped to ``p_vname``/``name2`` (off by default; the original tool
+    has the setting but never applies it).
+    """
     cols = list(df.columns)
     src_of = {t: s for t, s in spec.sources.items() if s and s in cols}
+    if clean_kvnr:
+        for t, s in list(src_of.items()):
+            if "kvnr" in t.lower() or "versichertennummer" in t.lower():
+                df = df.withColumn(f"_ko0_{t}", text.clean_insurance_o(F.col(s)))
+                src_of[t] = f"_ko0_{t}"
     titles = {}
     if split_titles:
         for t, s in src_of.items():
@@ -195,6 +210,13 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
     if "titel" in spec.layout and titles and spec.rule("titel").type == "none" and "titel" not in src_of:
         first = next(iter(titles.values()))
         exprs["titel"] = F.nullif(F.col(f"{first}.title"), F.lit(""))
+    if infer_salutation:
+        first = next((src_of[t] for t in ("p_vname", "name2") if t in src_of), None)
+        if first:
+            guess = F.nullif(text.infer_salutation(F.col(first))["salutation"], F.lit(""))
+            for t in spec.layout:
+                if "anrede" in t.lower():
+                    exprs[t] = F.coalesce(exprs[t], guess)
     out = df.select(F.col(row_col), *[exprs[t].cast("string").alias(t) for t in spec.layout],
                     *[F.col(c) for c in (keep or [])])
     return apply_copies(out, spec) if copies else out

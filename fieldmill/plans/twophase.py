@@ -34,6 +34,8 @@ class Job:
     payer_dim: DataFrame | None = None
     clean_strings: bool = True
     split_titles: bool = False
+    clean_kvnr: bool = False
+    infer_salutation: bool = False
     postcode_width: int = 5
     extra_fields: list = field(default_factory=list)
     row_col: str = "_row"
@@ -78,7 +80,8 @@ def _project(job: Job, src: DataFrame, copies: bool = True) -> DataFrame:
     keep = [c for c in keep if c in src.columns and c not in job.spec.layout]
     return mapping.project_to_schema(src, job.spec, job.postcode_dim, job.payer_dim, job.row_col,
                                      keep=keep, postcode_width=job.postcode_width,
-                                     split_titles=job.split_titles, copies=copies)
+                                     split_titles=job.split_titles, copies=copies,
+                                     clean_kvnr=job.clean_kvnr, infer_salutation=job.infer_salutation)
 
 
 def phase_b(job: Job, cleanup_rejected: DataFrame | None = None, invalid_policy: str = "clear",

@@ -3,7 +3,6 @@ and the stateless rules on a stream equal the batch result."""
 
 import os
 
-from pyspark.sql import functions as F
 
 from fieldmill.operators import lookups
 from fieldmill.operators.extras import ExtraField

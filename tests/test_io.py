@@ -5,7 +5,6 @@ import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from fieldmill.sources import delimited, dims, sinks
 

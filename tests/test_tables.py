@@ -310,3 +310,19 @@ class TestSaltedJoin:
         a = lookups.match_payer_fuzzy(src, F.col("name"), dim)
         b = lookups.match_payer_fuzzy(src, F.col("name"), dim, max_rows=0)
         assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_d6_clean_kvnr_option(spark):
+    df = spark.createDataFrame([(0, "AO23456789")], "_row long, v string")
+    layout = {"kvnr": "VARCHAR(40)"}
+    spec = MappingSpec(layout, {"kvnr": "v"}, {})
+    assert mapping.project_to_schema(df, spec).first().kvnr == "AO23456789"
+    assert mapping.project_to_schema(df, spec, clean_kvnr=True).first().kvnr == "A023456789"
+
+
+def test_infer_salutation_option(spark):
+    df = spark.createDataFrame([(0, "Maria", None), (1, "Kim", None), (2, "Hans", "W")], "_row long, vn string, g string")
+    spec = MappingSpec.for_layout("adressen", {"name2": "vn", "anrede": "g"}, {"anrede": Rule("gender")})
+    got = [r.anrede for r in mapping.project_to_schema(df, spec, infer_salutation=True).orderBy("_row").collect()]
+    assert got == ["Frau", None, "Frau"]
+    assert [r.anrede for r in mapping.project_to_schema(df, spec).orderBy("_row").collect()] == [None, None, "Frau"]
