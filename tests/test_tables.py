@@ -326,3 +326,19 @@ def test_infer_salutation_option(spark):
     got = [r.anrede for r in mapping.project_to_schema(df, spec, infer_salutation=True).orderBy("_row").collect()]
     assert got == ["Frau", None, "Frau"]
     assert [r.anrede for r in mapping.project_to_schema(df, spec).orderBy("_row").collect()] == [None, None, "Frau"]
+
+
+@pytest.mark.parametrize("max_rows", [1_000_000, 0])
+def test_lookups_with_colliding_column_names(spark, max_rows):
+    pdim = lookups.postcode_dim_from_lines(_lines(spark, TestLookups.POSTCODES))
+    kdim = lookups.payer_dim_from_lines(_lines(spark, TestLookups.PAYERS))
+    src = spark.createDataFrame([(0, "1945", "berlin", "109519005", "x")],
+                                "r int, postcode string, city_key string, ik string, name_key string")
+    a = lookups.lookup_city_by_postcode(src, None, F.col("postcode"), pdim, "city", max_rows=max_rows)
+    a = lookups.lookup_postcode_by_city(a, None, F.col("city_key"), pdim, "plz", max_rows=max_rows)
+    a = lookups.lookup_payer_by_id(a, F.col("ik"), kdim, "kasse", max_rows=max_rows)
+    a = lookups.lookup_id_by_payer(a, F.col("name_key"), kdim, max_rows=max_rows)
+    r = a.first()
+    assert a.columns[:5] == ["r", "postcode", "city_key", "ik", "name_key"]
+    assert (r.postcode, r.city, r.plz, r.ik, r.kasse, r.match_ik) == ("1945", "Ruhland", "10115", "109519005",
+                                                                      "AOK Nordost Neu", None)
