@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.functions.text import col_of, is_empty_token, utrim
+from fieldmill.functions.text import col_of, is_empty_token, qcol, utrim
 
 _T = r"(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?"
 ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -45,7 +45,7 @@ def _stages(src: Column, p: str, fallback: str | None) -> list[dict[str, Column]
     Each intermediate value is its own column, so it is computed once per
     row and every later expression reads a plain column reference (small
     generated code, no repeated regex evaluation)."""
-    c = lambda n: F.col(p + n)
+    c = lambda n: qcol(p + n)
     v = utrim(src)
     empty = is_empty_token(src)
     if fallback:

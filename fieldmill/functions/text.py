@@ -28,8 +28,14 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "n/a", "nan", "null"]
 
 
+def qcol(name: str) -> Column:
+    """A column by its literal name: headers such as ``Geb.Datum`` must not
+    be read as struct-field paths."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def col_of(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return qcol(c) if isinstance(c, str) else c
 
 
 # The same set as WS, spelled out for btrim (no regex, generated code).

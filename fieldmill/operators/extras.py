@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.functions import keys, text
+from fieldmill.functions.text import qcol
 
 # The definition row's constant attributes.
 PROPERTY_MAXWIDTH = 255
@@ -47,14 +48,14 @@ def property_values(df: DataFrame, fields: list[ExtraField], id_col: str = "id",
     ``row * n_fields + field_idx``."""
     n = len(fields)
     cells = F.array(*[F.struct(F.lit(i).alias("field_idx"), F.lit(f.property_id).alias("property_id"),
-                               F.col(f.source_col).alias("raw")) for i, f in enumerate(fields)])
-    pid = F.col(id_col) if id_col in df.columns else F.col(row_col).cast("string")
-    long = df.select(F.col(row_col), pid.alias("patienten_id"), F.explode(cells).alias("c"))
+                               qcol(f.source_col).alias("raw")) for i, f in enumerate(fields)])
+    pid = qcol(id_col) if id_col in df.columns else qcol(row_col).cast("string")
+    long = df.select(qcol(row_col), pid.alias("patienten_id"), F.explode(cells).alias("c"))
     long = long.where(~text.is_blank(F.col("c.raw")))
-    vrow = F.col(row_col) * n + F.col("c.field_idx")
+    vrow = qcol(row_col) * n + F.col("c.field_idx")
     return long.select(keys.generate_uid(vrow, base_ms).alias("id"), F.col("c.property_id").alias("property_id"),
                        "patienten_id", text.utrim(F.col("c.raw")).alias("content"),
-                       F.col("c.field_idx").alias("field_idx"), F.col(row_col))
+                       F.col("c.field_idx").alias("field_idx"), qcol(row_col))
 
 
 def property_definitions(values: DataFrame, fields: list[ExtraField]) -> DataFrame:

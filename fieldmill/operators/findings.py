@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.functions import checks, text
-from fieldmill.functions.text import is_empty_token, utrim
+from fieldmill.functions.text import is_empty_token, qcol, utrim
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def _stage_checks(df: DataFrame, mapped: list[Checked], split_mode: str) -> tupl
     live_maps = [(i, m) for i, m in enumerate(mapped) if m.source in df.columns]
     s1, s2, s3, s4, s5 = {}, {}, {}, {}, {}
     for i, m in live_maps:
-        raw = F.col(m.source)
+        raw = qcol(m.source)
         s1[f"_v{i}"] = utrim(raw)
         s1[f"_skip{i}"] = is_empty_token(raw, ("nan", "none", "null", "<na>", ""))
         s2[f"_tv{i}"] = _extract(F.col(f"_v{i}"), m.rule, m.target, split_mode)
@@ -105,12 +105,12 @@ def flag_records(df: DataFrame, mapped: list[Checked], row_col: str = "_row",
     found = F.array_compact(F.array(*msgs)) if msgs else F.array().cast("array<string>")
     # A Generate keeps the findings array to one evaluation per row (a plain
     # filter on it would be pushed below the projection and evaluate it twice).
-    row = F.struct((F.col(row_col) + 2).alias("__quell_zeile"), found.alias("_found"),
-                   *[F.col(c) for c in src_cols])
+    row = F.struct((qcol(row_col) + 2).alias("__quell_zeile"), found.alias("_found"),
+                   *[qcol(c) for c in src_cols])
     flagged = staged.select(F.explode(F.filter(F.array(row), lambda r: F.size(r["_found"]) > 0)).alias("_r"))
     return flagged.select(F.col("_r.__quell_zeile").alias("__quell_zeile"),
                           F.array_join("_r._found", " | ").alias("__gefundene_fehler"),
-                          *[F.col(f"_r.{c}").alias(c) for c in src_cols])
+                          *[F.col("_r").getField(c).alias(c) for c in src_cols])
 
 
 # --------------------------------------------------------- long findings
@@ -118,7 +118,7 @@ def flag_records(df: DataFrame, mapped: list[Checked], row_col: str = "_row",
 
 def _explode_cells(df: DataFrame, row_col: str, cells: list[Column]) -> DataFrame:
     arr = F.array_compact(F.array(*cells))
-    return df.select(F.col(row_col).alias("row_idx"), F.explode(arr).alias("_c")).select("row_idx", "_c.*")
+    return df.select(qcol(row_col).alias("row_idx"), F.explode(arr).alias("_c")).select("row_idx", "_c.*")
 
 
 def invalid_cells(df: DataFrame, checked: list[tuple[str, str, str]], row_col: str = "_row") -> DataFrame:
@@ -128,13 +128,13 @@ def invalid_cells(df: DataFrame, checked: list[tuple[str, str, str]], row_col: s
     validate_email.  A KVNR that the repair fixes is listed as ``repaired``
     (with its repaired value) rather than silently exported.
     """
-    reps = {f"_kr{i}": checks.repair_kvnr(F.col(s)) for i, (_, s, r) in enumerate(checked) if r == "validate_kvnr"}
+    reps = {f"_kr{i}": checks.repair_kvnr(qcol(s)) for i, (_, s, r) in enumerate(checked) if r == "validate_kvnr"}
     if reps:
         df = df.withColumns(reps)
         df = df.withColumns({f"_ko{k[3:]}": checks.kvnr_check_ok(F.col(f"{k}.value")) for k in reps})
     cells = []
     for i, (target, source, rule) in enumerate(checked):
-        raw = F.col(source)
+        raw = qcol(source)
         live = ~text.is_blank(raw)
         if rule == "validate_ik":
             bad, issue, fixed = ~checks.validate_ik(raw), F.lit("invalid"), F.lit(None).cast("string")
@@ -157,7 +157,7 @@ def cleanup_preview(df: DataFrame, cols: list[str], row_col: str = "_row") -> Da
     """Cells whose strict-sanitized text differs from the raw text."""
     cells = []
     for c in cols:
-        raw = F.col(c)
+        raw = qcol(c)
         cleaned = text.sanitize_strict(raw)
         cells.append(F.when(~text.is_blank(raw) & (cleaned != raw), F.struct(
             F.lit(c).alias("col_name"), raw.alias("original"), cleaned.alias("cleaned"))))
@@ -170,7 +170,7 @@ def length_conflicts(df: DataFrame, limits: dict[str, int], row_col: str = "_row
     for c, n in limits.items():
         if c not in df.columns:
             continue
-        v = F.col(c)
+        v = qcol(c)
         cells.append(F.when(v.isNotNull() & (v != "NULL") & (F.length(v) > n), F.struct(
             F.lit(c).alias("col_name"), F.lit(n).alias("limit"), v.alias("orig_val"))))
     return _explode_cells(df, row_col, cells)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmill.functions.text import qcol
+
 BROADCAST_MAX_ROWS = 1_000_000
 DEFAULT_SALTS = 32
 
@@ -33,7 +35,7 @@ def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: Column, dim_key: str,
         out = fact.join(F.broadcast(dim), fact["_lk"] == dim[dim_key], how)
         return out.drop("_lk").drop(dim[dim_key])
     salted_fact = fact.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(salts)).cast("int"))
+        "_salt", F.pmod(F.xxhash64(*[qcol(c) for c in fact.columns]), F.lit(salts)).cast("int"))
     salted_dim = (dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
                   .withColumnRenamed(dim_key, "_dk"))
     out = salted_fact.join(salted_dim, (F.col("_lk") == F.col("_dk")) & (salted_fact["_salt"] == salted_dim["_salt"]), how)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.functions.text import WS, col_of, is_blank, pad_postcode, utrim
+from fieldmill.functions.text import WS, col_of, is_blank, pad_postcode, qcol, utrim
 from fieldmill.operators.joins import BROADCAST_MAX_ROWS, is_broadcastable, lookup_join
 from fieldmill.session import stable
 
@@ -49,7 +49,7 @@ def payer_dim_from_lines(lines: DataFrame) -> DataFrame:
 
 
 def lines_of(df: DataFrame, value_col: str = "value", order_col: str = "line") -> DataFrame:
-    return df.select(F.col(order_col).cast("long").alias("line"), F.col(value_col).alias("value"))
+    return df.select(qcol(order_col).cast("long").alias("line"), qcol(value_col).alias("value"))
 
 
 # ----------------------------------------------------------- reductions
@@ -67,7 +67,7 @@ def first_postcode_by_city(dim: DataFrame) -> DataFrame:
 def _ordered_distinct_list(dim: DataFrame, key: Column, key_name: str, item: str, out: str) -> DataFrame:
     # distinct (key, item) first (partial aggregation), then the ordered list
     # per key: the list is the operator's output cell itself.
-    firsts = dim.groupBy(key.alias(key_name), F.col(item).alias("_item")).agg(F.min("line").alias("_first"))
+    firsts = dim.groupBy(key.alias(key_name), qcol(item).alias("_item")).agg(F.min("line").alias("_first"))
     return (firsts.groupBy(key_name)
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_item"))),
                              lambda s: s["_item"]).alias(out)))
@@ -214,8 +214,8 @@ def match_payer_fuzzy(df: DataFrame, name, dim: DataFrame, cutoff: float = 0.6,
     names_b = F.broadcast(names) if small else names
 
     def grams(frame: DataFrame, raw: str, srt: str, keys: list[str]) -> DataFrame:
-        r = frame.select(*keys, F.lit("r").alias("_form"), F.explode(padded_bigrams(F.col(raw))).alias("_g"))
-        t = frame.select(*keys, F.lit("s").alias("_form"), F.explode(padded_bigrams(F.col(srt))).alias("_g"))
+        r = frame.select(*keys, F.lit("r").alias("_form"), F.explode(padded_bigrams(qcol(raw))).alias("_g"))
+        t = frame.select(*keys, F.lit("s").alias("_form"), F.explode(padded_bigrams(qcol(srt))).alias("_g"))
         return r.unionByName(t)
 
     qg = grams(queries, "_q", "_qs", ["_q"])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.functions import checks, dates, keys, text
+from fieldmill.functions.text import qcol
 from fieldmill.operators import lookups
 from fieldmill.plans.spec import ID_COLUMNS, LANR_COLUMNS, MappingSpec
 
@@ -136,52 +137,52 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
     if clean_kvnr:
         for t, s in list(src_of.items()):
             if "kvnr" in t.lower() or "versichertennummer" in t.lower():
-                df = df.withColumn(f"_ko0_{t}", text.clean_insurance_o(F.col(s)))
+                df = df.withColumn(f"_ko0_{t}", text.clean_insurance_o(qcol(s)))
                 src_of[t] = f"_ko0_{t}"
     titles = {}
     if split_titles:
         for t, s in src_of.items():
             if "name" in t.lower():
-                df = df.withColumn(f"_st_{t}", text.split_title(F.col(s)))
+                df = df.withColumn(f"_st_{t}", text.split_title(qcol(s)))
                 titles[t] = f"_st_{t}"
     exprs: dict[str, Column] = {}
     for t in spec.layout:
         rule = spec.rule(t)
         s = src_of.get(t)
         param_col = rule.param if rule.param in cols else None
-        src = F.col(f"{titles[t]}.name") if t in titles else (F.col(s) if s else None)
+        src = qcol(titles[t]).getField("name") if t in titles else (qcol(s) if s else None)
         k = rule.type
         if k == "lookup_plz_by_city":
             city = param_col or s
             if postcode_dim is not None and city:
-                df = lookups.lookup_postcode_by_city(df, src, F.col(city), postcode_dim, f"_lk_{t}", postcode_width)
-                exprs[t] = F.col(f"_lk_{t}")
+                df = lookups.lookup_postcode_by_city(df, src, qcol(city), postcode_dim, f"_lk_{t}", postcode_width)
+                exprs[t] = qcol(f"_lk_{t}")
             else:
                 exprs[t] = text.pad_postcode(text.nullif_blank(text.utrim(src)), postcode_width) if src is not None else F.lit(None)
         elif k == "lookup_city_by_plz":
             plz = param_col or s
             if postcode_dim is not None and plz:
-                df = lookups.lookup_city_by_postcode(df, src, F.col(plz), postcode_dim, f"_lk_{t}", postcode_width)
-                exprs[t] = F.col(f"_lk_{t}")
+                df = lookups.lookup_city_by_postcode(df, src, qcol(plz), postcode_dim, f"_lk_{t}", postcode_width)
+                exprs[t] = qcol(f"_lk_{t}")
             else:
                 exprs[t] = text.nullif_blank(text.utrim(src)) if src is not None else F.lit(None)
         elif k == "lookup_ik_provider":
             ikc = param_col or s
             if payer_dim is not None and ikc:
-                df = lookups.lookup_payer_by_id(df, F.col(ikc), payer_dim, f"_lk_{t}")
-                exprs[t] = F.col(f"_lk_{t}")
+                df = lookups.lookup_payer_by_id(df, qcol(ikc), payer_dim, f"_lk_{t}")
+                exprs[t] = qcol(f"_lk_{t}")
             else:
                 exprs[t] = F.lit(None)
         elif k == "auto_sequence_6":
-            exprs[t] = keys.auto_sequence_6(src, F.col(row_col))
+            exprs[t] = keys.auto_sequence_6(src, qcol(row_col))
         elif k == "validate_ik":
             exprs[t] = F.when(checks.validate_ik(src), checks.ik_clean(src)) if src is not None else F.lit(None)
         elif k == "validate_kvnr":
             if src is not None:
                 # staged: the repaired struct and its check become columns
                 df = df.withColumn(f"_kr_{t}", checks.repair_kvnr(src))
-                df = df.withColumn(f"_ko_{t}", checks.kvnr_check_ok(F.col(f"_kr_{t}.value")))
-                exprs[t] = F.when(~text.is_blank(src) & F.col(f"_ko_{t}"), F.col(f"_kr_{t}.value"))
+                df = df.withColumn(f"_ko_{t}", checks.kvnr_check_ok(qcol(f"_kr_{t}").getField("value")))
+                exprs[t] = F.when(~text.is_blank(src) & qcol(f"_ko_{t}"), qcol(f"_kr_{t}").getField("value"))
             else:
                 exprs[t] = F.lit(None)
         elif k == "validate_email":
@@ -189,15 +190,15 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
         elif k == "static_value":
             exprs[t] = F.lit(rule.param or "")
         elif k == "generate_uid":
-            exprs[t] = keys.generate_uid(F.col(row_col), base_ms)
+            exprs[t] = keys.generate_uid(qcol(row_col), base_ms)
         elif k == "copy_target":
             exprs[t] = F.lit(None)
         elif src is not None and (k == "format_date" or "birth" in t.lower() or "datum" in t.lower()):
             # dates by rule or by name: the staged form (intermediates as columns)
             fallback = rule.param if k == "format_date" else None
             df = dates.with_format_date(df.withColumn(f"_dv_{t}", text.clean_by_kind(src, t)),
-                                        F.col(f"_dv_{t}"), f"_fd_{t}", fallback)
-            exprs[t] = F.col(f"_fd_{t}") if fallback else text.nullif_blank(F.col(f"_fd_{t}"))
+                                        qcol(f"_dv_{t}"), f"_fd_{t}", fallback)
+            exprs[t] = qcol(f"_fd_{t}") if fallback else text.nullif_blank(qcol(f"_fd_{t}"))
         elif src is not None:
             c, exempt = _plain(src, t, rule, cols)
             exprs[t] = c if exempt else text.nullif_blank(c)
@@ -206,19 +207,19 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
         else:
             exprs[t] = F.lit(None)
         if t in titles and t == "titel":
-            exprs[t] = F.col(f"{titles[t]}.title")
+            exprs[t] = qcol(titles[t]).getField("title")
     if "titel" in spec.layout and titles and spec.rule("titel").type == "none" and "titel" not in src_of:
         first = next(iter(titles.values()))
-        exprs["titel"] = F.nullif(F.col(f"{first}.title"), F.lit(""))
+        exprs["titel"] = F.nullif(qcol(first).getField("title"), F.lit(""))
     if infer_salutation:
         first = next((src_of[t] for t in ("p_vname", "name2") if t in src_of), None)
         if first:
-            guess = F.nullif(text.infer_salutation(F.col(first))["salutation"], F.lit(""))
+            guess = F.nullif(text.infer_salutation(qcol(first))["salutation"], F.lit(""))
             for t in spec.layout:
                 if "anrede" in t.lower():
                     exprs[t] = F.coalesce(exprs[t], guess)
-    out = df.select(F.col(row_col), *[exprs[t].cast("string").alias(t) for t in spec.layout],
-                    *[F.col(c) for c in (keep or [])])
+    out = df.select(qcol(row_col), *[exprs[t].cast("string").alias(t) for t in spec.layout],
+                    *[qcol(c) for c in (keep or [])])
     return apply_copies(out, spec) if copies else out
 
 
@@ -228,11 +229,11 @@ def apply_copies(out: DataFrame, spec: MappingSpec) -> DataFrame:
     for t in spec.layout:
         r = spec.rule(t)
         if r.type == "copy_target" and r.param:
-            out = out.withColumn(t, F.col(r.param) if r.param in out.columns else F.lit(None).cast("string"))
+            out = out.withColumn(t, qcol(r.param) if r.param in out.columns else F.lit(None).cast("string"))
     return out
 
 
 def rest_table(df: DataFrame, spec: MappingSpec, row_col: str = "_row") -> DataFrame:
     """All source columns neither mapped nor named by a rule parameter."""
     used = spec.used_columns()
-    return df.select(row_col, *[c for c in df.columns if c != row_col and c not in used])
+    return df.select(qcol(row_col), *[qcol(c) for c in df.columns if c != row_col and c not in used])

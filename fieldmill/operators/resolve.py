@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.functions import text
+from fieldmill.functions.text import qcol
 from fieldmill.operators.joins import lookup_join
 
 
 def _decision_maps(decisions: DataFrame, col_field: str, value: Column) -> DataFrame:
     return (decisions.groupBy(F.col("row_idx").alias("_drow"))
-            .agg(F.map_from_entries(F.collect_list(F.struct(F.col(col_field), value))).alias("_dmap")))
+            .agg(F.map_from_entries(F.collect_list(F.struct(qcol(col_field), value))).alias("_dmap")))
 
 
 def _has(col: str) -> Column:
@@ -33,14 +34,14 @@ def apply_cleanup(df: DataFrame, cols: list[str], rejected: DataFrame | None = N
     preview cells the user declined; those keep their raw text.
     """
     def cleaned(c: str) -> Column:
-        raw = F.col(c)
+        raw = qcol(c)
         return F.when(text.is_blank(raw), raw).otherwise(text.sanitize_strict(raw))
 
     if rejected is None:
         return df.withColumns({c: cleaned(c) for c in cols})
     maps = _decision_maps(rejected, "col_name", F.lit(True))
-    j = lookup_join(df, maps, F.col(row_col), "_drow")
-    return j.withColumns({c: F.when(_has(c), F.col(c)).otherwise(cleaned(c)) for c in cols}).drop("_dmap")
+    j = lookup_join(df, maps, qcol(row_col), "_drow")
+    return j.withColumns({c: F.when(_has(c), qcol(c)).otherwise(cleaned(c)) for c in cols}).drop("_dmap")
 
 
 def apply_invalid_decisions(out: DataFrame, checked: list[tuple[str, str]], policy: str = "clear",
@@ -53,18 +54,18 @@ def apply_invalid_decisions(out: DataFrame, checked: list[tuple[str, str]], poli
     target_col, action keep|clear|custom, custom_val) overrides per cell.
     """
     def bulk(t: str, s: str) -> Column:
-        bad = F.col(t).isNull() & ~text.is_blank(F.col(s))
-        return F.when(bad, F.col(s) if policy == "keep" else F.lit(None).cast("string")).otherwise(F.col(t))
+        bad = qcol(t).isNull() & ~text.is_blank(qcol(s))
+        return F.when(bad, qcol(s) if policy == "keep" else F.lit(None).cast("string")).otherwise(qcol(t))
 
     if decisions is None:
         return out.withColumns({t: bulk(t, s) for t, s in checked})
     maps = _decision_maps(decisions, "target_col", F.struct("action", "custom_val"))
-    j = lookup_join(out, maps, F.col(row_col), "_drow")
+    j = lookup_join(out, maps, qcol(row_col), "_drow")
 
     def decided(t: str, s: str) -> Column:
         d = F.try_element_at(F.col("_dmap"), F.lit(t))
         custom = F.when(~text.is_blank(d["custom_val"]), d["custom_val"])
-        return (F.when(_has(t) & (d["action"] == "keep"), F.col(s))
+        return (F.when(_has(t) & (d["action"] == "keep"), qcol(s))
                 .when(_has(t) & (d["action"] == "clear"), F.lit(None).cast("string"))
                 .when(_has(t) & (d["action"] == "custom"), custom)
                 .otherwise(bulk(t, s)))
@@ -76,7 +77,7 @@ def resolve_length(out: DataFrame, limits: dict[str, int], policy: str = "trunca
     """Over-long cells: ``truncate`` to the limit (default) or ``ignore``;
     ``decisions`` (row_idx, col_name, new_val) set single cells."""
     def bulk(c: str, n: int) -> Column:
-        v = F.col(c)
+        v = qcol(c)
         if policy == "ignore":
             return v
         return F.when(v.isNotNull() & (v != "NULL") & (F.length(v) > n), F.substring(v, 1, n)).otherwise(v)
@@ -85,6 +86,6 @@ def resolve_length(out: DataFrame, limits: dict[str, int], policy: str = "trunca
     if decisions is None:
         return out.withColumns({c: bulk(c, n) for c, n in cols.items()})
     maps = _decision_maps(decisions, "col_name", F.col("new_val"))
-    j = lookup_join(out, maps, F.col(row_col), "_drow")
+    j = lookup_join(out, maps, qcol(row_col), "_drow")
     return j.withColumns({c: F.when(_has(c), F.try_element_at(F.col("_dmap"), F.lit(c))).otherwise(bulk(c, n))
                           for c, n in cols.items()}).drop("_dmap")

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmill.functions.text import qcol
 from fieldmill.operators import extras, findings, mapping, resolve
 from fieldmill.operators.findings import Checked
 from fieldmill.plans.spec import MappingSpec
@@ -97,7 +98,7 @@ def phase_b(job: Job, cleanup_rejected: DataFrame | None = None, invalid_policy:
         out = resolve.apply_invalid_decisions(out, checked, invalid_policy, invalid_decisions, job.row_col)
     out = mapping.apply_copies(out, job.spec)
     out = resolve.resolve_length(out, limits(job.spec.layout), length_policy, length_decisions, job.row_col)
-    result = {"mapped": out.select(job.row_col, *job.spec.layout),
+    result = {"mapped": out.select(qcol(job.row_col), *[qcol(t) for t in job.spec.layout]),
               "rest": mapping.rest_table(job.source, job.spec, job.row_col)}
     if job.extra_fields:
         values = extras.property_values(out, job.extra_fields, id_col="id", row_col=job.row_col)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmill.functions.text import NA_TOKENS
+from fieldmill.functions.text import NA_TOKENS, qcol
 
 CORRUPT = "_corrupt_record"
 # Delimiter candidates and encodings tried.
@@ -46,15 +46,15 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
            .option("multiLine", multiline).csv(path))
     n = len(cols)
-    outside_quotes = F.regexp_replace(F.col(CORRUPT), r'"([^"]|"")*"', "")
+    outside_quotes = F.regexp_replace(qcol(CORRUPT), r'"([^"]|"")*"', "")
     n_fields = F.length(F.regexp_replace(outside_quotes, "[^" + re.escape(sep) + "]", "")) + 1
     # The keep test references every field: with CSV column pruning a scan of
     # fewer columns would not see a too-long row as malformed, and Spark
     # refuses plans that read only the corrupt-record column.
-    all_fields = F.length(F.concat_ws("\u0001", *[F.col(c) for c in cols])) >= 0
-    kept = raw.where(all_fields & (F.col(CORRUPT).isNull() | (n_fields <= n)))
+    all_fields = F.length(F.concat_ws("\u0001", *[qcol(c) for c in cols])) >= 0
+    kept = raw.where(all_fields & (qcol(CORRUPT).isNull() | (n_fields <= n)))
     tokens = NA_TOKENS if na_tokens is None else na_tokens
-    out = kept.select(*[F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) if tokens else F.col(c) for c in cols])
+    out = kept.select(*[F.when(~qcol(c).isin(tokens), qcol(c)).alias(c) if tokens else qcol(c) for c in cols])
     return out
 
 

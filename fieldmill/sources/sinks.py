@@ -12,6 +12,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmill.functions.text import qcol
+
 # Output names.
 FLAGGED_NAME = "geflaggte_datensaetze_kontrolle.csv"
 PROPERTY_NAME = "pat_property.csv"
@@ -33,7 +35,7 @@ def write_table(df: DataFrame, path: str, sep: str = ";", null_literal: str = "N
 
 def write_mapped(df: DataFrame, path: str, target_layout: dict, **kw) -> str:
     """The target table, exactly the layout's columns in declared order."""
-    return write_table(df.select(*target_layout.keys()), path, **kw)
+    return write_table(df.select(*[qcol(c) for c in target_layout]), path, **kw)
 
 
 def write_flagged(flagged: DataFrame, out_dir: str, **kw) -> str:
@@ -51,9 +53,9 @@ def write_extra_fields(definitions: DataFrame, values: DataFrame, out_dir: str,
 def write_rest(rest: DataFrame, out_dir: str, source_name: str, row_col: str = "_row", **kw) -> str:
     name = REST_PREFIX + os.path.splitext(os.path.basename(source_name))[0] + ".csv"
     cols = [c for c in rest.columns if c != row_col]
-    return write_table(rest.select(*cols), os.path.join(out_dir, name), **kw)
+    return write_table(rest.select(*[qcol(c) for c in cols]), os.path.join(out_dir, name), **kw)
 
 
 def null_literal_lines(df: DataFrame, sep: str = ";", null_literal: str = "NULL") -> DataFrame:
     """The data lines the writer produces for simple values (test helper)."""
-    return df.select(F.concat_ws(sep, *[F.coalesce(F.col(c), F.lit(null_literal)) for c in df.columns]).alias("value"))
+    return df.select(F.concat_ws(sep, *[F.coalesce(qcol(c), F.lit(null_literal)) for c in df.columns]).alias("value"))

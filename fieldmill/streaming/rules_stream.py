@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from fieldmill.functions.text import qcol
 from fieldmill.operators import mapping
 from fieldmill.plans.spec import MappingSpec
 from fieldmill.session import checkpoint_dir
@@ -34,11 +35,11 @@ def read_delimited_stream(spark: SparkSession, path: str, columns: list[str], se
            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", max_files_per_trigger)
            .csv(path))
-    outside = F.regexp_replace(F.col(CORRUPT), r'"([^"]|"")*"', "")
+    outside = F.regexp_replace(qcol(CORRUPT), r'"([^"]|"")*"', "")
     n_fields = F.length(F.regexp_replace(outside, "[^" + sep + "]", "")) + 1
-    kept = raw.where(F.col(CORRUPT).isNull() | (n_fields <= len(columns)))
+    kept = raw.where(qcol(CORRUPT).isNull() | (n_fields <= len(columns)))
     tokens = NA_TOKENS if na_tokens is None else na_tokens
-    return kept.select(*[F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) for c in columns])
+    return kept.select(*[F.when(~qcol(c).isin(tokens), qcol(c)).alias(c) for c in columns])
 
 
 def project_stream(stream: DataFrame, spec: MappingSpec, postcode_dim: DataFrame | None = None,
@@ -50,7 +51,7 @@ def project_stream(stream: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
         raise ValueError(f"rules need the batch row order: {bad}")
     src = stream.withColumn("_row", F.lit(None).cast("long"))
     if key_col:
-        src = src.withColumn("_key", F.col(key_col))
+        src = src.withColumn("_key", qcol(key_col))
     out = mapping.project_to_schema(src, spec, postcode_dim, payer_dim, keep=["_key"] if key_col else None)
     return out.drop("_row")
 

@@ -99,3 +99,24 @@ def test_stream_equals_batch(spark, tmpdir_new):
     from fieldmill.operators import mapping
     want = sorted(tuple(r) for r in mapping.project_to_schema(batch, spec).drop("_row").collect())
     assert got == want and len(got) == 3
+
+
+def test_dotted_and_spaced_headers(spark, tmpdir_new):
+    """Real headers such as 'Geb.Datum' or 'Str. Nr' are literal names, not paths."""
+    from fieldmill.operators import findings, mapping
+    from fieldmill.operators.findings import Checked
+    from fieldmill.sources import sinks
+    p = os.path.join(tmpdir_new, "dots.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("Pat.Nr;Geb.Datum;Str. Nr;Notiz `x`\n7;15.8.85;Weg 2a;a\n8;abc;Hof;b\n")
+    src = with_row_index(delimited.read_delimited(spark, p), materialize=False)
+    spec = MappingSpec.for_layout("patienten", {"p_nr": "Pat.Nr", "p_birth": "Geb.Datum", "p_hausnummer": "Str. Nr"},
+                                  {"p_hausnummer": Rule("split_number")})
+    out = mapping.project_to_schema(src, spec).orderBy("_row").collect()
+    assert [(r.p_nr, r.p_birth, r.p_hausnummer) for r in out] == [("7", "1985-08-15", "2a"), ("8", "abc", None)]
+    flags = findings.flag_records(src, [Checked("Str. Nr", "p_hausnummer", 1, "split_number")]).collect()
+    assert flags[0]["Geb.Datum"] == "15.8.85"
+    rest = mapping.rest_table(src, spec)
+    assert rest.columns == ["_row", "Notiz `x`"]
+    path = sinks.write_rest(rest, tmpdir_new, "dots.csv")
+    assert [tuple(r) for r in delimited.read_delimited(spark, path).collect()] != []

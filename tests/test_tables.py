@@ -342,3 +342,12 @@ def test_lookups_with_colliding_column_names(spark, max_rows):
     assert a.columns[:5] == ["r", "postcode", "city_key", "ik", "name_key"]
     assert (r.postcode, r.city, r.plz, r.ik, r.kasse, r.match_ik) == ("1945", "Ruhland", "10115", "109519005",
                                                                       "AOK Nordost Neu", None)
+
+
+def test_user_layout_with_dotted_targets(spark):
+    df = spark.createDataFrame([(0, "15.8.85", "A123456780", "Dr. X")], "_row long, d string, k string, n string")
+    layout = {"geb.datum": "VARCHAR(10)", "kv.nr": "VARCHAR(10)", "voll.name": "TEXT", "titel": "TEXT"}
+    spec = MappingSpec(layout, {"geb.datum": "d", "kv.nr": "k", "voll.name": "n"},
+                       {"kv.nr": Rule("validate_kvnr"), "geb.datum": Rule("format_date")})
+    r = mapping.project_to_schema(df, spec, split_titles=True).first()
+    assert (r["geb.datum"], r["kv.nr"], r["voll.name"], r["titel"]) == ("1985-08-15", "A123456780", "X", "Dr.")
