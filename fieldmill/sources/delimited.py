@@ -29,13 +29,21 @@ def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str
             .option("quote", '"').option("escape", '"').csv(path).columns)
 
 
+FILE_ORDER_COLS = ["_src_file", "_src_block", "_src_pos"]
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8",
                    columns: list[str] | None = None, header: bool = True,
-                   na_tokens: list[str] | None = None, multiline: bool = False) -> DataFrame:
+                   na_tokens: list[str] | None = None, multiline: bool = False,
+                   file_order: bool = False) -> DataFrame:
     """Read delimited text as all-string columns (see module doc).
 
     ``na_tokens`` is an argument because a surname such as ``Null`` is a
     real value in some files; pass ``[]`` to keep every token.
+    ``file_order`` adds the file, split start and position inside the split
+    (``_src_file``, ``_src_block``, ``_src_pos``) so rows can be numbered in
+    file order (``with_file_row_index``): Spark packs splits by size, so the
+    partition order of many files is not their file order.
     """
     charset = _SPARK_CHARSET.get(encoding.lower(), encoding)
     cols = columns or _header(spark, path, sep, charset)
@@ -52,10 +60,21 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
     # fewer columns would not see a too-long row as malformed, and Spark
     # refuses plans that read only the corrupt-record column.
     all_fields = F.length(F.concat_ws("\u0001", *[qcol(c) for c in cols])) >= 0
+    if file_order:
+        raw = raw.select("*", F.col("_metadata.file_path").alias("_src_file"),
+                         F.col("_metadata.file_block_start").alias("_src_block"),
+                         F.monotonically_increasing_id().alias("_src_pos"))
     kept = raw.where(all_fields & (qcol(CORRUPT).isNull() | (n_fields <= n)))
     tokens = NA_TOKENS if na_tokens is None else na_tokens
-    out = kept.select(*[F.when(~qcol(c).isin(tokens), qcol(c)).alias(c) if tokens else qcol(c) for c in cols])
-    return out
+    extra = [F.col(c) for c in FILE_ORDER_COLS] if file_order else []
+    return kept.select(*[F.when(~qcol(c).isin(tokens), qcol(c)).alias(c) if tokens else qcol(c) for c in cols],
+                       *extra)
+
+
+def with_file_row_index(df: DataFrame, name: str = "_row") -> DataFrame:
+    """Contiguous row numbers in file order for a ``file_order=True`` read."""
+    from fieldmill.operators.rowid import with_row_index
+    return with_row_index(df, order_by=FILE_ORDER_COLS, name=name).drop(*FILE_ORDER_COLS)
 
 
 def detect_dialect(spark: SparkSession, path: str) -> DataFrame:

@@ -133,3 +133,14 @@ def test_oracle_all_queries_sf0001(spark):
         assert sorted(df.columns) == sorted(d[0] for d in cur.description), name
         assert got == want, name
     assert E.entry(spark).count() >= 0
+
+
+def test_file_order_over_many_files(spark, tmpdir_new):
+    # file sizes differ, so Spark packs splits out of file order
+    for i, n in enumerate([5, 400, 40, 2000]):
+        _write(os.path.join(tmpdir_new, f"part{i}.csv"), ["f;k"] + [f"{i};{j}" for j in range(n)])
+    df = delimited.with_file_row_index(delimited.read_delimited(spark, tmpdir_new, file_order=True))
+    rows = sorted((r._row, int(r.f), int(r.k)) for r in df.collect())
+    assert [r[0] for r in rows] == list(range(2445))
+    assert [(f, k) for _, f, k in rows] == sorted((f, k) for _, f, k in rows)
+    assert df.columns == ["f", "k", "_row"]
