@@ -91,14 +91,19 @@ def test_stream_equals_batch(spark, tmpdir_new):
                                    "p_plz": "plz", "p_ik": "kas_ik", "p_nr": "id"},
                                   {"p_vnr": Rule("validate_kvnr"), "p_plz": Rule("clean_plz"),
                                    "p_ik": Rule("validate_ik"), "p_vs": Rule("static_value", "A")})
+    spec.sources["p_ort"] = "wohnort"
+    spec.rules["p_ort"] = Rule("lookup_city_by_plz", "plz")   # a stream-static dimension join
+    dim = lookups.postcode_dim_from_lines(spark.createDataFrame([(0, "DE 08033 Zwickau"), (1, "DE 10115 Berlin")],
+                                                                "line long, value string"))
     stream = rules_stream.read_delimited_stream(spark, src_dir, cols)
     out = os.path.join(tmpdir_new, "out")
-    rules_stream.run_available_now(rules_stream.project_stream(stream, spec, key_col="id"), out, "t1")
+    rules_stream.run_available_now(rules_stream.project_stream(stream, spec, postcode_dim=dim, key_col="id"), out, "t1")
     got = sorted(tuple(r) for r in spark.read.parquet(out).drop("_key").collect())
     batch = with_row_index(delimited.read_delimited(spark, src_dir))
     from fieldmill.operators import mapping
-    want = sorted(tuple(r) for r in mapping.project_to_schema(batch, spec).drop("_row").collect())
+    want = sorted(tuple(r) for r in mapping.project_to_schema(batch, spec, postcode_dim=dim).drop("_row").collect())
     assert got == want and len(got) == 3
+    assert sorted(str(r.p_ort) for r in spark.read.parquet(out).collect()) == ["Berlin", "Berlin", "None"]
 
 
 def test_dotted_and_spaced_headers(spark, tmpdir_new):
