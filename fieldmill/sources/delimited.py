@@ -62,9 +62,11 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
     all_fields = F.length(F.concat_ws("\u0001", *[qcol(c) for c in cols])) >= 0
     if file_order:
         raw = raw.select("*", F.col("_metadata.file_path").alias("_src_file"),
-                         F.col("_metadata.file_block_start").alias("_src_block"),
-                         F.monotonically_increasing_id().alias("_src_pos"))
+                         F.col("_metadata.file_block_start").alias("_src_block"))
     kept = raw.where(all_fields & (qcol(CORRUPT).isNull() | (n_fields <= n)))
+    if file_order:
+        # positions after the row filter: kept rows of one split are contiguous
+        kept = kept.withColumn("_src_pos", F.monotonically_increasing_id())
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     extra = [F.col(c) for c in FILE_ORDER_COLS] if file_order else []
     return kept.select(*[F.when(~qcol(c).isin(tokens), qcol(c)).alias(c) if tokens else qcol(c) for c in cols],
@@ -72,9 +74,28 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
 
 
 def with_file_row_index(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Contiguous row numbers in file order for a ``file_order=True`` read."""
-    from fieldmill.operators.rowid import with_row_index
-    return with_row_index(df, order_by=FILE_ORDER_COLS, name=name).drop(*FILE_ORDER_COLS)
+    """Contiguous row numbers in file order for a ``file_order=True`` read,
+    without moving the data.
+
+    Rows of one file split are contiguous inside a scan partition, so one
+    small aggregate (first position and count per split) gives every split
+    its start offset in (file, split) order; the offsets table has one row
+    per split -- bounded by the file listing, not by the rows -- and is
+    broadcast back.  Both passes re-read the same files with the same split
+    packing, so positions agree (also when a lost task is recomputed).
+    """
+    spark = df.sparkSession
+    splits = (df.groupBy("_src_file", "_src_block")
+              .agg(F.min("_src_pos").alias("_first"), F.count(F.lit(1)).alias("_n")).collect())
+    offsets, running = [], 0
+    for r in sorted(splits, key=lambda r: (r["_src_file"], r["_src_block"])):
+        offsets.append((r["_src_file"], r["_src_block"], r["_first"], running))
+        running += r["_n"]
+    off = spark.createDataFrame(offsets or [("", 0, 0, 0)],
+                                "_src_file string, _src_block long, _first long, _off long")
+    out = df.join(F.broadcast(off), ["_src_file", "_src_block"])
+    out = out.withColumn(name, (F.col("_off") + F.col("_src_pos") - F.col("_first")).cast("long"))
+    return out.drop(*FILE_ORDER_COLS, "_first", "_off")
 
 
 def detect_dialect(spark: SparkSession, path: str) -> DataFrame:

@@ -144,3 +144,19 @@ def test_file_order_over_many_files(spark, tmpdir_new):
     assert [r[0] for r in rows] == list(range(2445))
     assert [(f, k) for _, f, k in rows] == sorted((f, k) for _, f, k in rows)
     assert df.columns == ["f", "k", "_row"]
+
+
+def test_file_order_with_dropped_rows_and_many_splits(spark, tmpdir_new):
+    # long rows are dropped before numbering; a small split size forces many splits per file
+    lines = ["a;b"] + [f"{j};x" if j % 10 else f"{j};x;extra" for j in range(30000)]
+    _write(os.path.join(tmpdir_new, "big.csv"), lines)
+    _write(os.path.join(tmpdir_new, "small.csv"), ["a;b", "s1;y", "s2;y"])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        df = delimited.with_file_row_index(delimited.read_delimited(spark, tmpdir_new, file_order=True))
+        rows = sorted((r._row, r.a) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [str(j) for j in range(30000) if j % 10] + ["s1", "s2"]
+    assert [a for _, a in rows] == want and [i for i, _ in rows] == list(range(len(want)))
