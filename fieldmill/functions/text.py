@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 # Unicode whitespace (what Python's str.strip removes): ASCII controls
 # \t..\r, the separators \x1c-\x1f, NEL and every Unicode space separator.
 WS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
-_TRIM = rf"^{WS}+|{WS}+$"
 CONTROL = r"[\x00-\x1F\x7F-\x9F]"
 # Strict sanitizing keeps letters, digits, underscore, whitespace and
 # & ' ` ´ ’ ( ) / @ . _ + -   -- everything else is deleted.

@@ -36,6 +36,10 @@ class ExtraField:
     field_name: str | None = None
     data_type: str = "TXT"
 
+    def __post_init__(self):
+        if self.data_type not in PROPERTY_TYPES:
+            raise ValueError(f"data_type must be one of {PROPERTY_TYPES}")
+
     @property
     def property_id(self) -> str:
         return "#" + (self.field_name or default_field_name(self.source_col)).lstrip("#")

@@ -48,9 +48,6 @@ def payer_dim_from_lines(lines: DataFrame) -> DataFrame:
     return out.where(F.col("name") != "")
 
 
-def lines_of(df: DataFrame, value_col: str = "value", order_col: str = "line") -> DataFrame:
-    return df.select(qcol(order_col).cast("long").alias("line"), qcol(value_col).alias("value"))
-
 
 # ----------------------------------------------------------- reductions
 
@@ -185,11 +182,6 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(m == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / m)
 
 
-def fuzzy_score(q: Column, cand: Column) -> Column:
-    """Max of raw lower-case similarity and 0.95 x token-sorted similarity."""
-    return F.greatest(similarity(F.lower(utrim(q)), F.lower(cand)),
-                      F.lit(0.95) * similarity(token_sorted(q), token_sorted(cand)))
-
 
 def match_payer_fuzzy(df: DataFrame, name, dim: DataFrame, cutoff: float = 0.6,
                       prefix: str = "match", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

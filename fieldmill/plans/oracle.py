@@ -171,7 +171,6 @@ def first_name_key(x: str) -> str:
     return f"split_part(lower({utrim(f'coalesce({x}, {q("")})')}), '-', 1)"
 
 
-_NUM = r"[0-9]"
 _TIME = r"(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?"
 DOT4 = rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{4}}){_TIME}$"
 DOT2 = rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{2}}){_TIME}$"

@@ -18,9 +18,8 @@ from pyspark.sql import types as T
 from fieldmill.functions.text import NA_TOKENS, qcol
 
 CORRUPT = "_corrupt_record"
-# Delimiter candidates and encodings tried.
+# Delimiter candidates; encodings a source may be read with.
 DELIMITERS = [";", ",", "\t", "|"]
-ENCODINGS = ["utf-8-sig", "utf-8", "cp1252", "latin1"]
 _SPARK_CHARSET = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}
 
 

@@ -54,8 +54,3 @@ def write_rest(rest: DataFrame, out_dir: str, source_name: str, row_col: str = "
     name = REST_PREFIX + os.path.splitext(os.path.basename(source_name))[0] + ".csv"
     cols = [c for c in rest.columns if c != row_col]
     return write_table(rest.select(*[qcol(c) for c in cols]), os.path.join(out_dir, name), **kw)
-
-
-def null_literal_lines(df: DataFrame, sep: str = ";", null_literal: str = "NULL") -> DataFrame:
-    """The data lines the writer produces for simple values (test helper)."""
-    return df.select(F.concat_ws(sep, *[F.coalesce(qcol(c), F.lit(null_literal)) for c in df.columns]).alias("value"))
