@@ -97,17 +97,24 @@ def with_file_row_index(df: DataFrame, name: str = "_row") -> DataFrame:
     return out.drop(*FILE_ORDER_COLS, "_first", "_off")
 
 
-def detect_dialect(spark: SparkSession, path: str) -> DataFrame:
+def detect_dialect(spark: SparkSession, path: str, first_split_only: bool = True) -> DataFrame:
     """Per file: the delimiter and the encoding to read it with.
 
+    By default only the first split of each file is sampled (a filter on
+    ``_metadata.file_block_start`` that the scan applies), so the work is
+    bounded by files x split size, not by the data volume; ``n_lines``
+    counts the sampled lines.
+
     Delimiter: for each candidate, count it per non-blank line outside
     quotes; a candidate whose count is the same non-zero number on every
     line wins (highest count first), else the one with the highest minimum,
     else ``;``.  Encoding: a BOM -> utf-8-sig; any line that is not valid
     UTF-8 -> cp1252; else utf-8.  All aggregates are partial (map-side).
     """
-    lines = (spark.read.option("encoding", "UTF-8").text(path)
-             .select(F.col("_metadata.file_path").alias("file_path"), F.col("value")))
+    text = spark.read.option("encoding", "UTF-8").text(path)
+    if first_split_only:
+        text = text.where(F.col("_metadata.file_block_start") == 0)
+    lines = text.select(F.col("_metadata.file_path").alias("file_path"), F.col("value"))
     stripped = F.regexp_replace("value", r'"([^"]|"")*"', "")
     counted = lines.where(F.length(F.trim("value")) > 0).select(
         "file_path", "value",

@@ -160,3 +160,16 @@ def test_file_order_with_dropped_rows_and_many_splits(spark, tmpdir_new):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = [str(j) for j in range(30000) if j % 10] + ["s1", "s2"]
     assert [a for _, a in rows] == want and [i for i, _ in rows] == list(range(len(want)))
+
+
+def test_dialect_samples_first_split(spark, tmpdir_new):
+    _write(os.path.join(tmpdir_new, "big.csv"), ["a|b|c"] + ["1|2|3"] * 20000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        first = delimited.detect_dialect(spark, tmpdir_new).first()
+        whole = delimited.detect_dialect(spark, tmpdir_new, first_split_only=False).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert first.delimiter == whole.delimiter == "|"
+    assert first.n_lines < whole.n_lines == 20001
