@@ -140,10 +140,9 @@ def detect_dialect(spark: SparkSession, path: str, first_split_only: bool = True
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Text lines with a file-order line number (for dimension files)."""
-    from fieldmill.operators.rowid import with_row_index
+    """Text lines with a file-order line number (for dimension files),
+    numbered like ``with_file_row_index``: no sort, no shuffle."""
     df = spark.read.option("encoding", encoding).text(path).select(
-        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_m"), "value")
-    # splits are packed by size, not by name: order by file, block, position
-    return with_row_index(df, order_by=["_f", "_b", "_m"], name="line").select("line", "value")
+        F.col("_metadata.file_path").alias("_src_file"), F.col("_metadata.file_block_start").alias("_src_block"),
+        F.monotonically_increasing_id().alias("_src_pos"), "value")
+    return with_file_row_index(df, name="line").select("line", "value")
