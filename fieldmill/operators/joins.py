@@ -34,8 +34,9 @@ def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: Column, dim_key: str,
     if is_broadcastable(dim, max_rows):
         out = fact.join(F.broadcast(dim), fact["_lk"] == dim[dim_key], how)
         return out.drop("_lk").drop(dim[dim_key])
-    salted_fact = fact.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[qcol(c) for c in fact.columns]), F.lit(salts)).cast("int"))
+    # the unique row key spreads a hot join key evenly; without one, hash the whole row
+    salt_cols = [qcol("_row")] if "_row" in fact.columns else [qcol(c) for c in fact.columns]
+    salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)).cast("int"))
     salted_dim = (dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
                   .withColumnRenamed(dim_key, "_dk"))
     out = salted_fact.join(salted_dim, (F.col("_lk") == F.col("_dk")) & (salted_fact["_salt"] == salted_dim["_salt"]), how)

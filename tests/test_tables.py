@@ -351,3 +351,13 @@ def test_user_layout_with_dotted_targets(spark):
                        {"kv.nr": Rule("validate_kvnr"), "geb.datum": Rule("format_date")})
     r = mapping.project_to_schema(df, spec, split_titles=True).first()
     assert (r["geb.datum"], r["kv.nr"], r["voll.name"], r["titel"]) == ("1985-08-15", "A123456780", "X", "Dr.")
+
+
+def test_salted_join_by_row_key(spark):
+    from fieldmill.operators.joins import lookup_join
+    fact = spark.range(0, 3000, 1, 6).select(F.col("id").alias("_row"),
+                                             F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.lit("c")).alias("k"))
+    dim = spark.createDataFrame([("HOT", "h"), ("c", "v")], "key string, val string")
+    a = sorted(tuple(r) for r in lookup_join(fact, dim, F.col("k"), "key").collect())
+    b = sorted(tuple(r) for r in lookup_join(fact, dim, F.col("k"), "key", max_rows=0, salts=8).collect())
+    assert a == b and len(b) == 3000
