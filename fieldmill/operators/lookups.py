@@ -202,7 +202,12 @@ def match_payer_fuzzy(df: DataFrame, name, dim: DataFrame, cutoff: float = 0.6,
                .select(qkey.alias("_q")).distinct()
                .select("_q", token_sorted(F.col("_q")).alias("_qs")))
     names = payer_names(dim).select("name", "line", F.lower("name").alias("_n"), token_sorted(F.col("name")).alias("_ns"))
-    small = is_broadcastable(names, max_rows)
+    # one small aggregate proves both sizes: a name has at most len+1
+    # distinct padded bigrams per form, so the gram table is bounded too
+    st = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.length("_n")), F.lit(0)).alias("a"),
+                   F.coalesce(F.max(F.length("_ns")), F.lit(0)).alias("b")).first()
+    small = st["n"] <= max_rows
+    grams_small = small and st["n"] * (st["a"] + st["b"] + 2) <= max_rows
     names_b = F.broadcast(names) if small else names
 
     def grams(frame: DataFrame, raw: str, srt: str, keys: list[str]) -> DataFrame:
@@ -212,7 +217,7 @@ def match_payer_fuzzy(df: DataFrame, name, dim: DataFrame, cutoff: float = 0.6,
 
     qg = grams(queries, "_q", "_qs", ["_q"])
     dg = grams(names, "_n", "_ns", ["line"])
-    dg = F.broadcast(dg) if small and is_broadcastable(dg, max_rows) else dg
+    dg = F.broadcast(dg) if grams_small else dg
     pairs = qg.join(dg, ["_form", "_g"]).select("_q", "line").distinct()
     cand = pairs.join(queries, "_q").join(names_b, "line")
 
