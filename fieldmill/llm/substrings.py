@@ -18,6 +18,7 @@ costs one entry per part, not one per occurrence.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -116,15 +117,16 @@ def _answers(replies: pa.Table) -> np.ndarray:
     return _least_per_key(e)[0]
 
 
-def _pieces(docs: pa.Table):
-    """(ids, texts column piece, words, first hash) of a part's documents; a null id never counts."""
+def _pieces(docs: pa.Table, nulls: bool = False):
+    """(ids, words, their hashes) of runs of a part's documents; those with a
+    null id only if asked for, with None for the ids."""
     docs = docs.combine_chunks()
-    if not docs.num_rows:
-        return
-    docs = docs.filter(docs.column("id").is_valid())
-    ids = docs.column("id").to_numpy()
-    for i, j, words in slices(docs.column("text")):
-        yield ids[i:j], words, words.hashes()
+    if docs.num_rows and not nulls:
+        docs = docs.filter(docs.column("id").is_valid())
+    if docs.num_rows:
+        ids = None if nulls else docs.column("id").to_numpy()
+        for i, j, words in slices(docs.column("text")):
+            yield None if nulls else ids[i:j], words, words.hashes()
 
 
 def _ask_anchors(length: int, n_buckets: int):
@@ -197,49 +199,31 @@ def _covered(ids: np.ndarray, words: Words, h: np.ndarray, length: int, known: n
 
 def _finish(length: int, with_text: bool):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        known = _answers(replies)
-        out = {"id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
-        empty = hashlib.sha256(b"").hexdigest()
-        if docs.num_rows:
-            docs = docs.combine_chunks()
-            for i in np.flatnonzero(~np.asarray(docs.column("id").is_valid())):
-                lone = Words(*_one(docs.column("text")[int(i)].as_py()))
-                kept = b" ".join(lone.data[s:e].tobytes() for s, e in zip(lone.start, lone.end))
-                _row(out, None, len(lone.start), 0, hashlib.sha256(kept).hexdigest(),
-                     docs.column("text")[int(i)].as_py() or "")
-        for ids, words, h in _pieces(docs):
-            gone = _covered(ids, words, h, length, known)
+        known, docs = _answers(replies), docs.combine_chunks()
+        valid = np.asarray(docs.column("id").is_valid()) if docs.num_rows else np.zeros(0, bool)
+        out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
+        lone = docs.filter(pa.array(~valid))
+        for ids, words, h in itertools.chain(_pieces(docs), _pieces(lone, nulls=True)):
+            gone = np.zeros(len(h), bool) if ids is None else _covered(ids, words, h, length, known)
             data = words.data.tobytes()
-            for d in range(len(ids)):
+            for d in range(len(words.bounds) - 1):
                 a, b = words.doc[d], words.doc[d + 1]
                 text = data[words.bounds[d]:words.bounds[d + 1]]
-                n_gone = int(gone[a:b].sum())
-                if n_gone == b - a:
-                    sha, left = empty, ""
-                else:
-                    kept = text.split()
-                    if n_gone:
-                        kept = [w for w, g in zip(kept, gone[a:b]) if not g]
-                    sha = hashlib.sha256(b" ".join(kept)).hexdigest()
-                    left = (_cut_out(data, words, gone, d) if n_gone else text).decode() if with_text else ""
-                _row(out, ids[d], int(b - a), n_gone, sha, left)
-        return pa.table({"id": pa.array(out["id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()),
-                         "n_removed": pa.array(out["n_removed"], pa.int64()),
-                         "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
-                         "kept_text": pa.array(out["kept_text"], pa.string())})
+                kept, n_gone = text.split(), int(gone[a:b].sum())
+                if n_gone:
+                    kept = [w for w, g in zip(kept, gone[a:b]) if not g]
+                left = (_cut_out(data, words, gone, d) if n_gone else text).decode() if with_text else ""
+                sha = hashlib.sha256(b" ".join(kept)).hexdigest()
+                for column, v in zip(out.values(), (int(b - a), n_gone, sha, left)):
+                    column.append(v)
+        carried = docs.take(pa.array(np.concatenate([np.flatnonzero(valid), np.flatnonzero(~valid)]))) \
+            .drop_columns(["part", "text"])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.Table.from_arrays([*carried.columns, *(pa.array(c, k) for c, k in zip(out.values(), kinds))],
+                                    names=[*carried.column_names, *out])
     return run
 
 
-def _one(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    return data, np.array([0, len(data)])
-
-
-def _row(out: dict, *values) -> None:
-    for column, v in zip(out.values(), values):
-        column.append(v)
-
-
 def _cut_out(data: bytes, words: Words, gone: np.ndarray, d: int) -> bytes:
     """The document's text without its covered words; white space between
     kept words stays, a removed run leaves the white space before it."""
@@ -253,16 +237,18 @@ def _cut_out(data: bytes, words: Words, gone: np.ndarray, d: int) -> bytes:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50,
-                      with_text: bool = True) -> DataFrame:
-    """Per row of ``docs``: id, n_words, n_removed, kept_sha256 (kept words
-    joined by one space) and kept_text (empty unless ``with_text``).
+                      with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: id, the columns ``carry``, n_words, n_removed,
+    kept_sha256 (kept words joined by one space) and kept_text (empty unless
+    ``with_text``).
 
     A word goes if a window of ``length`` words over it also starts in a
     document with a smaller id; windows are judged on the input.  Null and
     empty texts have no words; texts shorter than ``length`` keep all; a
     repeated id is one document, its rows do not remove each other's words; a
     null id neither removes nor loses words; an empty table gives no rows.
-    ``length`` must be above 31.  Other columns of ``docs`` are not read.
+    ``length`` must be above 31.  Columns of ``docs``
+    besides are not read; carried columns may have any name.
     """
     if length <= PERIOD:
         raise ValueError(f"length must be over {PERIOD}")
@@ -270,17 +256,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ship(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0]
     parts = n_parts(size, each=4 << 20)
-    docs = docs.select(F.pmod(F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.lit(0)), F.lit(parts)).alias("part"),
-                       F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    names = [f"carried_{i}" for i in range(len(carry))]
+    docs = docs.select(
+        F.pmod(F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.lit(0)), F.lit(parts)).alias("part"),
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+        *[docs[c].alias(n) for c, n in zip(carry, names)])
+    plain = docs.select("part", "id", "text").groupBy("part")
     by_part = docs.groupBy("part")
-    asked = by_part.applyInArrow(_ask_anchors(length, parts), _FEED)
+    asked = plain.applyInArrow(_ask_anchors(length, parts), _FEED)
     shared = asked.groupBy("bucket").applyInArrow(_shared, "part long, entries binary")
-    asked = by_part.cogroup(shared.groupBy("part")).applyInArrow(_ask_windows(length, parts), _FEED)
+    asked = plain.cogroup(shared.groupBy("part")).applyInArrow(_ask_windows(length, parts), _FEED)
     shared = asked.groupBy("bucket").applyInArrow(_shared, "part long, entries binary")
-    out = by_part.cogroup(shared.groupBy("part")).applyInArrow(
-        _finish(length, with_text),
-        "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    fields = docs.drop("part", "text").schema
+    for c, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
+        fields = fields.add(c, kind)
+    out = by_part.cogroup(shared.groupBy("part")).applyInArrow(_finish(length, with_text), fields)
+    return out.toDF(id_col, *carry, "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
