@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import array
 import os
+import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -29,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import ragged, slices
 from .bpe import _vocabulary_path
 from .shared import Scratch, n_parts, open_input, put_file, table
 
@@ -39,36 +42,106 @@ HEADER_SIZE, FOOTER_SIZE = struct.calcsize(HEADER), struct.calcsize(FOOTER)
 LEVEL = 3
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 64 << 10
 SHARD_BYTES = 16 << 20
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
+RUN_BYTES = 2 << 20
+_LETTERS_MARKS = re.compile(rb"([a-z\x80-\xff]+)([.,;:!?#*$%&|<>()]*)")
+
+
+def _only_letters(word: bytes) -> bool:
+    """Whether the normalised word is letters and nothing else."""
+    return word.isalpha() or (not word.isascii()
+                              and unicodedata.normalize("NFC", word.decode()).lower().isalpha())
 
 
 class LibraryEncoder:
-    """Whole texts through the tokenizers library, word by word with a cache.
+    """Whole texts through the tokenizers library, with a cache of words.
 
-    White space is dropped by these vocabularies and no token crosses it, so
-    a text's ids are those of its white-space-separated words in a row; the
-    normaliser lower-cases, so words may be looked up lower-cased unless a
-    special token's brackets are in sight."""
+    Where a vocabulary drops white space no token crosses it, so a text's ids
+    are those of its white-space-separated words in a row; the normaliser
+    lower-cases, so words may be looked up lower-cased unless a special
+    token's brackets are in sight.  Of a new word ``letters + ASCII marks``
+    both parts are encoded by themselves (the word pattern cuts there), and
+    many letter words go to the library as one text, whose ids part again
+    behind the word-end tokens.  Vocabularies that keep white space get whole
+    texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids of each text, ``width`` bytes each."""
-        raw = [(t or "").encode() for t in texts]
-        words = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list({w for doc in words for w in doc if w not in self.cache})
-        got = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        code = "H" if self.width == 2 else "I"
-        self.cache.update((w, array.array(code, e.ids).tobytes()) for w, e in zip(new, got))
-        known = self.cache
-        return [b"".join([known[w] for w in doc]) for doc in words]
+        n = self.library.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if n <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(n)])
+        self.by_word = bool(self.ends.any()) and self._ids("Ab c") == self._ids("ab") + self._ids("c")
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [array.array(self.code, e.ids).tobytes()
+                for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text, ``width`` bytes each.  The words of
+        a run of documents are told apart by 64-bit hashes; each distinct one
+        is looked up once and its ids are gathered for all its places."""
+        if not self.by_word:
+            return self._batch([t or "" for t in column.to_pylist()])
+        out = []
+        for i, j, words in slices(column, lower=True, limit=RUN_BYTES):
+            raw = words.data.tobytes()
+            if b"<|" in raw:  # special tokens are case-sensitive: these texts go whole
+                out += self._batch([t or "" for t in column.slice(i, j - i).to_pylist()])
+                continue
+            _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            ids = self._lookup([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())])
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+            begin = np.cumsum(size) - size
+            count = size[place]
+            flat = np.frombuffer(b"".join(ids), f"<u{self.width}")[np.repeat(begin[place], count) + ragged(count)]
+            cuts = np.concatenate([[0], np.cumsum(count)])[words.doc]
+            out += [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _lookup(self, words: list[bytes]) -> list[bytes]:
+        known = self.words
+        new = set(words).difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            self.letters.clear()
+            new = set(words)
+        self._learn(new)
+        return [known[w] for w in words]
+
+    def _learn(self, new: set[bytes]) -> None:
+        split, whole = {}, []
+        for w in new:
+            m = _LETTERS_MARKS.fullmatch(w)
+            if m and _only_letters(m[1]):
+                split[w] = m.groups()
+            else:
+                whole.append(w)
+        marks = {b for _, b in split.values() if b}
+        whole += marks.difference(whole)
+        self.words.update(zip(whole, self._batch([w.decode() for w in whole])))
+        letters = list({a for a, _ in split.values()}.difference(self.letters))
+        for i in range(0, len(letters), 1000):
+            self._learn_letters(letters[i:i + 1000])
+        for w, (a, b) in split.items():
+            self.words[w] = self.letters[a] + self.words[b] if b else self.letters[a]
+
+    def _learn_letters(self, letters: list[bytes]) -> None:
+        text = b" ".join(letters).decode()
+        ids = np.frombuffer(self._batch([text])[0], f"<u{self.width}")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(letters):
+            flat, at = ids.tobytes(), [0, *(cuts * self.width).tolist()]
+            self.letters.update((w, flat[i:j]) for w, i, j in zip(letters, at, at[1:]))
+        else:  # lower-casing a letter may make several words of one
+            self.letters.update(zip(letters, self._batch([w.decode() for w in letters])))
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -135,11 +208,11 @@ def _write_shard(folder: str, vocabulary: str, end_id: int, dictionary: bytes):
         def body():
             yield struct.pack(HEADER, MAGIC, enc.width, xxhash.xxh64_intdigest(dictionary))
             for batch in batches:
-                for i in range(0, batch.num_rows, 128):
-                    part = batch.slice(i, 128)
+                for i in range(0, batch.num_rows, 2000):
+                    part = batch.slice(i, 2000)
                     valid.extend(part.column(0).is_valid().to_pylist())
                     ids.extend(part.column(0).fill_null(0).to_pylist())
-                    for raw in enc.encode(part.column(1).to_pylist()):
+                    for raw in enc.encode(part.column(1)):
                         frame = press(raw + end)
                         sizes.append(len(frame))
                         lengths.append(len(raw) // enc.width + 1)
@@ -175,13 +248,14 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark, "token-files")
     folder = scratch.path("shards")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sample = docs.select(F.xxhash64("id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")) \
-        .orderBy("h", "text").limit(SAMPLE_DOCS).select("text")
+    chosen = docs.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).distinct()
+    sample = docs.join(F.broadcast(chosen), "id", "left_semi") \
+        .select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("text").limit(SAMPLE_DOCS)
 
     def encoded(batches):
         enc = encoder(vocabulary_file)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(enc.encode(batch.column(0).to_pylist()), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"ids": pa.array(enc.encode(batch.column(0)), pa.binary())})
 
     dictionary = train_dictionary([bytes(r.ids) for r in sample.mapInArrow(encoded, "ids binary").collect()])
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
@@ -198,9 +272,9 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         manifest, "shard long, uri string, n_docs long, n_tokens long, start long"), dictionary
 
 
-def read_token_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
+def read_token_files(manifest: DataFrame, dictionary: bytes, with_ids: bool = True) -> DataFrame:
     """Every document of the shards: id, start, n_tokens, ids_crc32 (of its ids
-    as little-endian 32-bit integers) and ids."""
+    as little-endian 32-bit integers) and ids (null unless ``with_ids``)."""
     def run(batches):
         for batch in batches:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -208,14 +282,15 @@ def read_token_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
                 for i in range(0, len(shard.ids), 256):
                     docs = [shard.document(k).astype("<u4") for k in range(i, min(i + 256, len(shard.ids)))]
                     at = slice(i, i + len(docs))
-                    flat = np.concatenate(docs).view(np.int32)
                     cuts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(docs).view(np.int32))) \
+                        if with_ids else pa.nulls(len(docs), pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_pydict({
                         "id": pa.array(shard.ids[at], mask=~shard.valid[at]),
                         "start": pa.array(shard.start[:-1][at] + start),
                         "n_tokens": pa.array(np.diff(cuts).astype(np.int64)),
                         "ids_crc32": pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64()),
-                        "ids": pa.ListArray.from_arrays(cuts, pa.array(flat))})
+                        "ids": ids})
 
     n = max(1, manifest.count())
     return manifest.repartition(n, "shard").select("uri", "start").mapInArrow(
@@ -225,5 +300,5 @@ def read_token_files(manifest: DataFrame, dictionary: bytes) -> DataFrame:
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every text of documents, word_bpe_49k, end id 2."""
     manifest, dictionary = write_token_files(table(spark, sf_dir, "documents"))
-    return read_token_files(manifest, dictionary) \
+    return read_token_files(manifest, dictionary, with_ids=False) \
         .select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
