@@ -32,7 +32,8 @@ PERIOD = 31
 COVER = np.array([1, 5, 11, 24, 25, 27])  # every difference modulo 31 occurs
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 ENTRY = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8")])
-_FEED = "part long, bucket long, entries binary"
+_FEED = "part long, bucket long, key binary, check binary, doc binary"
+_REPLY = "part long, key binary, check binary, doc binary"
 
 
 def _valid(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,17 +63,35 @@ def _least_per_key(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[first], e["doc"][first] != e["doc"][last]
 
 
+def _columns(e: np.ndarray, cuts: list[int]) -> list[pa.Array]:
+    """Runs of entries as one byte string per field; zeros are left out."""
+    return [pa.array([e[f][a:b].tobytes() if e[f][a:b].any() else b"" for a, b in zip(cuts, cuts[1:])], pa.binary())
+            for f in ENTRY.names]
+
+
+def _entries(block: pa.Table) -> list[np.ndarray]:
+    """The inverse of ``_columns``: one array of entries per row."""
+    out = []
+    for row in zip(*(block.column(f).combine_chunks() for f in ENTRY.names)):
+        raw = [np.frombuffer(v.as_buffer(), ENTRY[f]) for f, v in zip(ENTRY.names, row)]
+        e = np.zeros(max(map(len, raw)), ENTRY)
+        for f, v in zip(ENTRY.names, raw):
+            if len(v):
+                e[f] = v
+        out.append(e)
+    return out
+
+
 def _packed(part: int, entries: np.ndarray, n_buckets: int):
-    """Rows of one part's entries by key range; entries are sorted by key."""
+    """Rows of one part's entries by key range; in a row the entries of a
+    document are neighbours."""
     bucket = (entries["key"] >> np.uint64(32)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((entries["doc"], bucket))
     entries, bucket = entries[order], bucket[order]
     names, first = np.unique(bucket, return_index=True)
-    cuts = np.append(first, len(bucket))
-    return pa.table({"part": pa.array(np.full(len(names), part), pa.int64()),
-                     "bucket": pa.array(names.astype(np.int64)),
-                     "entries": pa.array([entries[cuts[i]:cuts[i + 1]].tobytes() for i in range(len(names))],
-                                         pa.binary())})
+    return pa.Table.from_arrays(
+        [pa.array(np.full(len(names), part), pa.int64()), pa.array(names.astype(np.int64)),
+         *_columns(entries, [*first.tolist(), len(bucket)])], names=["part", "bucket", *ENTRY.names])
 
 
 def _local(entries: np.ndarray) -> np.ndarray:
@@ -84,35 +103,39 @@ def _local(entries: np.ndarray) -> np.ndarray:
     return np.concatenate([least, again])
 
 
-def _shared(block: pa.Table) -> pa.Table:
+def _shared(keys_only: bool):
     """Of one key range: tell every part which of its keys more than one
-    document holds, and the smallest of those documents."""
-    parts = block.column("part").to_numpy()
-    raw = [np.frombuffer(x.as_buffer(), ENTRY) for c in block.column("entries").chunks for x in c]
-    owner = np.repeat(parts, [len(x) for x in raw])
-    e = np.concatenate(raw)
-    order = np.lexsort((e["doc"], e["check"], e["key"]))
-    e, owner = e[order], owner[order]
-    new = np.ones(len(e), bool)
-    new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["check"][1:] != e["check"][:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(e)))
-    answer = e.copy()
-    answer["doc"] = np.repeat(e["doc"][first], size)
-    keep = np.repeat(size > 1, size)
-    answer, owner = answer[keep], owner[keep]
-    order = np.argsort(owner, kind="stable")
-    answer, owner = answer[order], owner[order]
-    names, at = np.unique(owner, return_index=True)
-    cuts = np.append(at, len(owner))
-    return pa.table({"part": pa.array(names, pa.int64()),
-                     "entries": pa.array([answer[cuts[i]:cuts[i + 1]].tobytes() for i in range(len(names))],
-                                         pa.binary())})
+    document holds, and the smallest of those documents.  With ``keys_only``
+    the answer is the keys; without, a part whose one document is the
+    smallest itself needs no answer."""
+    def run(block: pa.Table) -> pa.Table:
+        raw = _entries(block)
+        owner = np.repeat(block.column("part").to_numpy(), [len(x) for x in raw])
+        e = np.concatenate(raw)
+        order = np.lexsort((e["doc"], e["check"], e["key"]))
+        e, owner = e[order], owner[order]
+        new = np.ones(len(e), bool)
+        new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["check"][1:] != e["check"][:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(e)))
+        answer = np.zeros(len(e), ENTRY)
+        answer["key"] = e["key"]
+        keep = np.repeat(size > 1, size)
+        if not keys_only:
+            answer["check"], answer["doc"] = e["check"], np.repeat(e["doc"][first], size)
+            keep &= e["doc"] > answer["doc"]
+        answer, owner = answer[keep], owner[keep]
+        order = np.argsort(owner, kind="stable")
+        answer, owner = answer[order], owner[order]
+        names, at = np.unique(owner, return_index=True)
+        return pa.Table.from_arrays([pa.array(names, pa.int64()), *_columns(answer, [*at.tolist(), len(owner)])],
+                                    names=["part", *ENTRY.names])
+    return run
 
 
 def _answers(replies: pa.Table) -> np.ndarray:
     """A part's shared keys, sorted and distinct."""
-    raw = [np.frombuffer(x.as_buffer(), ENTRY) for c in replies.column("entries").chunks for x in c]
+    raw = _entries(replies) if replies.num_rows else []
     e = np.concatenate(raw) if raw else np.zeros(0, ENTRY)
     return _least_per_key(e)[0]
 
@@ -264,9 +287,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     plain = docs.select("part", "id", "text").groupBy("part")
     by_part = docs.groupBy("part")
     asked = plain.applyInArrow(_ask_anchors(length, parts), _FEED)
-    shared = asked.groupBy("bucket").applyInArrow(_shared, "part long, entries binary")
+    shared = asked.groupBy("bucket").applyInArrow(_shared(True), _REPLY)
     asked = plain.cogroup(shared.groupBy("part")).applyInArrow(_ask_windows(length, parts), _FEED)
-    shared = asked.groupBy("bucket").applyInArrow(_shared, "part long, entries binary")
+    shared = asked.groupBy("bucket").applyInArrow(_shared(False), _REPLY)
     fields = docs.drop("part", "text").schema
     for c, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept_text", "string")):
         fields = fields.add(c, kind)
