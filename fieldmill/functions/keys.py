@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +16,15 @@ SUFFIX_MULT = 48271             # coprime to 36: a bijection of 0..36^5-1
 def generate_uid(row, base_ms=None) -> Column:
     """``BASE36(ms)-XXXXX`` (upper case), unique per row of one run.
 
-    ``current_timestamp()`` is one constant per query, so the five-character
-    suffix is a bijection of the row number mod 36^5 and the millisecond part
-    moves on by ``row div 36^5``: (base, row) -> uid is injective and
-    deterministic, so a retried task writes the same ids.
+    The five-character suffix is a bijection of the row number mod 36^5 and
+    the millisecond part moves on by ``row div 36^5``: (base, row) -> uid is
+    injective and deterministic, so a retried task writes the same ids.
+    Without ``base_ms`` the driver's clock is read once, when the expression is
+    built: every action on the same DataFrame sees the same ids.  Tables that
+    refer to each other must be built with one ``base_ms`` (see ``Job``).
     """
     r = col_of(row).cast("long")
-    base = F.unix_millis(F.current_timestamp()) if base_ms is None else F.lit(int(base_ms)).cast("long")
+    base = F.lit(int(time.time() * 1000) if base_ms is None else int(base_ms)).cast("long")
     head = F.conv((base + F.floor(r / SUFFIX_SPACE).cast("long")).cast("string"), 10, 36)
     tail = F.lpad(F.conv(F.pmod(r * SUFFIX_MULT, F.lit(SUFFIX_SPACE)).cast("string"), 10, 36), 5, "0")
     return F.upper(F.concat(head, F.lit("-"), tail))

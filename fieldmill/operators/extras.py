@@ -27,7 +27,7 @@ def default_field_name(source_col: str) -> str:
     """lower, trim, space/'-' -> '_', keep letters, digits and '_'."""
     s = source_col.strip().lower()
     s = re.sub(r"[ \-]", "_", s)
-    return re.sub(r"[^0-9a-zA-Z_]", "", s)
+    return re.sub(r"\W", "", s)
 
 
 @dataclass(frozen=True)
@@ -46,13 +46,16 @@ class ExtraField:
 
 
 def property_values(df: DataFrame, fields: list[ExtraField], id_col: str = "id",
-                    row_col: str = "_row", base_ms: int | None = None) -> DataFrame:
+                    row_col: str = "_row", base_ms: int | None = None, prefix: str = "") -> DataFrame:
     """(id, property_id, patienten_id, content, field_idx, _row) for every
     non-blank extra cell; ``content`` trimmed; ids are deterministic uids of
-    ``row * n_fields + field_idx``."""
+    ``row * n_fields + field_idx``.  ``prefix``: before the fields' column
+    names in ``df`` (private copies that no target column can hide)."""
+    if len({f.property_id for f in fields}) < len(fields):
+        raise ValueError("two extra fields share a property id")
     n = len(fields)
     cells = F.array(*[F.struct(F.lit(i).alias("field_idx"), F.lit(f.property_id).alias("property_id"),
-                               qcol(f.source_col).alias("raw")) for i, f in enumerate(fields)])
+                               qcol(prefix + f.source_col).alias("raw")) for i, f in enumerate(fields)])
     pid = qcol(id_col) if id_col in df.columns else qcol(row_col).cast("string")
     long = df.select(qcol(row_col), pid.alias("patienten_id"), F.explode(cells).alias("c"))
     long = long.where(~text.is_blank(F.col("c.raw")))
@@ -63,10 +66,14 @@ def property_values(df: DataFrame, fields: list[ExtraField], id_col: str = "id",
 
 
 def property_definitions(values: DataFrame, fields: list[ExtraField]) -> DataFrame:
-    """One definition row per chosen field (label = source column)."""
+    """One definition row per chosen field that has a value (label = source
+    column).  ``values``: the value table, or the source table it is made of."""
     spark = values.sparkSession
+    if "property_id" not in values.columns:
+        values = property_values(values, fields)
     rows = [(i, f.property_id, f.source_col, f.data_type) for i, f in enumerate(fields)]
     chosen = spark.createDataFrame(rows, "field_idx int, id string, label string, proptyp string")
+    chosen = chosen.join(values.select(F.col("property_id").alias("id")).distinct(), "id", "left_semi")
     return chosen.select(
         "id", "label", "proptyp", F.lit(None).cast("string").alias("options"),
         F.lit(PROPERTY_MAXWIDTH).alias("maxwidth"), F.lit(None).cast("string").alias("bereich"),

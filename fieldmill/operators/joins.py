@@ -1,7 +1,8 @@
 """Dimension joins with a checked broadcast and a salted fallback.
 
-A dimension is broadcast only after counting it (the count of a dimension is
-cheap next to the fact table) and only below ``max_rows``.  Beyond that the
+A dimension is broadcast only after measuring it (one aggregate of rows and
+bytes, cheap next to the fact table) and only below ``max_rows`` and
+``BROADCAST_MAX_BYTES``.  Beyond that the
 join shuffles; the fact side is salted so a key that holds a third of all
 fact rows is spread over ``salts`` tasks, and each dimension row is
 replicated once per salt (dimensions here are unique per key).
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 from fieldmill.functions.text import qcol
 
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 256 << 20
 DEFAULT_SALTS = 32
 
 
 def is_broadcastable(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    return dim.limit(max_rows + 1).count() <= max_rows
+    """Rows and text size (as JSON, so arrays and long texts count) are within bounds."""
+    rows, size = dim.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return rows <= max_rows and (size or 0) <= BROADCAST_MAX_BYTES
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: Column, dim_key: str,
@@ -35,7 +39,7 @@ def lookup_join(fact: DataFrame, dim: DataFrame, fact_key: Column, dim_key: str,
         out = fact.join(F.broadcast(dim), fact["_lk"] == dim[dim_key], how)
         return out.drop("_lk").drop(dim[dim_key])
     # the unique row key spreads a hot join key evenly; without one, hash the whole row
-    salt_cols = [qcol("_row")] if "_row" in fact.columns else [qcol(c) for c in fact.columns]
+    salt_cols = [qcol("_row")] if "_row" in fact.columns and not fact.isStreaming else [qcol(c) for c in fact.columns]
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)).cast("int"))
     salted_dim = (dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
                   .withColumnRenamed(dim_key, "_dk"))

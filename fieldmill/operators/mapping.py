@@ -91,7 +91,7 @@ def match_columns(catalogue: DataFrame, target_layout: dict) -> DataFrame:
 # ---------------------------------------------------------- projection
 
 
-def _plain(src: Column, target: str, rule, df_cols: list[str]) -> tuple[Column, bool]:
+def _plain(src: Column, target: str, rule, df_cols: list[str], width: int = 5) -> tuple[Column, bool]:
     """The mapped-column branch; returns (column, exempt from blank->null)."""
     t = target.lower()
     v = text.clean_by_kind(src, target)
@@ -101,7 +101,7 @@ def _plain(src: Column, target: str, rule, df_cols: list[str]) -> tuple[Column,
     if kind == "default_value":
         return text.default_value(v, rule.param or ""), True
     if kind == "clean_plz":
-        return text.clean_postcode(v), False
+        return text.clean_postcode(v, width), False
     if kind == "gender":
         return text.gender_salutation(v), False
     if kind == "split_street":
@@ -192,7 +192,8 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
         elif k == "generate_uid":
             exprs[t] = keys.generate_uid(qcol(row_col), base_ms)
         elif k == "copy_target":
-            exprs[t] = F.lit(None)
+            # before its copy: the cleaned mapped value, which a copy of this column sees
+            exprs[t] = text.nullif_blank(text.clean_by_kind(src, t)) if src is not None else F.lit(None)
         elif src is not None and (k == "format_date" or "birth" in t.lower() or "datum" in t.lower()):
             # dates by rule or by name: the staged form (intermediates as columns)
             fallback = rule.param if k == "format_date" else None
@@ -200,7 +201,7 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
                                         qcol(f"_dv_{t}"), f"_fd_{t}", fallback)
             exprs[t] = qcol(f"_fd_{t}") if fallback else text.nullif_blank(qcol(f"_fd_{t}"))
         elif src is not None:
-            c, exempt = _plain(src, t, rule, cols)
+            c, exempt = _plain(src, t, rule, cols, postcode_width)
             exprs[t] = c if exempt else text.nullif_blank(c)
         elif k == "default_value" or (k == "format_date" and rule.param):
             exprs[t] = F.lit(rule.param or "")

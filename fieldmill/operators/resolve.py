@@ -2,7 +2,8 @@
 tables (few rows) joined back on the row key.
 
 Decision tables are grouped to one row per ``row_idx`` holding a map
-``column -> decision`` and joined with a size-checked broadcast, then every
+``column -> decision`` and equi-joined on that unique key (Spark picks the
+join at run time; a unique key needs no salt), then every
 affected column reads its decision with ``map_contains_key`` -- the big
 table is never unpivoted for patching and a deliberate null survives.
 """
@@ -14,12 +15,19 @@ from pyspark.sql import functions as F
 
 from fieldmill.functions import text
 from fieldmill.functions.text import qcol
-from fieldmill.operators.joins import lookup_join
 
 
 def _decision_maps(decisions: DataFrame, col_field: str, value: Column) -> DataFrame:
-    return (decisions.groupBy(F.col("row_idx").alias("_drow"))
-            .agg(F.map_from_entries(F.collect_list(F.struct(qcol(col_field), value))).alias("_dmap")))
+    """One map per row; of several decisions for one cell the greatest wins
+    (by its fields in order), whatever the order of the table."""
+    cells = (decisions.groupBy(F.col("row_idx").alias("_drow"), qcol(col_field).alias("_dcol"))
+             .agg(F.max(value).alias("_dval")))
+    return (cells.groupBy("_drow")
+            .agg(F.map_from_entries(F.collect_list(F.struct("_dcol", "_dval"))).alias("_dmap")))
+
+
+def _with_maps(df: DataFrame, maps: DataFrame, row_col: str) -> DataFrame:
+    return df.join(maps, qcol(row_col) == F.col("_drow"), "left").drop("_drow")
 
 
 def _has(col: str) -> Column:
@@ -40,7 +48,7 @@ def apply_cleanup(df: DataFrame, cols: list[str], rejected: DataFrame | None = N
     if rejected is None:
         return df.withColumns({c: cleaned(c) for c in cols})
     maps = _decision_maps(rejected, "col_name", F.lit(True))
-    j = lookup_join(df, maps, qcol(row_col), "_drow")
+    j = _with_maps(df, maps, row_col)
     return j.withColumns({c: F.when(_has(c), qcol(c)).otherwise(cleaned(c)) for c in cols}).drop("_dmap")
 
 
@@ -60,7 +68,7 @@ def apply_invalid_decisions(out: DataFrame, checked: list[tuple[str, str]], poli
     if decisions is None:
         return out.withColumns({t: bulk(t, s) for t, s in checked})
     maps = _decision_maps(decisions, "target_col", F.struct("action", "custom_val"))
-    j = lookup_join(out, maps, qcol(row_col), "_drow")
+    j = _with_maps(out, maps, row_col)
 
     def decided(t: str, s: str) -> Column:
         d = F.try_element_at(F.col("_dmap"), F.lit(t))
@@ -86,6 +94,6 @@ def resolve_length(out: DataFrame, limits: dict[str, int], policy: str = "trunca
     if decisions is None:
         return out.withColumns({c: bulk(c, n) for c, n in cols.items()})
     maps = _decision_maps(decisions, "col_name", F.col("new_val"))
-    j = lookup_join(out, maps, qcol(row_col), "_drow")
+    j = _with_maps(out, maps, row_col)
     return j.withColumns({c: F.when(_has(c), F.try_element_at(F.col("_dmap"), F.lit(c))).otherwise(bulk(c, n))
                           for c, n in cols.items()}).drop("_dmap")

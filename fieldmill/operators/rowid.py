@@ -19,20 +19,16 @@ from fieldmill.session import stable
 _POS_BITS = 33
 
 
-def with_row_index(df: DataFrame, order_by=None, name: str = "_row",
-                   materialize: bool = True) -> DataFrame:
+def with_row_index(df: DataFrame, order_by=None, name: str = "_row") -> DataFrame:
     """Add ``name`` = 0..n-1.
 
     ``order_by``: columns giving the order (range-partitioned sort); without
     it the order is the input order (a single file read in split order).
-    ``materialize=False`` is allowed only for deterministic inputs such as a
-    plain file scan.
     """
     if order_by:
         df = df.orderBy(*order_by)
     tagged = df.withColumn("_mid", F.monotonically_increasing_id())
-    if materialize or order_by:
-        tagged = stable(tagged)
+    tagged = stable(tagged)
     part = F.shiftright(F.col("_mid"), _POS_BITS)
     # one count per partition: the driver sees only (partition, count) pairs,
     # a bound set by the partitioning, never by the data volume

@@ -481,8 +481,8 @@ def q_match_payer_fuzzy(spark, sf):
 # ============================================================ dimension files
 
 
-def _write_lines(df: DataFrame, path: str, parts: int = 4) -> None:
-    (df.repartitionByRange(parts, "line").sortWithinPartitions("line").select("value")
+def _write_lines(df: DataFrame, path: str) -> None:
+    (df.repartitionByRange("line").sortWithinPartitions("line").select("value")
      .write.mode("overwrite").text(path))
 
 
@@ -828,9 +828,7 @@ WHERE id IN (SELECT property_id FROM ({_VALUES_SQL}))"""
 
 @query("property_definitions", _DEFS_SQL)
 def q_property_definitions(spark, sf):
-    v = _values(spark, sf)
-    defs = extras.property_definitions(v, _FIELDS)
-    return defs.join(v.select(F.col("property_id").alias("id")).distinct(), "id", "left_semi")
+    return extras.property_definitions(_values(spark, sf), _FIELDS)
 
 
 @query("write_extra_fields", f"SELECT property_id, patienten_id, content FROM ({_VALUES_SQL})")
@@ -855,10 +853,10 @@ _RD_LINES = """SELECT c_custkey AS line, CASE c_custkey % 7
   ELSE cast(c_custkey as string) || ';' || c_name || ';' || c_mktsegment END AS value FROM customer"""
 
 
-def write_raw_lines_with_header(lines: DataFrame, path: str, header: str, parts: int = 4) -> None:
+def write_raw_lines_with_header(lines: DataFrame, path: str, header: str) -> None:
     """Write pre-formatted lines as they are, each part file starting with
     ``header`` (the CSV writer with quoting switched off and one column)."""
-    (lines.repartitionByRange(parts, "line").sortWithinPartitions("line")
+    (lines.repartitionByRange("line").sortWithinPartitions("line")
      .select(F.col("value").alias(header))
      .write.mode("overwrite").option("header", True).option("quote", "").option("escape", "")
      .option("sep", "\u0001").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

@@ -53,54 +53,74 @@ class MappingSpec:
         return used
 
 
-def default_rules(target_layout: dict, source_columns: list[str], sources: dict) -> tuple[dict, dict]:
-    """Rules by target name, and the id/LANR source override.
+@dataclass(frozen=True)
+class Preset:
+    """One line of the default rules: the targets it speaks for (exact names
+    or name parts), the source column it needs as parameter (by exact names or
+    by a name part), and the rules with and without that column."""
+    rule: str | None
+    names: tuple = ()
+    parts: tuple = ()
+    endings: tuple = ()
+    needs: tuple = ()
+    needs_part: str | None = None
+    fallback: str | None = None
+    takes_source: bool = False
+
+    def speaks_for(self, target: str) -> bool:
+        return (target in self.names or any(p in target for p in self.parts)
+                or any(target.endswith(e) for e in self.endings))
+
+    def column(self, lower: dict[str, str]) -> str | None:
+        """The first source column that a name in ``needs`` (in their order of
+        groups) or the part in ``needs_part`` identifies."""
+        for group in self.needs:
+            for c, low in lower.items():
+                if low in group:
+                    return c
+        if self.needs_part:
+            return next((c for c, low in lower.items() if self.needs_part in low), None)
+        return None
+
+    def rule_for(self, column: str | None) -> Rule | None:
+        if not (self.needs or self.needs_part):
+            return Rule(self.rule)
+        if column is None:
+            return Rule(self.fallback) if self.fallback else None
+        return Rule(self.rule, None if self.takes_source else column)
+
+
+# Default rules, the first line that speaks for a target decides.
+PRESETS = (
+    Preset("generate_uid", names=("id",)),
+    Preset("none", names=("p_nr",), needs=(ID_COLUMNS,), fallback="auto_sequence_6", takes_source=True),
+    Preset("none", names=("ext_id",), needs=(ID_COLUMNS, LANR_COLUMNS), fallback="auto_sequence_6", takes_source=True),
+    Preset("format_date", parts=("birth", "datum"), endings=("_bis",)),
+    Preset("gender", parts=("anrede",)),
+    Preset("lookup_plz_by_city", parts=("plz",), needs=(CITY_COLUMNS,), fallback="clean_plz"),
+    Preset("lookup_city_by_plz", names=("p_ort", "ort"), needs_part="plz"),
+    Preset("split_street", parts=("street",)),
+    Preset("split_number", parts=("hausnummer",)),
+    Preset("lookup_ik_provider", names=("p_krankenkasse",), needs_part="ik"),
+    Preset("validate_ik", names=("p_ik", "ik"), parts=("ik_nummer",)),
+    Preset("validate_kvnr", names=("p_vnr", "vnr", "kvnr"), parts=("versichertennummer",)),
+    Preset("validate_email", parts=("mail",)),
+)
 
-    Returns (rules, sources) -- ``sources`` possibly updated for p_nr/ext_id.
-    """
-    sources = dict(sources)
+
+def default_rules(target_layout: dict, source_columns: list[str], sources: dict) -> tuple[dict, dict]:
+    """(rules, sources): the preset of every target that has one; a preset that
+    takes its column as the source replaces the mapped one."""
     lower = {c: c.lower() for c in source_columns}
-    id_col = next((c for c in source_columns if lower[c] in ID_COLUMNS), None)
-    lanr_col = next((c for c in source_columns if lower[c] in LANR_COLUMNS), None)
-    city_col = next((c for c in source_columns if lower[c] in CITY_COLUMNS), None)
-    plz_col = next((c for c in source_columns if "plz" in lower[c]), None)
-    ik_col = next((c for c in source_columns if "ik" in lower[c]), None)
-    rules = {}
-    for t in target_layout:
-        if t == "id":
-            rules[t] = Rule("generate_uid")
-        elif t == "p_nr":
-            if id_col:
-                sources[t] = id_col
-                rules[t] = Rule("none")
-            else:
-                rules[t] = Rule("auto_sequence_6")
-        elif t == "ext_id":
-            if id_col or lanr_col:
-                sources[t] = id_col or lanr_col
-                rules[t] = Rule("none")
-            else:
-                rules[t] = Rule("auto_sequence_6")
-        elif "birth" in t:
-            rules[t] = Rule("format_date")
-        elif "anrede" in t:
-            rules[t] = Rule("gender")
-        elif "plz" in t:
-            rules[t] = Rule("lookup_plz_by_city", city_col) if city_col else Rule("clean_plz")
-        elif t in ("p_ort", "ort"):
-            if plz_col:
-                rules[t] = Rule("lookup_city_by_plz", plz_col)
-        elif "street" in t:
-            rules[t] = Rule("split_street")
-        elif "hausnummer" in t:
-            rules[t] = Rule("split_number")
-        elif t == "p_krankenkasse":
-            if ik_col:
-                rules[t] = Rule("lookup_ik_provider", ik_col)
-        elif t in ("p_ik", "ik") or "ik_nummer" in t:
-            rules[t] = Rule("validate_ik")
-        elif t in ("p_vnr", "vnr", "kvnr") or "versichertennummer" in t:
-            rules[t] = Rule("validate_kvnr")
-        elif t in ("p_email", "email", "mail"):
-            rules[t] = Rule("validate_email")
+    rules, sources = {}, dict(sources)
+    for target in target_layout:
+        preset = next((p for p in PRESETS if p.speaks_for(target)), None)
+        if preset is None:
+            continue
+        column = preset.column(lower)
+        rule = preset.rule_for(column)
+        if rule is not None:
+            rules[target] = rule
+        if preset.takes_source and column is not None:
+            sources[target] = column
     return rules, sources

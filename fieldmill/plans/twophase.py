@@ -11,6 +11,7 @@ invalid decisions -> copy rules -> length check on the final values.
 from __future__ import annotations
 
 import os
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -40,6 +41,9 @@ class Job:
     postcode_width: int = 5
     extra_fields: list = field(default_factory=list)
     row_col: str = "_row"
+    # one clock reading for all uids of the job: exported rows and the extra
+    # values that refer to them carry the same ids in every action
+    base_ms: int = field(default_factory=lambda: int(time.time() * 1000))
 
     def active_columns(self) -> list[str]:
         cols = [c for c in self.source.columns if c in self.spec.used_columns()]
@@ -58,9 +62,30 @@ class Job:
         return out
 
 
-def phase_a(job: Job, split_mode: str = "export") -> dict[str, DataFrame]:
-    """All findings tables; nothing is written."""
+RAW = "_raw_"
+
+
+def _cleaned_columns(job: Job) -> list[str]:
+    """Columns the cleanup may rewrite: not those of insurance numbers, whose
+    stray characters tell the repair what to mend."""
+    repaired = {s for _, s, rule in job.validated() if rule == "validate_kvnr"}
+    return [c for c in job.active_columns() if c not in repaired]
+
+
+def _prepared(job: Job, cleanup_rejected: DataFrame | None = None) -> DataFrame:
+    """The source both phases work on: after the accepted cleanup, and with a
+    private copy of every column that is needed beside the target columns."""
     src = job.source
+    if job.clean_strings:
+        src = resolve.apply_cleanup(src, _cleaned_columns(job), cleanup_rejected, job.row_col)
+    beside = {s for _, s, _ in job.validated()} | {f.source_col for f in job.extra_fields}
+    return src.withColumns({RAW + c: qcol(c) for c in sorted(beside) if c in src.columns})
+
+
+def phase_a(job: Job, split_mode: str = "export",
+            cleanup_rejected: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All findings tables, on the table that phase B exports; nothing is written."""
+    src = _prepared(job, cleanup_rejected)
     invalid = findings.invalid_cells(src, job.validated(), job.row_col)
     projected = _project(job, src)
     length = findings.length_conflicts(projected, limits(job.spec.layout), job.row_col)
@@ -71,16 +96,15 @@ def phase_a(job: Job, split_mode: str = "export") -> dict[str, DataFrame]:
         "invalid_summary": findings.issue_summary(invalid, ["target_col", "rule_type", "issue"]),
         "length_summary": findings.issue_summary(length, ["col_name"]),
     }
-    if job.clean_strings:
-        out["cleanup"] = findings.cleanup_preview(src, job.active_columns(), job.row_col)
+    if job.clean_strings and _cleaned_columns(job):
+        out["cleanup"] = findings.cleanup_preview(job.source, _cleaned_columns(job), job.row_col)
     return out
 
 
 def _project(job: Job, src: DataFrame, copies: bool = True) -> DataFrame:
-    keep = sorted({s for _, s, _ in job.validated()} | {f.source_col for f in job.extra_fields})
-    keep = [c for c in keep if c in src.columns and c not in job.spec.layout]
+    keep = [c for c in src.columns if c.startswith(RAW)]
     return mapping.project_to_schema(src, job.spec, job.postcode_dim, job.payer_dim, job.row_col,
-                                     keep=keep, postcode_width=job.postcode_width,
+                                     base_ms=job.base_ms, keep=keep, postcode_width=job.postcode_width,
                                      split_titles=job.split_titles, copies=copies,
                                      clean_kvnr=job.clean_kvnr, infer_salutation=job.infer_salutation)
 
@@ -89,11 +113,8 @@ def phase_b(job: Job, cleanup_rejected: DataFrame | None = None, invalid_policy:
             invalid_decisions: DataFrame | None = None, length_policy: str = "truncate",
             length_decisions: DataFrame | None = None) -> dict[str, DataFrame]:
     """The export tables after the user's decisions."""
-    src = job.source
-    if job.clean_strings:
-        src = resolve.apply_cleanup(src, job.active_columns(), cleanup_rejected, job.row_col)
-    out = _project(job, src, copies=False)
-    checked = [(t, s) for t, s, _ in job.validated()]
+    out = _project(job, _prepared(job, cleanup_rejected), copies=False)
+    checked = [(t, RAW + s) for t, s, _ in job.validated()]
     if checked:
         out = resolve.apply_invalid_decisions(out, checked, invalid_policy, invalid_decisions, job.row_col)
     out = mapping.apply_copies(out, job.spec)
@@ -101,7 +122,8 @@ def phase_b(job: Job, cleanup_rejected: DataFrame | None = None, invalid_policy:
     result = {"mapped": out.select(qcol(job.row_col), *[qcol(t) for t in job.spec.layout]),
               "rest": mapping.rest_table(job.source, job.spec, job.row_col)}
     if job.extra_fields:
-        values = extras.property_values(out, job.extra_fields, id_col="id", row_col=job.row_col)
+        values = extras.property_values(out, job.extra_fields, id_col="id", row_col=job.row_col,
+                                        base_ms=job.base_ms, prefix=RAW)
         result["property_values"] = values
         result["property_definitions"] = extras.property_definitions(values, job.extra_fields)
     return result

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmill.functions.text import NA_TOKENS, qcol
+from fieldmill.session import stable
 
 CORRUPT = "_corrupt_record"
 # Delimiter candidates; encodings a source may be read with.
@@ -23,11 +24,37 @@ DELIMITERS = [";", ",", "\t", "|"]
 _SPARK_CHARSET = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}
 
 
+def charset_of(encoding: str) -> str:
+    return _SPARK_CHARSET.get(encoding.lower(), encoding)
+
+
 def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
     return (spark.read.option("sep", sep).option("header", True).option("encoding", encoding)
             .option("quote", '"').option("escape", '"').csv(path).columns)
 
 
+# A doubled quote inside a quoted field is two quoted runs side by side, so
+# this linear pattern removes every quoted part.
+QUOTED = '"[^"]*"'
+
+
+def has_shape(cols: list[str], sep: str, multiline: bool = False) -> Column:
+    """The rows a read keeps: well-formed ones and short ones.  A malformed
+    line with a cell that opens a quote and does not close it is part of a cell with a line break; reading on
+    would garble two rows, so it ends the job (read with ``multiline=True``)."""
+    raw = qcol(CORRUPT)
+    outside = F.regexp_replace(raw, QUOTED, "")
+    n_fields = F.length(F.regexp_replace(outside, "[^" + re.escape(sep) + "]", "")) + 1
+    if not multiline:
+        n_fields = F.when(outside.rlike('(^|' + re.escape(sep) + ')"'), F.raise_error(F.lit(
+            "a quoted cell holds a line break: read with multiline=True")).cast("int")).otherwise(n_fields)
+    # The test references every field: with CSV column pruning a scan of
+    # fewer columns would not see a too-long row as malformed, and Spark
+    # refuses plans that read only the corrupt-record column.
+    all_fields = F.length(F.concat_ws("\u0001", *[qcol(c) for c in cols])) >= 0
+    return all_fields & (raw.isNull() | (n_fields <= len(cols)))
+
+
 FILE_ORDER_COLS = ["_src_file", "_src_block", "_src_pos"]
 
 
@@ -44,7 +71,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
     file order (``with_file_row_index``): Spark packs splits by size, so the
     partition order of many files is not their file order.
     """
-    charset = _SPARK_CHARSET.get(encoding.lower(), encoding)
+    charset = charset_of(encoding)
     cols = columns or _header(spark, path, sep, charset)
     cols = [c.lstrip("﻿") for c in cols]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols] + [T.StructField(CORRUPT, T.StringType())])
@@ -52,17 +79,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
            .option("encoding", charset).option("quote", '"').option("escape", '"')
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
            .option("multiLine", multiline).csv(path))
-    n = len(cols)
-    outside_quotes = F.regexp_replace(qcol(CORRUPT), r'"([^"]|"")*"', "")
-    n_fields = F.length(F.regexp_replace(outside_quotes, "[^" + re.escape(sep) + "]", "")) + 1
-    # The keep test references every field: with CSV column pruning a scan of
-    # fewer columns would not see a too-long row as malformed, and Spark
-    # refuses plans that read only the corrupt-record column.
-    all_fields = F.length(F.concat_ws("\u0001", *[qcol(c) for c in cols])) >= 0
     if file_order:
         raw = raw.select("*", F.col("_metadata.file_path").alias("_src_file"),
                          F.col("_metadata.file_block_start").alias("_src_block"))
-    kept = raw.where(all_fields & (qcol(CORRUPT).isNull() | (n_fields <= n)))
+    kept = raw.where(has_shape(cols, sep, multiline))
     if file_order:
         # positions after the row filter: kept rows of one split are contiguous
         kept = kept.withColumn("_src_pos", F.monotonically_increasing_id())
@@ -74,16 +94,17 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
 
 def with_file_row_index(df: DataFrame, name: str = "_row") -> DataFrame:
     """Contiguous row numbers in file order for a ``file_order=True`` read,
-    without moving the data.
-
-    Rows of one file split are contiguous inside a scan partition, so one
-    small aggregate (first position and count per split) gives every split
-    its start offset in (file, split) order; the offsets table has one row
-    per split -- bounded by the file listing, not by the rows -- and is
-    broadcast back.  Both passes re-read the same files with the same split
-    packing, so positions agree (also when a lost task is recomputed).
+    without a shuffle.
+
+    The read is first materialised in the shared checkpoint folder: how files
+    are cut into splits depends on the cluster's size at that moment, so
+    offsets and rows must come from one pass.  Rows of one file split are
+    contiguous there; one small aggregate (first position and count per split)
+    gives every split its start offset in (file, split) order.  The offsets
+    have one row per split; a row without an offset ends the job.
     """
     spark = df.sparkSession
+    df = stable(df)
     splits = (df.groupBy("_src_file", "_src_block")
               .agg(F.min("_src_pos").alias("_first"), F.count(F.lit(1)).alias("_n")).collect())
     offsets, running = [], 0
@@ -92,30 +113,30 @@ def with_file_row_index(df: DataFrame, name: str = "_row") -> DataFrame:
         running += r["_n"]
     off = spark.createDataFrame(offsets or [("", 0, 0, 0)],
                                 "_src_file string, _src_block long, _first long, _off long")
-    out = df.join(F.broadcast(off), ["_src_file", "_src_block"])
-    out = out.withColumn(name, (F.col("_off") + F.col("_src_pos") - F.col("_first")).cast("long"))
+    out = df.join(F.broadcast(off), ["_src_file", "_src_block"], "left")
+    start = F.coalesce("_off", F.raise_error(F.lit("a file split has no row offset")).cast("long"))
+    out = out.withColumn(name, (start + F.col("_src_pos") - F.col("_first")).cast("long"))
     return out.drop(*FILE_ORDER_COLS, "_first", "_off")
 
 
-def detect_dialect(spark: SparkSession, path: str, first_split_only: bool = True) -> DataFrame:
+def detect_dialect(spark: SparkSession, path: str) -> DataFrame:
     """Per file: the delimiter and the encoding to read it with.
 
-    By default only the first split of each file is sampled (a filter on
-    ``_metadata.file_block_start`` that the scan applies), so the work is
-    bounded by files x split size, not by the data volume; ``n_lines``
-    counts the sampled lines.
+    Whole files are read, so the answer does not depend on how they are
+    split: one late cp1252 byte decides the encoding.
 
     Delimiter: for each candidate, count it per non-blank line outside
     quotes; a candidate whose count is the same non-zero number on every
     line wins (highest count first), else the one with the highest minimum,
     else ``;``.  Encoding: a BOM -> utf-8-sig; any line that is not valid
-    UTF-8 -> cp1252; else utf-8.  All aggregates are partial (map-side).
+    UTF-8 -> cp1252, or latin1 if it holds a byte cp1252 leaves undefined;
+    else utf-8.  All aggregates are partial (map-side).
     """
     text = spark.read.option("encoding", "UTF-8").text(path)
-    if first_split_only:
-        text = text.where(F.col("_metadata.file_block_start") == 0)
     lines = text.select(F.col("_metadata.file_path").alias("file_path"), F.col("value"))
-    stripped = F.regexp_replace("value", r'"([^"]|"")*"', "")
+    stripped = F.regexp_replace("value", QUOTED, "")
+    undefined = F.when(~F.is_valid_utf8("value"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+                       .rlike("[\u0081\u008d\u008f\u0090\u009d]")).otherwise(False)
     counted = lines.where(F.length(F.trim("value")) > 0).select(
         "file_path", "value",
         *[(F.length(stripped) - F.length(F.regexp_replace(stripped, re.escape(d), ""))).alias(f"_n{i}")
@@ -125,6 +146,7 @@ def detect_dialect(spark: SparkSession, path: str, first_split_only: bool = True
         aggs += [F.min(f"_n{i}").alias(f"_min{i}"), F.max(f"_n{i}").alias(f"_max{i}")]
     aggs += [F.max(F.col("value").startswith("﻿").cast("int")).alias("_bom"),
              F.max((~F.is_valid_utf8("value")).cast("int")).alias("_bad"),
+             F.max(undefined.cast("int")).alias("_latin"),
              F.count(F.lit(1)).alias("n_lines")]
     per_file = counted.groupBy("file_path").agg(*aggs)
     # score: consistent candidates rank above inconsistent ones, then by count
@@ -135,6 +157,7 @@ def detect_dialect(spark: SparkSession, path: str, first_split_only: bool = True
     best = F.array_max(F.array(*scores))
     delim = F.when((best["consistent"] == 1) | (best["n"] > 0), best["delimiter"]).otherwise(F.lit(";"))
     enc = (F.when(F.col("_bom") == 1, F.lit("utf-8-sig"))
+           .when(F.col("_latin") > 0, F.lit("latin1"))
            .when(F.col("_bad") > 0, F.lit("cp1252")).otherwise(F.lit("utf-8")))
     return per_file.select("file_path", delim.alias("delimiter"), enc.alias("encoding"), "n_lines")
 

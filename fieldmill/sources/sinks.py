@@ -26,6 +26,9 @@ def write_table(df: DataFrame, path: str, sep: str = ";", null_literal: str = "N
     if fmt == "parquet":
         df.write.mode(mode).parquet(path)
         return path
+    if encoding.lower() == "utf-8-sig":  # every part file begins with its header: put the mark there
+        encoding, first = "UTF-8", df.columns[0]
+        df = df.toDF("\ufeff" + first, *df.columns[1:])
     (df.write.mode(mode).option("sep", sep).option("header", True).option("encoding", encoding)
      .option("nullValue", null_literal).option("emptyValue", null_literal)
      .option("quote", '"').option("escape", '"')

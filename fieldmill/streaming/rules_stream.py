@@ -21,23 +21,22 @@ from fieldmill.functions.text import qcol
 from fieldmill.operators import mapping
 from fieldmill.plans.spec import MappingSpec
 from fieldmill.session import checkpoint_dir
-from fieldmill.sources.delimited import CORRUPT
+from fieldmill.sources.delimited import CORRUPT, charset_of, has_shape
 
 ROW_ORDER_RULES = ("generate_uid", "auto_sequence_6")
 
 
 def read_delimited_stream(spark: SparkSession, path: str, columns: list[str], sep: str = ";",
-                          na_tokens: list[str] | None = None, max_files_per_trigger: int = 100) -> DataFrame:
+                          na_tokens: list[str] | None = None, max_files_per_trigger: int = 100,
+                          encoding: str = "utf-8") -> DataFrame:
     """Streaming twin of ``read_delimited``: same shape rules, header skipped."""
     from fieldmill.functions.text import NA_TOKENS
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.readStream.schema(schema).option("sep", sep).option("header", True)
+    raw = (spark.readStream.schema(schema).option("sep", sep).option("header", True).option("encoding", charset_of(encoding))
            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", max_files_per_trigger)
            .csv(path))
-    outside = F.regexp_replace(qcol(CORRUPT), r'"([^"]|"")*"', "")
-    n_fields = F.length(F.regexp_replace(outside, "[^" + sep + "]", "")) + 1
-    kept = raw.where(qcol(CORRUPT).isNull() | (n_fields <= len(columns)))
+    kept = raw.where(has_shape(columns, sep))
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     return kept.select(*[F.when(~qcol(c).isin(tokens), qcol(c)).alias(c) for c in columns])
 

@@ -28,7 +28,7 @@ def _csv(tmp):
 
 
 def _job(spark, tmp):
-    src = with_row_index(delimited.read_delimited(spark, _csv(tmp)), materialize=True)
+    src = with_row_index(delimited.read_delimited(spark, _csv(tmp)))
     spec = twophase.auto_spec(src, "patienten")
     lines = spark.createDataFrame([(0, "DE 10115 Berlin"), (1, "DE 08033 Zwickau")], "line long, value string")
     payers = spark.createDataFrame([(0, "109519005 AOK Nordost 14467 Potsdam")], "line long, value string")
@@ -114,7 +114,7 @@ def test_dotted_and_spaced_headers(spark, tmpdir_new):
     p = os.path.join(tmpdir_new, "dots.csv")
     with open(p, "w", encoding="utf-8") as f:
         f.write("Pat.Nr;Geb.Datum;Str. Nr;Notiz `x`\n7;15.8.85;Weg 2a;a\n8;abc;Hof;b\n")
-    src = with_row_index(delimited.read_delimited(spark, p), materialize=False)
+    src = with_row_index(delimited.read_delimited(spark, p))
     spec = MappingSpec.for_layout("patienten", {"p_nr": "Pat.Nr", "p_birth": "Geb.Datum", "p_hausnummer": "Str. Nr"},
                                   {"p_hausnummer": Rule("split_number")})
     out = mapping.project_to_schema(src, spec).orderBy("_row").collect()

@@ -162,14 +162,21 @@ def test_file_order_with_dropped_rows_and_many_splits(spark, tmpdir_new):
     assert [a for _, a in rows] == want and [i for i, _ in rows] == list(range(len(want)))
 
 
-def test_dialect_samples_first_split(spark, tmpdir_new):
-    _write(os.path.join(tmpdir_new, "big.csv"), ["a|b|c"] + ["1|2|3"] * 20000)
+def test_dialect_reads_whole_files(spark, tmpdir_new):
+    rows = ["a|b|c"] + ["1|2|3"] * 20000
+    _write(os.path.join(tmpdir_new, "big.csv"), rows)
+    with open(os.path.join(tmpdir_new, "late.csv"), "wb") as f:
+        f.write("\n".join([*rows, "M\u00fcller|1|2", ""]).encode("cp1252"))
+    with open(os.path.join(tmpdir_new, "odd.csv"), "wb") as f:
+        f.write("\n".join([*rows, ""]).encode() + b"\x81|1|2\n")
+    answers = []
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
-    try:
-        first = delimited.detect_dialect(spark, tmpdir_new).first()
-        whole = delimited.detect_dialect(spark, tmpdir_new, first_split_only=False).first()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert first.delimiter == whole.delimiter == "|"
-    assert first.n_lines < whole.n_lines == 20001
+    for size in ("8192", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            answers.append({os.path.basename(r.file_path): (r.delimiter, r.encoding, r.n_lines)
+                            for r in delimited.detect_dialect(spark, tmpdir_new).collect()})
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert answers[0] == answers[1] == {"big.csv": ("|", "utf-8", 20001), "late.csv": ("|", "cp1252", 20002),
+                                        "odd.csv": ("|", "latin1", 20002)}
