@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import ship, table
 
 LONG = 96
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 NEVER = 1 << 60
 
 # The published word pattern of byte-level BPE vocabularies (fixed value);
@@ -67,6 +67,7 @@ class Bpe:
         self.pieces |= {i: t.encode() for t, i in added.items()}
         self.splitter = regex.compile("(" + "|".join(
             regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+        self.id_text = {p: str(i) for p, i in self.ids.items()}
         self.by_text = {str(i): p for i, p in self.pieces.items()}
         self.plain: dict[str, str] = {}
         self.spaced: dict[str, str] = {}
@@ -141,7 +142,8 @@ class Bpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
     def _joined(self, word: str) -> str:
-        return ",".join([str(i) for i in self.encode_word(word.encode())])
+        raw, texts = word.encode(), self.id_text
+        return ",".join([texts[p] for p in (self._long(raw) if len(raw) > LONG else self._short(raw))])
 
     def _known(self, cache: dict[str, str], words: list[str], lead: str) -> list[str]:
         try:

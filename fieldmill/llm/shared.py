@@ -14,9 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldmill.session import scratch_path
 
 
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers, which on a cluster do not see
-    the driver's import path; once per application."""
+    the driver's import path (once per application), and keep Arrow batches of
+    whole texts small: ``BATCH_ROWS`` rows unless the session asks for fewer."""
+    rows = int(spark.conf.get(_BATCH, "10000"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_fieldmill_shipped", False):
         return
