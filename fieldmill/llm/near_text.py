@@ -87,9 +87,10 @@ def _signatures(k: int):
 def _set_rows(k: int):
     def run(batches):
         for batch in batches:
+            raw = [s.tobytes() for s in shingle_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())],
-                names=["id", "shingles"])
+                [batch.column(0), pa.array(map(xxhash.xxh3_128_digest, raw), pa.binary()), pa.array(raw, pa.binary())],
+                names=["id", "digest", "shingles"])
     return run
 
 
@@ -181,7 +182,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links, itself included.
     Null and empty texts have no shingles and link with nothing; fewer words
     than ``shingle`` make one shingle of them all; a repeated id is one
-    document for linking, each of its rows is returned; a null id links with
+    document for linking, each of its rows is returned, and of different texts
+    under one id the one with the smallest set digest is compared (equal sets
+    always link); a null id links with
     nothing, has a null component and is kept; an empty table gives no rows.
     Other columns of ``docs`` are not read.
     """
@@ -193,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.write(sigs.where("digest is not null and id is not null").groupBy("digest")
                             .agg(F.min("id").alias("class")), "classes")
     reps = sigs.join(classes, (sigs.id == classes["class"]) & (sigs.digest == classes.digest), "left_semi") \
-        .select("id", "sig", "bands")
+        .groupBy("id").agg(F.min(F.struct("digest", "sig", "bands")).alias("one")).select("id", "one.*")
     reps = scratch.write(reps, "representatives")
 
     keyed = reps.select("id", F.explode("bands").alias("key"))
@@ -209,8 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the full sets of every document that shares a bucket, computed once
     wanted = members.select("id").distinct()
-    sets = scratch.write(texts.join(wanted, "id", "left_semi").mapInArrow(
-        _set_rows(shingle), "id long, shingles binary"), "sets")
+    sets = texts.join(wanted, "id", "left_semi").mapInArrow(
+        _set_rows(shingle), "id long, digest binary, shingles binary")
+    sets = scratch.write(sets.join(reps.select("id", "digest"), ["id", "digest"], "left_semi")
+                         .dropDuplicates(["id"]).select("id", "shingles"), "sets")
     links = _links_of_stars(stars, reps, sets, percent)
     links = scratch.write(links, "star-links")
     scratch.drop(stars)
@@ -226,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1))) \
         .select("key", "id", "component", "chunk", F.least("chunk", "other").alias("ci"),
                 F.greatest("chunk", "other").alias("cj"))
-    blocks = blocks.join(reps, "id").join(sets, "id")
+    blocks = blocks.join(reps.drop("digest"), "id").join(sets, "id")
     more = scratch.write(blocks.groupBy("key", "ci", "cj").applyInArrow(_scan(percent), "a long, b long"),
                          "block-links")
     component = connected(links.union(more))
