@@ -48,7 +48,6 @@ def payer_dim_from_lines(lines: DataFrame) -> DataFrame:
     return out.where(F.col("name") != "")
 
 
-
 # ----------------------------------------------------------- reductions
 
 
@@ -152,7 +151,11 @@ def lookup_payer_by_id(df: DataFrame, ik, dim: DataFrame, out: str,
 def lookup_id_by_payer(df: DataFrame, name, dim: DataFrame, prefix: str = "match",
                        max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Case-insensitive exact name -> (ik, canonical name, score 1.0)."""
-    by_name = payer_by_name(dim).select("name_key", F.col("ik").alias("_ik"), F.col("payer_name").alias("_pn"))
+    return _exact_payer(df, name, payer_by_name(dim), prefix, max_rows)
+
+
+def _exact_payer(df: DataFrame, name, by_name: DataFrame, prefix: str, max_rows: int) -> DataFrame:
+    by_name = by_name.select("name_key", F.col("ik").alias("_ik"), F.col("payer_name").alias("_pn"))
     key = F.when(~is_blank(name), F.lower(utrim(col_of(name))))
     j = lookup_join(df, by_name, key, "name_key", max_rows=max_rows)
     return (j.withColumn(f"{prefix}_ik", F.col("_ik"))
@@ -169,73 +172,111 @@ def token_sorted(c) -> Column:
 
 
 def padded_bigrams(c) -> Column:
-    """Distinct bigrams of ``\\x02 + s + \\x03``: two strings within edit
-    distance k share at least max(len)+1-2k of them, so any pair with
-    similarity >= 0.5 shares one -- an exact candidate filter."""
+    """Distinct bigrams of ``\\x02 + s + \\x03``."""
     p = F.concat(F.lit("\u0002"), col_of(c), F.lit("\u0003"))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda i: F.substring(p, i, 2)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - levenshtein / longer length (1.0 for two empty strings)."""
-    m = F.greatest(F.length(a), F.length(b))
-    return F.when(m == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / m)
+TOKEN_WEIGHT = 0.95  # the token-sorted form counts this much
+_EPS = 1e-6          # slack of the candidate bounds; the final test is exact
+
+
+def _forms(frame: DataFrame, text_col: str, keys: list[str], cutoff: float, fuzzy: bool) -> DataFrame:
+    """One row per string and form: ``_f`` (r raw, s token-sorted), ``_c`` (the
+    similarity this form needs to reach the cutoff), ``_t`` text, ``_l`` length,
+    ``_g`` bigrams.  A form that cannot reach the cutoff is left out."""
+    forms = [("r", F.lower(qcol(text_col)), cutoff)]
+    if fuzzy and cutoff <= TOKEN_WEIGHT:
+        forms.append(("s", token_sorted(qcol(text_col)), cutoff / TOKEN_WEIGHT))
+    one = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(float(max(c, 0.0))).alias("c"), t.alias("t")) for f, t, c in forms])
+    return (frame.select(*keys, F.explode(one).alias("_x"))
+            .select(*keys, F.col("_x.f").alias("_f"), F.col("_x.c").alias("_c"), F.col("_x.t").alias("_t"))
+            .withColumn("_l", F.length("_t")).withColumn("_g", padded_bigrams(F.col("_t"))))
 
 
+def _edits(longer: Column, need: Column) -> Column:
+    """Most edits between strings of similarity ``need``."""
+    return F.floor(longer * (1.0 - need) + _EPS).cast("int")
+
+
+def fuzzy_candidates(queries: DataFrame, names: DataFrame, cutoff: float, fuzzy: bool = True,
+                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """(query, line, form) rows that hold every pair at or above ``cutoff``,
+    before any edit distance; at most one row per pair inside the length band
+    and form on average.
+
+    ``k`` edits destroy at most ``2k`` distinct bigrams of the query (one less
+    for every character the name is longer), so one of its ``2k+1`` rarest is
+    in the name.  Those are the query's keys when it has that many and the
+    names behind them are fewer than the names of fitting length; otherwise
+    its keys are the fitting lengths.  Either way one equi-join.
+    """
+    q = _forms(queries, "_q", ["_q"], cutoff, fuzzy)
+    n = stable(_forms(names, "name", ["line", "name"], cutoff, fuzzy))
+    n_keys = n.select("_f", "line", F.explode(F.concat("_g", F.array(F.concat(F.lit("#"), F.col("_l"))))).alias("_k"))
+    freq = n_keys.groupBy("_f", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    # per form, how many names have which length: one entry per length
+    lengths = n.groupBy("_f", F.col("_l").alias("l")).agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("_f").agg(F.collect_list(F.struct("l", "n")).alias("_ls"))
+    small = is_broadcastable(n_keys, max_rows)
+    held = F.broadcast if small else (lambda d: d)
+
+    def in_band(x):
+        longer, shorter = F.greatest(x["l"], F.col("_l")), F.least(x["l"], F.col("_l"))
+        return longer - shorter <= _edits(longer, F.col("_c"))
+
+    ranked = (q.select("_q", "_f", F.explode("_g").alias("_k")).join(held(freq), ["_f", "_k"], "left")
+              .groupBy("_q", "_f").agg(F.array_sort(F.collect_list(F.struct(
+                  F.coalesce("_n", F.lit(0)).alias("n"), F.col("_k").alias("k")))).alias("_r")))
+    q = q.join(ranked, ["_q", "_f"]).join(F.broadcast(lengths), "_f") \
+        .withColumn("_ls", F.filter("_ls", in_band)) \
+        .withColumn("_p", (F.floor(F.col("_l") * 2.0 * (1.0 - F.col("_c")) + _EPS) + 1).cast("int"))
+    prefix = F.slice("_r", F.lit(1), F.col("_p"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    by_gram = (F.col("_c") >= 0.5) & (F.size("_r") >= F.col("_p")) & (total(prefix) < total(F.col("_ls")))
+    q = q.withColumn("_keys", F.when(by_gram, F.transform(F.filter(prefix, lambda x: x["n"] > 0), lambda x: x["k"]))
+                     .otherwise(F.transform("_ls", lambda x: F.concat(F.lit("#"), x["l"].cast("string")))))
+    cand = q.select("_q", "_f", "_c", "_t", "_l", "_g", "_keys", F.posexplode("_keys").alias("_i", "_k")) \
+        .join(held(n_keys), ["_f", "_k"]) \
+        .join(held(n.select("_f", "line", "name", F.col("_t").alias("_nt"), F.col("_l").alias("_nl"),
+                            F.col("_g").alias("_ng"))), ["_f", "line"])
+    # a pair is taken at the first of the query's keys that the name has
+    first = (F.col("_i") == 0) | ~F.arrays_overlap(F.slice("_keys", F.lit(1), F.col("_i")), F.col("_ng"))
+    longer, longer_by = F.greatest("_l", "_nl"), F.col("_nl") - F.col("_l")
+    return (cand.withColumn("_e", _edits(longer, F.col("_c")))
+            .where((F.abs(longer_by) <= F.col("_e")) & first)
+            .where(F.size(F.array_intersect("_g", "_ng"))
+                   >= F.size("_g") - 2 * F.col("_e") + F.greatest(longer_by, F.lit(0)))
+            .select("_q", "_f", "line", "name", "_t", "_nt", "_e", longer.alias("_m")))
+
 
 def match_payer_fuzzy(df: DataFrame, name, dim: DataFrame, cutoff: float = 0.6,
-                      prefix: str = "match", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                      prefix: str = "match", max_rows: int = BROADCAST_MAX_ROWS, fuzzy: bool = True) -> DataFrame:
     """Exact case-insensitive hit (score 1.0), else the best-scoring payer
     name at or above ``cutoff`` (ties: earliest line), else nulls and 0.0.
 
-    Only distinct unmatched names are scored, against candidates that share a
-    padded bigram of the raw or token-sorted form -- exact for cutoff >= 0.5.
-    Both sides are normalised once; pairs are narrow (query, line) keys, and
-    a length band (edit distance >= length difference) drops pairs that
-    cannot reach the cutoff before any edit distance is computed.
+    Score: 1 - edit distance / longer length of the lower-cased names, or 0.95
+    times that of their token-sorted forms.  ``fuzzy=False`` compares the
+    names as they are, without the token-sorted form, and reports the cutoff
+    as the score.  Only distinct unmatched names are scored, against the pairs
+    of ``fuzzy_candidates``; any cutoff gives what comparing all pairs would.
     """
-    if cutoff < 0.5:
-        raise ValueError("cutoff below 0.5 is not supported by the exact bigram candidate filter")
-    exact = lookup_id_by_payer(df, name, dim, prefix=prefix, max_rows=max_rows)
+    # the dictionary is read and reduced once, not in every step below
+    dim = stable(dim.select("line", "ik", "name"))
+    by_name = stable(payer_by_name(dim))
+    exact = _exact_payer(df, name, by_name, prefix, max_rows)
     qkey = F.lower(utrim(col_of(name)))
-    queries = (exact.where(F.col(f"{prefix}_ik").isNull() & ~is_blank(name))
-               .select(qkey.alias("_q")).distinct()
-               .select("_q", token_sorted(F.col("_q")).alias("_qs")))
-    names = payer_names(dim).select("name", "line", F.lower("name").alias("_n"), token_sorted(F.col("name")).alias("_ns"))
-    # one small aggregate proves both sizes: a name has at most len+1
-    # distinct padded bigrams per form, so the gram table is bounded too
-    st = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.length("_n")), F.lit(0)).alias("a"),
-                   F.coalesce(F.max(F.length("_ns")), F.lit(0)).alias("b")).first()
-    small = st["n"] <= max_rows
-    grams_small = small and st["n"] * (st["a"] + st["b"] + 2) <= max_rows
-    names_b = F.broadcast(names) if small else names
-
-    def grams(frame: DataFrame, raw: str, srt: str, keys: list[str]) -> DataFrame:
-        r = frame.select(*keys, F.lit("r").alias("_form"), F.explode(padded_bigrams(qcol(raw))).alias("_g"))
-        t = frame.select(*keys, F.lit("s").alias("_form"), F.explode(padded_bigrams(qcol(srt))).alias("_g"))
-        return r.unionByName(t)
-
-    qg = grams(queries, "_q", "_qs", ["_q"])
-    dg = grams(names, "_n", "_ns", ["line"])
-    dg = F.broadcast(dg) if grams_small else dg
-    pairs = qg.join(dg, ["_form", "_g"]).select("_q", "line").distinct()
-    cand = pairs.join(queries, "_q").join(names_b, "line")
-
-    def band(a: Column, b: Column) -> Column:
-        la, lb = F.length(a), F.length(b)
-        return F.abs(la - lb) <= F.greatest(la, lb) * (1.0 - cutoff)
-
-    def sim(a: Column, b: Column) -> Column:
-        m = F.greatest(F.length(a), F.length(b))
-        return F.when(m == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / m)
-
-    raw_s = F.when(band(F.col("_q"), F.col("_n")), sim(F.col("_q"), F.col("_n"))).otherwise(F.lit(0.0))
-    srt_s = F.when(band(F.col("_qs"), F.col("_ns")), F.lit(0.95) * sim(F.col("_qs"), F.col("_ns"))).otherwise(F.lit(0.0))
-    scored = cand.withColumn("_s", F.greatest(raw_s, srt_s)).where(F.col("_s") >= cutoff)
+    queries = stable(exact.where(F.col(f"{prefix}_ik").isNull() & ~is_blank(name)).select(qkey.alias("_q")).distinct())
+    cand = fuzzy_candidates(queries, payer_names(dim), cutoff, fuzzy, max_rows)
+    # the threshold form gives -1 beyond _e edits
+    scored = cand.withColumn("_d", F.call_function("levenshtein", "_t", "_nt", "_e")).where(F.col("_d") >= 0)
+    sim = F.when(F.col("_m") == 0, F.lit(1.0)).otherwise(1.0 - F.col("_d") / F.col("_m"))
+    scored = scored.withColumn("_s", F.when(F.col("_f") == "s", F.lit(TOKEN_WEIGHT) * sim).otherwise(sim)) \
+        .where(F.col("_s") >= cutoff)
     best = (scored.groupBy("_q")
             .agg(F.max_by(F.struct("name", "_s"), F.struct("_s", (-F.col("line")).alias("_neg"))).alias("_b"))
-            .select("_q", F.col("_b.name").alias("_fn"), F.col("_b._s").alias("_fs")))
-    by_name = payer_by_name(dim).select("name_key", F.col("ik").alias("_fik"))
+            .select("_q", F.col("_b.name").alias("_fn"), (F.col("_b._s") if fuzzy else F.lit(float(cutoff))).alias("_fs")))
+    by_name = by_name.select("name_key", F.col("ik").alias("_fik"))
     # one row per distinct unmatched name: materialised once, so the size
     # check before the join does not run the scoring a second time
     best = stable(lookup_join(best, by_name, F.lower(F.col("_fn")), "name_key", max_rows=max_rows))
