@@ -5,7 +5,8 @@ Accepted shapes (optional ``[ T]hh:mm[:ss[.f]]`` suffix is cut first):
 ``yyyyMMdd`` and ``M/d/yyyy`` (month first unless the first number exceeds
 12).  Two-digit years pivot at 69: 69-99 -> 19xx, 00-68 -> 20xx.  Text that
 is already ``dddd-dd-dd`` is returned unchanged; unparsable text is returned
-trimmed; empties become null (or the fallback).
+trimmed; empties become null (or the fallback).  ``day_first=False`` reads
+dotted dates month first unless the first number exceeds 12.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def _sig_map() -> Column:
     return F.create_map(*[x for k, v in _signatures().items() for x in (F.lit(k), F.lit(v))])
 
 
-def _stages(src: Column, p: str, fallback: str | None) -> list[dict[str, Column]]:
+def _stages(src: Column, p: str, fallback: str | None, day_first: bool = True) -> list[dict[str, Column]]:
     """Ordered projections computing the ISO date of ``src`` into ``{p}out``.
 
     Each intermediate value is its own column, so it is computed once per
@@ -52,6 +53,7 @@ def _stages(src: Column, p: str, fallback: str | None) -> list[dict[str, Column]
         v = F.when(empty, F.lit(fallback)).otherwise(v)
         empty = F.lit(False)
     year_first = c("code").isin(YSLASH_C, YDASH_C, COMPACT_C)
+    month_first = c("code") == USLASH_C if day_first else c("code").isin(USLASH_C, DOT4_C, DOT2_C)
     return [
         {p + "v": v, p + "empty": empty},
         {p + "sig": F.translate(c("v"), "0123456789", "9999999999")},
@@ -64,9 +66,9 @@ def _stages(src: Column, p: str, fallback: str | None) -> list[dict[str, Column]
          p + "c": F.get(c("parts"), 2).try_cast("int")},
         {p + "y": F.when(c("code") == DOT2_C, F.when(c("c") >= 69, c("c") + 1900).otherwise(c("c") + 2000))
             .when(year_first, c("a")).otherwise(c("c")),
-         p + "m": F.when(year_first, c("b")).when((c("code") == USLASH_C) & (c("a") <= 12), c("a")).otherwise(c("b")),
-         p + "d": F.when(year_first, c("c")).when((c("code") == USLASH_C) & (c("a") > 12), c("a"))
-            .when(c("code") == USLASH_C, c("b")).otherwise(c("a"))},
+         p + "m": F.when(year_first, c("b")).when(month_first & (c("a") <= 12), c("a")).otherwise(c("b")),
+         p + "d": F.when(year_first, c("c")).when(month_first & (c("a") > 12), c("a"))
+            .when(month_first, c("b")).otherwise(c("a"))},
         {p + "iso": F.when(c("code").isNotNull(), F.concat_ws(
             "-", F.lpad(c("y").cast("string"), 4, "0"), F.lpad(c("m").cast("string"), 2, "0"),
             F.lpad(c("d").cast("string"), 2, "0")))},
@@ -75,17 +77,18 @@ def _stages(src: Column, p: str, fallback: str | None) -> list[dict[str, Column]
     ]
 
 
-def with_format_date(df: DataFrame, src, out: str, fallback: str | None = None) -> DataFrame:
+def with_format_date(df: DataFrame, src, out: str, fallback: str | None = None,
+                     day_first: bool = True) -> DataFrame:
     """``df`` plus ``out`` = ISO text of ``src`` (see module doc); the
     staged form for tables."""
     p = f"_fd_{out}_"
-    for stage in _stages(col_of(src), p, fallback):
+    for stage in _stages(col_of(src), p, fallback, day_first):
         df = df.withColumns(stage)
     tmp = [c for c in df.columns if c.startswith(p) and c != p + "out"]
     return df.drop(*tmp).withColumnRenamed(p + "out", out)
 
 
-def format_date(c, fallback: str | None = None) -> Column:
+def format_date(c, fallback: str | None = None, day_first: bool = True) -> Column:
     """Date text -> ISO text as one Column (a rewrite chain, one regex per
     shape).  For whole tables ``with_format_date`` is faster: it computes each
     intermediate value once per row."""
@@ -96,7 +99,7 @@ def format_date(c, fallback: str | None = None) -> Column:
         v = F.when(empty, F.lit(fallback)).otherwise(v)
         empty = F.lit(False)
     r = v
-    for pat, rep in _CHAIN:
+    for pat, rep in (_CHAIN if day_first else _MONTH_FIRST + _CHAIN):
         r = F.regexp_replace(r, pat, rep)
     iso = F.when(r.startswith("D:"), F.substring(r, 3, 10))
     pick = F.when(v.rlike(ISO), F.lit(1)).when(F.try_to_date(iso, "yyyy-MM-dd").isNotNull(), F.lit(2)).otherwise(F.lit(1))
@@ -116,3 +119,10 @@ _CHAIN = [
     (rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}}){_T}$", "D:$3-$1-$2"),      # else month first
     (r"-([0-9])(?=-|$)", "-0$1"),                                                # zero-fill month, day
 ]
+
+# Dotted dates month first; a first number over 12 is left to the chain above.
+_MONTH_FIRST = [
+    (rf"^(0?[0-9]|1[0-2])\.([0-9]{{1,2}})\.([0-9]{{4}}){_T}$", "D:$3-$1-$2"),
+    (rf"^(0?[0-9]|1[0-2])\.([0-9]{{1,2}})\.(69|[7-9][0-9]){_T}$", "D:19$3-$1-$2"),
+    (rf"^(0?[0-9]|1[0-2])\.([0-9]{{1,2}})\.([0-9]{{2}}){_T}$", "D:20$3-$1-$2"),
+]

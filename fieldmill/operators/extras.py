@@ -49,7 +49,8 @@ def property_values(df: DataFrame, fields: list[ExtraField], id_col: str = "id",
                     row_col: str = "_row", base_ms: int | None = None, prefix: str = "") -> DataFrame:
     """(id, property_id, patienten_id, content, field_idx, _row) for every
     non-blank extra cell; ``content`` trimmed; ids are deterministic uids of
-    ``row * n_fields + field_idx``.  ``prefix``: before the fields' column
+    ``row * n_fields + field_idx``, counted downwards from the base so that
+    none equals a row's uid of the same job.  ``prefix``: before the fields' column
     names in ``df`` (private copies that no target column can hide)."""
     if len({f.property_id for f in fields}) < len(fields):
         raise ValueError("two extra fields share a property id")
@@ -60,7 +61,7 @@ def property_values(df: DataFrame, fields: list[ExtraField], id_col: str = "id",
     long = df.select(qcol(row_col), pid.alias("patienten_id"), F.explode(cells).alias("c"))
     long = long.where(~text.is_blank(F.col("c.raw")))
     vrow = qcol(row_col) * n + F.col("c.field_idx")
-    return long.select(keys.generate_uid(vrow, base_ms).alias("id"), F.col("c.property_id").alias("property_id"),
+    return long.select(keys.generate_uid(-vrow - 1, base_ms).alias("id"), F.col("c.property_id").alias("property_id"),
                        "patienten_id", text.utrim(F.col("c.raw")).alias("content"),
                        F.col("c.field_idx").alias("field_idx"), qcol(row_col))
 

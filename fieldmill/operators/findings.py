@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.functions import checks, text
+from fieldmill.functions.dates import ISO
 from fieldmill.functions.text import is_empty_token, qcol, utrim
 
 
@@ -116,7 +117,9 @@ def flag_records(df: DataFrame, mapped: list[Checked], row_col: str = "_row",
 # --------------------------------------------------------- long findings
 
 
-def _explode_cells(df: DataFrame, row_col: str, cells: list[Column]) -> DataFrame:
+def _explode_cells(df: DataFrame, row_col: str, cells: list[Column], fields: str) -> DataFrame:
+    """``fields``: the struct's fields, for tables without any column to check."""
+    cells = cells or [F.lit(None).cast(f"struct<{fields}>")]
     arr = F.array_compact(F.array(*cells))
     return df.select(qcol(row_col).alias("row_idx"), F.explode(arr).alias("_c")).select("row_idx", "_c.*")
 
@@ -150,7 +153,8 @@ def invalid_cells(df: DataFrame, checked: list[tuple[str, str, str]], row_col: s
         cells.append(F.when(live & bad, F.struct(
             F.lit(target).alias("target_col"), F.lit(rule).alias("rule_type"),
             raw.alias("original_val"), issue.alias("issue"), fixed.alias("repaired_val"))))
-    return _explode_cells(df, row_col, cells)
+    return _explode_cells(df, row_col, cells, "target_col: string, rule_type: string, original_val: string, "
+                                              "issue: string, repaired_val: string")
 
 
 def cleanup_preview(df: DataFrame, cols: list[str], row_col: str = "_row") -> DataFrame:
@@ -161,7 +165,7 @@ def cleanup_preview(df: DataFrame, cols: list[str], row_col: str = "_row") -> Da
         cleaned = text.sanitize_strict(raw)
         cells.append(F.when(~text.is_blank(raw) & (cleaned != raw), F.struct(
             F.lit(c).alias("col_name"), raw.alias("original"), cleaned.alias("cleaned"))))
-    return _explode_cells(df, row_col, cells)
+    return _explode_cells(df, row_col, cells, "col_name: string, original: string, cleaned: string")
 
 
 def length_conflicts(df: DataFrame, limits: dict[str, int], row_col: str = "_row") -> DataFrame:
@@ -173,7 +177,20 @@ def length_conflicts(df: DataFrame, limits: dict[str, int], row_col: str = "_row
         v = qcol(c)
         cells.append(F.when(v.isNotNull() & (v != "NULL") & (F.length(v) > n), F.struct(
             F.lit(c).alias("col_name"), F.lit(n).alias("limit"), v.alias("orig_val"))))
-    return _explode_cells(df, row_col, cells)
+    return _explode_cells(df, row_col, cells, "col_name: string, limit: int, orig_val: string")
+
+
+def date_unparsed(df: DataFrame, date_cols: list[str], row_col: str = "_row") -> DataFrame:
+    """Cells of projected date columns that are no ISO date: the export writes
+    their text unchanged.  ISO-shaped text that is no day of the calendar
+    counts, too."""
+    cells = []
+    for c in date_cols:
+        v = qcol(c)
+        cells.append(F.when(~text.is_blank(v) & ~F.coalesce(
+            v.rlike(ISO) & F.try_to_date(v, "yyyy-MM-dd").isNotNull(), F.lit(False)), F.struct(
+            F.lit(c).alias("target_col"), v.alias("original_val"), F.lit("date_unparsed").alias("issue"))))
+    return _explode_cells(df, row_col, cells, "target_col: string, original_val: string, issue: string")
 
 
 def issue_summary(findings: DataFrame, by: list[str]) -> DataFrame:

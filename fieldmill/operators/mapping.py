@@ -92,12 +92,9 @@ def match_columns(catalogue: DataFrame, target_layout: dict) -> DataFrame:
 
 
 def _plain(src: Column, target: str, rule, df_cols: list[str], width: int = 5) -> tuple[Column, bool]:
-    """The mapped-column branch; returns (column, exempt from blank->null)."""
-    t = target.lower()
+    """The mapped-column branch without dates; returns (column, exempt from blank->null)."""
     v = text.clean_by_kind(src, target)
     kind = rule.type
-    if kind == "format_date" or "birth" in t or "datum" in t:
-        return dates.format_date(v, rule.param if kind == "format_date" else None), bool(rule.param and kind == "format_date")
     if kind == "default_value":
         return text.default_value(v, rule.param or ""), True
     if kind == "clean_plz":
@@ -120,7 +117,7 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
                       base_ms: int | None = None, keep: list[str] | None = None,
                       postcode_width: int = 5, split_titles: bool = False,
                       copies: bool = True, clean_kvnr: bool = False,
-                      infer_salutation: bool = False) -> DataFrame:
+                      infer_salutation: bool = False, day_first: bool = True) -> DataFrame:
     """Evaluate every target column's rule; output ``row_col``, the target
     columns in declared order, then ``keep`` source columns.
 
@@ -130,7 +127,8 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
     sources of targets named like an insurance number (off by default, D6);
     ``infer_salutation`` fills an empty salutation target from the first
     name mapped to ``p_vname``/``name2`` (off by default; the original tool
-    has the setting but never applies it).
+    has the setting but never applies it); ``day_first=False`` reads dotted
+    dates month first (D5).
     """
     cols = list(df.columns)
     src_of = {t: s for t, s in spec.sources.items() if s and s in cols}
@@ -194,11 +192,11 @@ def project_to_schema(df: DataFrame, spec: MappingSpec, postcode_dim: DataFrame
         elif k == "copy_target":
             # before its copy: the cleaned mapped value, which a copy of this column sees
             exprs[t] = text.nullif_blank(text.clean_by_kind(src, t)) if src is not None else F.lit(None)
-        elif src is not None and (k == "format_date" or "birth" in t.lower() or "datum" in t.lower()):
+        elif src is not None and is_date_target(t, rule):
             # dates by rule or by name: the staged form (intermediates as columns)
             fallback = rule.param if k == "format_date" else None
             df = dates.with_format_date(df.withColumn(f"_dv_{t}", text.clean_by_kind(src, t)),
-                                        qcol(f"_dv_{t}"), f"_fd_{t}", fallback)
+                                        qcol(f"_dv_{t}"), f"_fd_{t}", fallback, day_first)
             exprs[t] = qcol(f"_fd_{t}") if fallback else text.nullif_blank(qcol(f"_fd_{t}"))
         elif src is not None:
             c, exempt = _plain(src, t, rule, cols, postcode_width)
@@ -234,6 +232,11 @@ def apply_copies(out: DataFrame, spec: MappingSpec) -> DataFrame:
     return out
 
 
+def is_date_target(target: str, rule) -> bool:
+    """Dates by rule or by name."""
+    return rule.type == "format_date" or "birth" in target.lower() or "datum" in target.lower()
+
+
 def rest_table(df: DataFrame, spec: MappingSpec, row_col: str = "_row") -> DataFrame:
     """All source columns neither mapped nor named by a rule parameter."""
     used = spec.used_columns()

@@ -24,6 +24,8 @@ from fieldmill.plans.spec import MappingSpec
 from fieldmill.schemas import limits, parse_limit
 from fieldmill.sources import sinks
 
+# rules whose mapped targets become dates by name (the others decide the value themselves)
+DATE_RULES = ("format_date", "none", "default_value", "clean_plz", "gender", "split_street", "split_number", "merge_columns")
 VALIDATORS = ("validate_ik", "validate_kvnr", "validate_email")
 
 
@@ -39,6 +41,7 @@ class Job:
     clean_kvnr: bool = False
     infer_salutation: bool = False
     postcode_width: int = 5
+    day_first: bool = True
     extra_fields: list = field(default_factory=list)
     row_col: str = "_row"
     # one clock reading for all uids of the job: exported rows and the extra
@@ -61,6 +64,11 @@ class Job:
                 out.append((t, s, r.type))
         return out
 
+    def date_columns(self) -> list[str]:
+        """Target columns that the projection reads as dates."""
+        return [t for t in self.spec.layout if self.spec.source(t) in self.source.columns
+                and mapping.is_date_target(t, self.spec.rule(t)) and self.spec.rule(t).type in DATE_RULES]
+
 
 RAW = "_raw_"
 
@@ -93,6 +101,7 @@ def phase_a(job: Job, split_mode: str = "export",
         "flagged": findings.flag_records(src, job.mapped(), job.row_col, split_mode=split_mode),
         "invalid": invalid,
         "length": length,
+        "dates": findings.date_unparsed(projected, job.date_columns(), job.row_col),
         "invalid_summary": findings.issue_summary(invalid, ["target_col", "rule_type", "issue"]),
         "length_summary": findings.issue_summary(length, ["col_name"]),
     }
@@ -106,7 +115,7 @@ def _project(job: Job, src: DataFrame, copies: bool = True) -> DataFrame:
     return mapping.project_to_schema(src, job.spec, job.postcode_dim, job.payer_dim, job.row_col,
                                      base_ms=job.base_ms, keep=keep, postcode_width=job.postcode_width,
                                      split_titles=job.split_titles, copies=copies,
-                                     clean_kvnr=job.clean_kvnr, infer_salutation=job.infer_salutation)
+                                     clean_kvnr=job.clean_kvnr, infer_salutation=job.infer_salutation, day_first=job.day_first)
 
 
 def phase_b(job: Job, cleanup_rejected: DataFrame | None = None, invalid_policy: str = "clear",

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # a checkpoint goes when nothing refers to its table any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # cp1252 source files need the legacy Java charset list (Spark 4.1).
     "spark.sql.legacy.javaCharsets": "true",
 }

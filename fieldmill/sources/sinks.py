@@ -22,7 +22,9 @@ REST_PREFIX = "REST_UNMAPPED_"
 
 
 def write_table(df: DataFrame, path: str, sep: str = ";", null_literal: str = "NULL",
-                encoding: str = "UTF-8", fmt: str = "csv", mode: str = "overwrite") -> str:
+                encoding: str = "UTF-8", fmt: str = "csv", mode: str = "overwrite",
+                empty_literal: str | None = None) -> str:
+    """``empty_literal``: what an empty text is written as (default: like a null)."""
     if fmt == "parquet":
         df.write.mode(mode).parquet(path)
         return path
@@ -30,15 +32,17 @@ def write_table(df: DataFrame, path: str, sep: str = ";", null_literal: str = "N
         encoding, first = "UTF-8", df.columns[0]
         df = df.toDF("\ufeff" + first, *df.columns[1:])
     (df.write.mode(mode).option("sep", sep).option("header", True).option("encoding", encoding)
-     .option("nullValue", null_literal).option("emptyValue", null_literal)
+     .option("nullValue", null_literal).option("emptyValue", null_literal if empty_literal is None else empty_literal)
      .option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
 def write_mapped(df: DataFrame, path: str, target_layout: dict, **kw) -> str:
-    """The target table, exactly the layout's columns in declared order."""
-    return write_table(df.select(*[qcol(c) for c in target_layout]), path, **kw)
+    """The target table, exactly the layout's columns in declared order.  The
+    projection has made blank cells null; an empty text that is left is a
+    constant or default and is written empty."""
+    return write_table(df.select(*[qcol(c) for c in target_layout]), path, **{"empty_literal": "", **kw})
 
 
 def write_flagged(flagged: DataFrame, out_dir: str, **kw) -> str:

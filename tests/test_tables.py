@@ -361,3 +361,110 @@ def test_salted_join_by_row_key(spark):
     a = sorted(tuple(r) for r in lookup_join(fact, dim, F.col("k"), "key").collect())
     b = sorted(tuple(r) for r in lookup_join(fact, dim, F.col("k"), "key", max_rows=0, salts=8).collect())
     assert a == b and len(b) == 3000
+
+
+def _lev(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return prev[-1]
+
+
+@pytest.mark.parametrize("cutoff,fuzzy", [(0.0, True), (0.3, True), (0.6, False), (0.75, True), (0.97, True)])
+def test_fuzzy_any_cutoff_equals_all_pairs(spark, cutoff, fuzzy):
+    import random
+    rnd = random.Random(5)
+
+    def text():
+        return " ".join("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(1, 3)))
+
+    def sim(a, b):
+        return 1.0 - _lev(a, b) / max(len(a), len(b))
+
+    names = sorted({text() for _ in range(40)})
+    probes = sorted({text() for _ in range(60)} - set(names))
+    dim = spark.createDataFrame([(i, str(100000000 + i), n) for i, n in enumerate(names)],
+                                "line long, ik string, name string")
+    src = spark.createDataFrame([(p,) for p in probes], "n string")
+    got = {r.n: (r.match_name, round(r.match_score, 9))
+           for r in lookups.match_payer_fuzzy(src, F.col("n"), dim, cutoff=cutoff, fuzzy=fuzzy).collect()}
+    for p in probes:
+        best = (0.0, None)
+        for n in names:
+            score = sim(p, n)
+            if fuzzy:
+                score = max(score, 0.95 * sim(" ".join(sorted(p.split())), " ".join(sorted(n.split()))))
+            if score >= cutoff and (best[1] is None or score > best[0]):
+                best = (score, n)
+        assert got[p] == (best[1], round(best[0] if fuzzy or best[1] is None else cutoff, 9))
+
+
+def test_fuzzy_candidates_below_all_pairs(spark):
+    """Names that share most bigrams: no more rows than pairs of fitting length and form."""
+    names = spark.createDataFrame([(f"Brand#{i:02d} STANDARD TIN", i) for i in range(90)], "name string, line long")
+    queries = spark.createDataFrame([(f"brand#{i:02d} standard tinx",) for i in range(50)], "_q string")
+    assert 0 < lookups.fuzzy_candidates(queries, names, 0.9).count() <= 2 * 50 * 90
+
+
+def test_hot_and_missing_keys_without_broadcast(spark):
+    """A hot key, repeated rows and a third of rows without key: same rows as
+    the broadcast join, and only the hot key is split."""
+    from fieldmill.operators.joins import hot_keys, lookup_join
+    n = F.col("id") % 3
+    for keep in (["_row", "k"], ["k"]):
+        fact = spark.range(0, 3000, 1, 6).select(F.col("id").alias("_row"), F.when(n == 0, F.lit("HOT")).when(
+            n == 1, (F.col("id") % 50).cast("string")).alias("k")).select(*keep)
+        dim = spark.createDataFrame([("HOT", "h")] + [(str(i), f"v{i}") for i in range(40)], "key string, val string")
+        a = [tuple(r) for r in lookup_join(fact, dim, F.col("k"), "key").collect()]
+        b = [tuple(r) for r in lookup_join(fact, dim, F.col("k"), "key", max_rows=0, hot_rows=100).collect()]
+        assert sorted(a, key=str) == sorted(b, key=str) and len(b) == 3000
+        assert [r["_hk"] for r in hot_keys(fact, "k", 100).collect()] == ["HOT"]
+
+
+class TestDates:
+    """D5 (month-first option) and the report of dates that stay as they are."""
+
+    TEXTS = ["01.02.1985", "15.08.1985", "1.2.85", "3/4/1999", "1985-02-31", "abc", "20.13.2020", " ", None, "1999/3/4",
+             "00.01.2000", "12.12.69 10:30"]
+
+    def _rows(self, spark):
+        return spark.createDataFrame([(i, t) for i, t in enumerate(self.TEXTS)], "_row long, d string")
+
+    @pytest.mark.parametrize("day_first", [True, False])
+    def test_both_forms_agree(self, spark, day_first):
+        from fieldmill.functions import dates
+        src = self._rows(spark)
+        out = dates.with_format_date(src, F.col("d"), "a", day_first=day_first) \
+            .withColumn("b", dates.format_date("d", day_first=day_first)).orderBy("_row").collect()
+        assert [r.a for r in out] == [r.b for r in out]
+        want = ["1985-02-01", "1985-08-15", "1985-02-01"] if day_first else ["1985-01-02", "1985-08-15", "1985-01-02"]
+        assert [r.a for r in out][:3] == want
+
+    def test_report_and_export(self, spark):
+        from fieldmill.plans import twophase
+        src = self._rows(spark)
+        job = twophase.Job(src, MappingSpec.for_layout("patienten", {"p_birth": "d"}, {}), clean_strings=False)
+        a = twophase.phase_a(job)
+        assert sorted(r.original_val for r in a["dates"].collect()) == ["00.01.2000", "1985-02-31", "20.13.2020", "abc"]
+        assert a["invalid"].count() == 0 and a["invalid"].columns[0] == "row_idx"  # nothing to check: an empty table
+        first = twophase.phase_b(twophase.Job(src, job.spec, clean_strings=False, day_first=False))["mapped"]
+        assert first.where("_row = 0").first().p_birth == "1985-01-02"
+
+
+def test_value_ids_apart_from_row_ids(spark):
+    from fieldmill.functions import keys
+    from fieldmill.operators.extras import ExtraField, property_values
+    src = spark.range(50).select(F.col("id").alias("_row"), F.lit("x").alias("a"), F.lit("y").alias("b"))
+    rows = {r[0] for r in src.select(keys.generate_uid("_row", 1_700_000_000_000)).collect()}
+    values = [r.id for r in property_values(src, [ExtraField("a"), ExtraField("b")], base_ms=1_700_000_000_000).collect()]
+    assert len(set(values)) == 100 and not rows & set(values)
+
+
+def test_empty_default_is_written_empty(spark, tmpdir_new):
+    from fieldmill.sources import sinks
+    df = spark.createDataFrame([("1", "", None)], "a string, b string, c string")
+    path = sinks.write_mapped(df.coalesce(1), tmpdir_new + "/out", {"a": None, "b": None, "c": None})
+    assert [r.value for r in spark.read.text(path).collect()] == ["a;b;c", "1;;NULL"]
