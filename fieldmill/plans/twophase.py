@@ -139,9 +139,12 @@ def phase_b(job: Job, cleanup_rejected: DataFrame | None = None, invalid_policy:
 
 
 def export(tables: dict[str, DataFrame], out_dir: str, source_name: str, **kw) -> dict[str, str]:
-    """Write phase-B tables with the tool's file names."""
+    """Write phase-B tables with the tool's file names.  The projection has
+    made blank cells of the mapped table null; an empty text that is left is a
+    constant or default and is written empty."""
     paths = {"mapped": sinks.write_mapped(tables["mapped"], os.path.join(out_dir, "export.csv"),
-                                          {c: None for c in tables["mapped"].columns if c != "_row"}, **kw),
+                                          {c: None for c in tables["mapped"].columns if c != "_row"},
+                                          **{"empty_literal": "", **kw}),
              "rest": sinks.write_rest(tables["rest"], out_dir, source_name, **kw)}
     if "property_values" in tables:
         paths["property_definitions"], paths["property_values"] = sinks.write_extra_fields(

@@ -464,7 +464,9 @@ def test_value_ids_apart_from_row_ids(spark):
 
 
 def test_empty_default_is_written_empty(spark, tmpdir_new):
-    from fieldmill.sources import sinks
-    df = spark.createDataFrame([("1", "", None)], "a string, b string, c string")
-    path = sinks.write_mapped(df.coalesce(1), tmpdir_new + "/out", {"a": None, "b": None, "c": None})
-    assert [r.value for r in spark.read.text(path).collect()] == ["a;b;c", "1;;NULL"]
+    """The export leaves an empty constant empty; nulls are written as NULL."""
+    from fieldmill.plans import twophase
+    df = spark.createDataFrame([(0, "1", "", None, "z")], "_row long, a string, b string, c string, rest string").coalesce(1)
+    paths = twophase.export({"mapped": df.select("_row", "a", "b", "c"), "rest": df.select("_row", "rest")},
+                            tmpdir_new, "x.csv")
+    assert [r.value for r in spark.read.text(paths["mapped"]).collect()] == ["a;b;c", "1;;NULL"]
