@@ -143,6 +143,30 @@ def test_filters_find_near_pairs_and_grow_with_the_table():
     assert abs(near_vectors.unit(np.array([1e300, 1e300])) @ near_vectors.unit(np.array([1e-300, 1e-300])) - 1) < 1e-12
 
 
+@pytest.mark.parametrize("dim", [16, 32, 64, 128])
+@pytest.mark.parametrize("largest", [10**5, 10**6, 10**7])
+def test_filters_find_near_pairs_at_any_size_and_length(dim, largest):
+    cap, words, tables = near_vectors.filter_tables(dim, largest, 0.93)
+    code, g = near_vectors.Filters(dim, cap, words, tables), np.random.Generator(np.random.PCG64(2))
+    pairs = [near_vectors.pair_at(g, dim, 0.93) for _ in range(200)]
+    assert sum(bool(set(code.decode(u)) & set(code.decode(v))) for u, v in pairs) >= 198
+
+
+@pytest.mark.parametrize("dim", [5, 16, 64])
+def test_sphere_shares_equal_counts(dim):
+    g = np.random.Generator(np.random.PCG64(dim))
+    x = g.standard_normal((200_000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u, v = near_vectors.pair_at(g, dim, 0.8)
+    for cap in (0.1, 0.3):
+        for cosine, n in ((1.0, (x @ u >= cap).mean()), (0.8, ((x @ u >= cap) & (x @ v >= cap)).mean())):
+            assert abs(near_vectors.sphere_share(dim, cap, cosine) - n) < 0.005
+
+
+def test_few_or_short_vectors_are_all_compared():
+    assert [near_vectors.filter_tables(*a)[1] for a in ((64, 16, 0.93), (2, 10**6, 0.93), (64, 10**6, -0.99))] == [0, 0, 0]
+
+
 def test_classifier_learns_and_needs_two_classes():
     rnd = random.Random(4)
     good = [" ".join(rnd.choice(["the", "river", "house", "walks"]) for _ in range(80)) for _ in range(60)]
