@@ -4,12 +4,14 @@ All pages of a host are merged into one tree of element paths (tag, class and
 id with digits removed).  Every path has, over the pages that show it, a
 distribution of presentations (its child elements) and of contents (its text).
 Their entropies give its importance: a branch that looks and reads the same
-on page after page has an importance near 0, an article near 1.  Branches of
-low importance are cut from each page, together with those whose element says
+on page after page has an importance near 0, an article near 1.  Copies of a
+page are no evidence: of the pages of a host whose content is equal, one
+counts.  Branches of low importance are cut from each page, together with those whose element says
 that they are not the article (navigation, forms, advertising, ...), which is
 all there is to go by on hosts of a few pages.  Where a page declares an
 article, text beside it goes, and its text elements stay however often a copy
-of it occurs.
+of it occurs; a cut never takes html, body, the article or an element around
+it, nor all of an article's text.
 
 The tree is never built in one place: pages emit (host, path, presentation or
 content) digests, which two aggregations turn into importances, so a host may
@@ -55,6 +57,7 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
            "th": ("td", "th"), "option": ("option",)}
 _DIGITS = re.compile(r"\d+")
 _KEYS: dict[tuple, int] = {}
+CUT, NAMED, BESIDE = 1, 2, 3  # kinds of noise: low importance, by class or id, by tag or role
 
 
 def _key(parent: int, tag: str, name: str) -> int:
@@ -75,15 +78,15 @@ class _Node:
 
 
 class Page:
-    """One pass over a page: text blocks in order, each with whether it is
-    noise or declared article text; and, per element path, digests of its
-    presentation and content."""
+    """One pass over a page: text blocks in order, each with its kind of noise
+    (0: none) and whether it is declared article text; and, per element path,
+    digests of its presentation and content."""
 
     def __init__(self, source: str, cut: frozenset = frozenset()):
         self.cut = cut
-        self.blocks: list[tuple[str, bool, bool]] = []  # text, noise, declared
+        self.blocks: list[tuple[str, int, bool]] = []  # text, noise, declared
         self.paths: dict[int, list[int]] = {}
-        self._stack = [_Node("", 0, False, False)]
+        self._stack = [_Node("", 0, 0, False)]
         self._open: dict[str, int] = {}
         self._run: list[str] = []
         self._parse(source)
@@ -169,16 +172,27 @@ class Page:
         up = self._stack[-1]
         role = found.get("role", "").lower()
         name = f"{found.get('class', '')} {found.get('id', '')}"
-        noise = up.noise or tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag == "header" and not up.declared) \
-            or (tag not in ("html", "body") and bool(_NOISE_NAME.search(name)))
-        declared = up.declared or (not noise and (tag in ("article", "main") or role == "main"))
+        article = tag in ("article", "main") or role == "main"
+        # an outermost article is one whatever is said of the elements around it, unless they are beside it by tag or role
+        inherited = 0 if article and not up.declared and up.noise == CUT else up.noise
         key = _key(up.key, tag, _DIGITS.sub("", name))
-        if key in self.cut and not noise and not (declared and (tag in _TEXT or not up.declared)):
-            noise = True
+        noise = self._noise(tag, role, name, up)
+        declared = up.declared or (article and not max(noise, inherited))
+        if not noise and key in self.cut and tag not in ("html", "body") \
+                and not (declared and (tag in _TEXT or not up.declared)):
+            noise = CUT
+        noise = max(noise, inherited)
         up.shape = (up.shape * 31 + key) & 0xFFFFFFFFFFFFFFFF
         self._stack.append(_Node(tag, key, noise, declared))
         self._open[tag] = self._open.get(tag, 0) + 1
 
+    @staticmethod
+    def _noise(tag: str, role: str, name: str, up: _Node) -> int:
+        """What an element says of itself."""
+        if tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag == "header" and not up.declared):
+            return BESIDE
+        return NAMED if tag not in ("html", "body") and _NOISE_NAME.search(name) else 0
+
     def _end(self, tag: str) -> None:
         if tag == "br":
             self._run.append(" ")
@@ -191,35 +205,48 @@ class Page:
 
     def main_text(self) -> str:
         kept = [(t, d) for t, noise, d in self.blocks if not noise]
+        if not any(d for _, d in kept):  # cut out of a declared article: all of it, so none
+            kept = [(t, d) for t, noise, d in self.blocks if d and noise <= CUT] or kept
         if any(d for _, d in kept):
             kept = [(t, d) for t, d in kept if d]
         return "\n\n".join(t for t, _ in kept)
 
+    def content(self) -> bytes:
+        """A digest that copies of a page share: of the declared article, or of all text."""
+        texts = [t for t, _, d in self.blocks if d] or [t for t, _, _ in self.blocks]
+        return xxhash.xxh3_128_digest("\0".join(texts))
+
+
+_PATHS = pa.list_(pa.struct([("path", pa.int64()), ("shape", pa.int64()), ("text", pa.int64())]))
+
 
 def _digest_rows(batches):
-    """(host, path, kind, value) of every element path of every page."""
+    """(host, content, paths) of every page: digests of each element path."""
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
-            hosts, paths, kinds, values = [], [], [], []
+            content, paths = [], []
             part = batch.slice(i, 64)
-            for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for path, both in Page(source or "").paths.items():
-                    hosts += [host] * 2
-                    paths += [path] * 2
-                    kinds += [0, 1]
-                    values += [v - 2**63 for v in both]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.int64()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int8()),
-                 pa.array(values, pa.int64())], names=["host", "path", "kind", "value"])
+            for source in part.column(1).to_pylist():
+                page = Page(source or "")
+                content.append(page.content())
+                paths.append([{"path": p, "shape": both[0] - 2**63, "text": both[1] - 2**63}
+                              for p, both in sorted(page.paths.items())])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), pa.array(paths, _PATHS)],
+                                             names=["host", "content", "paths"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, path, pages, presentation, content, importance.  ``pages``: host
     (a digest) and html.  Both parts are entropies of the path's variants over
-    the pages that show it, to the base of their number: 0 where all pages
-    agree, 1 where all differ."""
-    seen = pages.select("host", "html").mapInArrow(_digest_rows, "host long, path long, kind byte, value long") \
-        .groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
+    the pages of different content that show it, to the base of their number:
+    0 where all pages agree, 1 where all differ."""
+    distinct = pages.select("host", "html").mapInArrow(
+        _digest_rows, "host long, content binary, paths array<struct<path:long,shape:long,text:long>>") \
+        .groupBy("host", "content").agg(F.min("paths").alias("paths"))
+    seen = distinct.select("host", F.explode("paths").alias("p")) \
+        .select("host", "p.path", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in
+                                                      ((0, "p.shape"), (1, "p.text"))])).alias("v")) \
+        .groupBy("host", "path", "v.kind", "v.value").agg(F.count("*").alias("n"))
     merged = seen.groupBy("host", "path").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(f"m{k}") for k in (0, 1)],
         *[F.sum(F.when(F.col("kind") == k, F.col("n") * F.log(F.col("n").cast("double")))).alias(f"l{k}") for k in (0, 1)])

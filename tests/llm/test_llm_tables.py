@@ -222,6 +222,21 @@ def test_site_style_tree_cuts_what_repeats(spark):
     assert got[3] == "text 9" and got[50] == got[51] == "" and got[None] == "a" and len(got) == 15
 
 
+def test_copies_of_a_page_do_not_empty_it(spark):
+    page = "<html><body><div class=wrap><article><div class=entry><p>{}</p></div></article></div></body></html>"
+    pages = [(i, f"http://copies/{i}", page.format("same") + f"<!-- {i} -->") for i in range(12)]
+    pages += [(12, "http://copies/u", page.format("unique")), (13, "http://plain/u", "<body><p>one</p></body>")]
+    pages += [(20 + i, "http://plain/c", "<body><p>copy</p></body>") for i in range(12)]
+    # equal articles of unequal pages are cut, but not to nothing
+    pages += [(40 + i, f"http://near/{i}", page.format("near") .replace("<p>", f"<p>v{i // 12}</p><p>")) for i in range(15)]
+    df = spark.createDataFrame([p + (1,) for p in pages], "page_id long, url string, html string, host int")
+    got = {r.page_id: r.text for r in html_text.main_texts(df).collect()}
+    assert {got[i] for i in range(12)} == {"same"} and got[12] == "unique" and got[13] == "one" and got[20] == "copy"
+    assert got[40] == "v0\n\nnear" and got[54] == "v1\n\nnear"
+    whole = html_text.Page(page.format("x"), frozenset(html_text.Page(page.format("y")).paths))
+    assert whole.main_text() == "x"
+
+
 def test_quality_rows(spark):
     rows = _corpus(4, 60)
     got = quality.score_documents(_docs(spark, rows), None).collect()
