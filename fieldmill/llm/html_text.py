@@ -7,8 +7,10 @@ Their entropies give its importance: a branch that looks and reads the same
 on page after page has an importance near 0, an article near 1.  Copies of a
 page are no evidence: of the pages of a host whose content is equal, one
 counts.  Branches of low importance are cut from each page, together with those whose element says
-that they are not the article (navigation, forms, advertising, ...), which is
-all there is to go by on hosts of a few pages.  Where a page declares an
+that they are not the article (navigation, forms, advertising, ...), by tag,
+role or name, where fewer than ``LEAST_PAGES`` pages of the host show it.  On
+the others importance alone decides, but for elements that never hold text of
+the page (head, buttons, ...).  Where a page declares an
 article, text beside it goes, and its text elements stay however often a copy
 of it occurs; a cut never takes html, body, the article or an element around
 it, nor all of an article's text.
@@ -60,6 +62,10 @@ _KEYS: dict[tuple, int] = {}
 CUT, NAMED, BESIDE = 1, 2, 3  # kinds of noise: low importance, by class or id, by tag or role
 
 
+_NEVER_TEXT = frozenset("button head label canvas audio video object script style textarea title noscript template "
+                        "iframe svg select xmp".split())
+
+
 def _key(parent: int, tag: str, name: str) -> int:
     got = _KEYS.get((parent, tag, name))
     if got is None:
@@ -82,10 +88,11 @@ class Page:
     (0: none) and whether it is declared article text; and, per element path,
     digests of its presentation and content."""
 
-    def __init__(self, source: str, cut: frozenset = frozenset()):
-        self.cut = cut
+    def __init__(self, source: str, cut: frozenset = frozenset(), live: frozenset = frozenset()):
+        self.cut, self.live = cut, live  # paths that importance decides on: of low importance, and others
         self.blocks: list[tuple[str, int, bool]] = []  # text, noise, declared
         self.paths: dict[int, list[int]] = {}
+        self.prior: set[int] = set()  # paths whose element says it is not the article
         self._stack = [_Node("", 0, 0, False)]
         self._open: dict[str, int] = {}
         self._run: list[str] = []
@@ -174,14 +181,18 @@ class Page:
         name = f"{found.get('class', '')} {found.get('id', '')}"
         article = tag in ("article", "main") or role == "main"
         # an outermost article is one whatever is said of the elements around it, unless they are beside it by tag or role
-        inherited = 0 if article and not up.declared and up.noise == CUT else up.noise
+        inherited = 0 if article and not up.declared and up.noise in (CUT, NAMED) else up.noise
         key = _key(up.key, tag, _DIGITS.sub("", name))
-        noise = self._noise(tag, role, name, up)
+        said = self._noise(tag, role, name, up)
+        decided = tag not in _NEVER_TEXT and (key in self.cut or key in self.live)
+        # an article's own class or id never drops it
+        noise = 0 if decided and not (key in self.cut and said == BESIDE) or article and said == NAMED else said
         declared = up.declared or (article and not max(noise, inherited))
         if not noise and key in self.cut and tag not in ("html", "body") \
                 and not (declared and (tag in _TEXT or not up.declared)):
             noise = CUT
         noise = max(noise, inherited)
+        self.prior.update([key] if said and tag not in _NEVER_TEXT else ())
         up.shape = (up.shape * 31 + key) & 0xFFFFFFFFFFFFFFFF
         self._stack.append(_Node(tag, key, noise, declared))
         self._open[tag] = self._open.get(tag, 0) + 1
@@ -217,7 +228,8 @@ class Page:
         return xxhash.xxh3_128_digest("\0".join(texts))
 
 
-_PATHS = pa.list_(pa.struct([("path", pa.int64()), ("shape", pa.int64()), ("text", pa.int64())]))
+_PATHS = pa.list_(pa.struct([("path", pa.int64()), ("shape", pa.int64()), ("text", pa.int64()),
+                              ("prior", pa.bool_())]))
 
 
 def _digest_rows(batches):
@@ -229,30 +241,31 @@ def _digest_rows(batches):
             for source in part.column(1).to_pylist():
                 page = Page(source or "")
                 content.append(page.content())
-                paths.append([{"path": p, "shape": both[0] - 2**63, "text": both[1] - 2**63}
+                paths.append([{"path": p, "shape": both[0] - 2**63, "text": both[1] - 2**63, "prior": p in page.prior}
                               for p, both in sorted(page.paths.items())])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), pa.array(paths, _PATHS)],
                                              names=["host", "content", "paths"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages, presentation, content, importance.  ``pages``: host
+    """host, path, prior (an element says it is not the article), pages, presentation, content, importance.  ``pages``: host
     (a digest) and html.  Both parts are entropies of the path's variants over
     the pages of different content that show it, to the base of their number:
     0 where all pages agree, 1 where all differ."""
     distinct = pages.select("host", "html").mapInArrow(
-        _digest_rows, "host long, content binary, paths array<struct<path:long,shape:long,text:long>>") \
+        _digest_rows, "host long, content binary, paths array<struct<path:long,shape:long,text:long,prior:boolean>>") \
         .groupBy("host", "content").agg(F.min("paths").alias("paths"))
     seen = distinct.select("host", F.explode("paths").alias("p")) \
-        .select("host", "p.path", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in
+        .select("host", "p.path", "p.prior", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in
                                                       ((0, "p.shape"), (1, "p.text"))])).alias("v")) \
-        .groupBy("host", "path", "v.kind", "v.value").agg(F.count("*").alias("n"))
+        .groupBy("host", "path", "v.kind", "v.value").agg(F.count("*").alias("n"), F.max("prior").alias("prior"))
     merged = seen.groupBy("host", "path").agg(
+        F.max("prior").alias("prior"),
         *[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(f"m{k}") for k in (0, 1)],
         *[F.sum(F.when(F.col("kind") == k, F.col("n") * F.log(F.col("n").cast("double")))).alias(f"l{k}") for k in (0, 1)])
     entropy = [F.when(F.col(f"m{k}") > 1, 1 - F.col(f"l{k}") / (F.col(f"m{k}") * F.log(F.col(f"m{k}").cast("double"))))
                .otherwise(1.0) for k in (0, 1)]
-    return merged.select("host", "path", F.col("m1").alias("pages"), entropy[0].alias("presentation"),
+    return merged.select("host", "path", "prior", F.col("m1").alias("pages"), entropy[0].alias("presentation"),
                          entropy[1].alias("content")) \
         .withColumn("importance", (1 - CONTENT_SHARE) * F.col("presentation") + CONTENT_SHARE * F.col("content"))
 
@@ -269,23 +282,26 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     scratch = Scratch(pages.sparkSession, "html-text")
     pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"),
                          F.xxhash64(url_parts(F.col(url_col))[0]).alias("host"), F.col(html_col).alias("html"))
-    cut = scratch.write(style_tree(pages).where(
-        (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path"), "cut")
-    per_host = cut.groupBy(F.col("host").alias("h")).agg(F.collect_set("path").alias("cut"))
-    if cut.count() <= SMALL_TABLE:
+    low = F.col("importance") < LEAST_IMPORTANCE
+    decided = scratch.write(style_tree(pages).where((F.col("pages") >= LEAST_PAGES) & (low | F.col("prior")))
+                            .select("host", "path", low.alias("low")), "decided")
+    per_host = decided.groupBy(F.col("host").alias("h")).agg(
+        F.collect_set(F.when(F.col("low"), F.col("path"))).alias("cut"),
+        F.collect_set(F.when(~F.col("low"), F.col("path"))).alias("live"))
+    if decided.count() <= SMALL_TABLE:
         per_host = F.broadcast(per_host)
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                texts = [Page(source or "", frozenset(c or ())).main_text() for source, c in
-                         zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                texts = [Page(source or "", frozenset(c or ()), frozenset(e or ())).main_text() for source, c, e in
+                         zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()),
                      pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    return pages.join(per_host, F.col("host") == F.col("h"), "left").select("id", "url", "html", "cut").mapInArrow(
+    return pages.join(per_host, F.col("host") == F.col("h"), "left").select("id", "url", "html", "cut", "live").mapInArrow(
         run, "id long, url string, text string, n_chars long") \
         .withColumnsRenamed({"id": id_col, "url": url_col})
 

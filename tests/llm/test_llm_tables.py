@@ -237,6 +237,19 @@ def test_copies_of_a_page_do_not_empty_it(spark):
     assert whole.main_text() == "x"
 
 
+def test_importance_decides_over_names(spark):
+    page = ("<div class='nav box'><p>page {} on rivers</p></div><div class=plain><p>same strip</p></div>"
+            "<div class='related posts'><p>same list</p></div><aside>same aside</aside>")
+    pages = [(i, f"http://many/{i}", page.format(i * i)) for i in range(12)] + [(20, "http://few/1", page.format("x"))]
+    df = spark.createDataFrame([p + (1,) for p in pages], "page_id long, url string, html string, host int")
+    got = {r.page_id: r.text for r in html_text.main_texts(df).collect()}
+    assert all(got[i] == f"page {i * i} on rivers" for i in range(12)) and got[20] == "same strip"
+    for source in ("<article class='post has-sidebar'><p>x</p></article>", "<main id=no-sidebar><p>x</p></main>",
+                   "<div id=content-sidebar><p>beside</p><div><article><p>x</p></article></div></div>"):
+        assert html_text.Page(source).main_text() == "x"
+    assert html_text.Page("<aside><article><p>teaser</p></article></aside><p>x</p>").main_text() == "x"
+
+
 def test_quality_rows(spark):
     rows = _corpus(4, 60)
     got = quality.score_documents(_docs(spark, rows), None).collect()
