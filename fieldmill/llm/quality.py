@@ -164,13 +164,16 @@ def _calibrate(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
     """Model of at most ``sample`` labelled documents: those with the smallest
-    id hashes.  Rows without id or label are left out."""
+    id hashes.  Rows without id or label are left out; of several labels or
+    texts under one id the smallest label and the text of the smallest hash
+    count."""
     ship(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()) \
         .select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label")) \
-        .orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+        .groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    labelled = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")  # at most ``sample`` rows
+    labelled = texts.join(F.broadcast(chosen), "id").groupBy("id", "label") \
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # at most ``sample`` rows
 
     def run(batches):
         for batch in batches:

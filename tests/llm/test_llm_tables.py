@@ -268,6 +268,15 @@ def test_quality_rows(spark):
                    for r in got), key=key) == sorted(want, key=key)
 
 
+def test_training_takes_one_row_per_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, label: seen.append((len(rows), sorted(label))))
+    docs = _docs(spark, [(1, f"hot text {i}", "s") for i in range(50)] + [(2, "b", "s"), (2, None, "s"), (3, None, "s")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 1), (3, 1), (None, 1)], "doc_id long, quality int")
+    quality.train(docs, labels)
+    assert seen == [(3, [0, 1, 1])]
+
+
 def test_encode_rows(spark):
     rows = [(1, "Hello  world <|endoftext|>", "s"), (2, None, "s"), (1, "", "s"), (None, "x", "s")]
     got = bpe.encode_texts(_docs(spark, rows)).collect()
