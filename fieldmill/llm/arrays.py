@@ -67,11 +67,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Words:
     """Words of consecutive documents: byte ``start``/``end`` in ``data``, and
-    ``doc``: word index at which each document begins (one more at the end)."""
+    ``doc``: word index at which each document begins (one more at the end).
+    ``gaps`` marks the bytes between words (white space)."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = _WHITE):
         self.data, self.bounds = data, bounds
-        solid = ~_WHITE[data]
+        solid = ~gaps[data]
         begin, end = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]
         end[:-1] &= ~solid[1:]
@@ -91,6 +92,14 @@ class Words:
         pos = np.arange(int(length.sum())) - np.repeat(first, length)
         return mix(_HASHES[which](self.data[self._solid], pos, first) + length.astype(_U))
 
+    def coded(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Document of every word, its code, and the word behind each code."""
+        ends = np.cumsum(np.append(0, self.end - self.start), dtype=np.int64)
+        words = pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(ends),
+                                                 pa.py_buffer(self.data[self._solid])).dictionary_encode()
+        which = np.repeat(np.arange(len(self.doc) - 1), np.diff(self.doc))
+        return which, words.indices.to_numpy().astype(np.int64), words.dictionary
+
 
 def windows(h: np.ndarray, n: int, salt: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Order-dependent hash of every ``n`` consecutive word hashes, by doubling
@@ -129,15 +138,24 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def slices(column: pa.Array, lower: bool = False,
-           limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first document, end document, their Words) for runs of documents."""
+def gaps_but(*ranges: tuple[int, int]) -> np.ndarray:
+    """Gaps table of words made of the bytes in ``ranges`` (both ends in)."""
+    gaps = np.ones(256, bool)
+    for a, b in ranges:
+        gaps[a:b + 1] = False
+    return gaps
+
+
+def slices(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES,
+           gaps: np.ndarray = _WHITE) -> Iterator[tuple[int, int, Words]]:
+    """(first document, end document, their Words) for runs of documents;
+    ``lower`` lower-cases A-Z."""
     data, bounds = text_bytes(column)
     i, n = 0, len(bounds) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1)
         part = data[bounds[i]:bounds[j]]
-        yield i, j, Words(_LOWER[part] if lower else part, bounds[i:j + 1] - bounds[i])
+        yield i, j, Words(_LOWER[part] if lower else part, bounds[i:j + 1] - bounds[i], gaps)
         i = j
 
 
