@@ -874,6 +874,31 @@ def q_read_delimited(spark, sf):
     return delimited.read_delimited(spark, path, sep=";")
 
 
+_RM_ODD = """SELECT c_custkey AS line, concat_ws(';', c_mktsegment, concat('"', replace(c_name, '#', concat(chr(10), 'no;')),
+  CASE WHEN c_custkey % 4 = 1 THEN concat('""', chr(10), '""') ELSE '' END, '"'), cast(c_custkey as string),
+  CASE WHEN c_custkey % 3 = 0 THEN concat('"', chr(10), '"') END) AS value FROM customer WHERE c_custkey % 2 = 1"""
+
+
+@query("read_delimited_mixed", """
+SELECT cast(c_custkey as varchar) AS c_custkey,
+  CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE replace(c_name, '#', chr(10) || 'no;')
+    || CASE WHEN c_custkey % 4 = 1 THEN '"' || chr(10) || '"' ELSE '' END END AS c_name,
+  c_mktsegment, CASE WHEN c_custkey % 2 = 1 AND c_custkey % 3 = 0 THEN chr(10) END AS note FROM customer""")
+def q_read_delimited_mixed(spark, sf):
+    """Files of two column orders in one folder, one with line breaks in quoted cells."""
+    path = scratch_path(spark, "mixed")
+    even = I.derived(spark, sf, "SELECT c_custkey AS line, concat_ws(';', cast(c_custkey as string), c_name, c_mktsegment) "
+                                "AS value FROM customer WHERE c_custkey % 2 = 0", ["customer"])
+    write_raw_lines_with_header(even, path + "/even", "c_custkey;c_name;c_mktsegment")
+    odd = I.derived(spark, sf, _RM_ODD, ["customer"]).repartition(4, "line") \
+        .select("line", F.posexplode(F.split("value", "\n")).alias("at", "value"))  # the lines of a record stay together
+    odd.sortWithinPartitions("line", "at").select(F.col("value").alias("c_mktsegment;c_name;c_custkey;note")) \
+        .write.options(header=True, quote="", escape="", emptyValue="", sep="\u0001", ignoreLeadingWhiteSpace=False,
+                       ignoreTrailingWhiteSpace=False).csv(path + "/odd")
+    return delimited.read_delimited(spark, path + "/*", sep=";") \
+        .select("c_custkey", "c_name", "c_mktsegment", "note")
+
+
 @query("detect_dialect", "SELECT '|' AS delimiter, 'utf-8' AS encoding, count(*) AS n_lines FROM customer")
 def q_detect_dialect(spark, sf):
     path = scratch_path(spark, "dialect")

@@ -1,4 +1,4 @@
-"""Delimited text in: all-string columns, header row, quotes.
+"""Delimited text in: all-string columns, a header row per file, quotes.
 
 Shape rules (as a lenient spreadsheet import does it): a row with too many
 fields is dropped, a row with too few is padded with nulls, blank lines are
@@ -9,6 +9,7 @@ separators outside quotes are counted and short rows are kept.
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmill.functions.text import NA_TOKENS, qcol
+from fieldmill.operators.prefix import FAN, MOST_HELD, held, with_start
+from fieldmill.operators.rowid import with_row_index
 from fieldmill.session import stable
+from fieldmill.sources import records
 
 CORRUPT = "_corrupt_record"
 # Delimiter candidates; encodings a source may be read with.
@@ -28,9 +32,15 @@ def charset_of(encoding: str) -> str:
     return _SPARK_CHARSET.get(encoding.lower(), encoding)
 
 
-def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
-    return (spark.read.option("sep", sep).option("header", True).option("encoding", encoding)
-            .option("quote", '"').option("escape", '"').csv(path).columns)
+MOST_LAYOUTS = 1000  # different header lines that one read may have
+
+
+def _names(line: str, sep: str) -> list[str]:
+    """Column names of a header line: empty ones become ``_c0``..., repeated
+    ones get their position appended."""
+    names = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
+    low = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(names)]
 
 
 # A doubled quote inside a quoted field is two quoted runs side by side, so
@@ -38,21 +48,27 @@ def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str
 QUOTED = '"[^"]*"'
 
 
-def has_shape(cols: list[str], sep: str, multiline: bool = False) -> Column:
-    """The rows a read keeps: well-formed ones and short ones.  A malformed
-    line with a cell that opens a quote and does not close it is part of a cell with a line break; reading on
-    would garble two rows, so it ends the job (read with ``multiline=True``)."""
+def n_fields(cols: list[str], sep: str) -> Column:
+    """Fields of a row: as many as columns if it is well-formed, else counted
+    by the separators outside quotes."""
     raw = qcol(CORRUPT)
     outside = F.regexp_replace(raw, QUOTED, "")
-    n_fields = F.length(F.regexp_replace(outside, "[^" + re.escape(sep) + "]", "")) + 1
-    if not multiline:
-        n_fields = F.when(outside.rlike('(^|' + re.escape(sep) + ')"'), F.raise_error(F.lit(
-            "a quoted cell holds a line break: read with multiline=True")).cast("int")).otherwise(n_fields)
+    counted = F.length(F.regexp_replace(outside, "[^" + re.escape(sep) + "]", "")) + 1
     # The test references every field: with CSV column pruning a scan of
     # fewer columns would not see a too-long row as malformed, and Spark
     # refuses plans that read only the corrupt-record column.
     all_fields = F.length(F.concat_ws("\u0001", *[qcol(c) for c in cols])) >= 0
-    return all_fields & (raw.isNull() | (n_fields <= len(cols)))
+    return F.when(all_fields & raw.isNull(), F.lit(len(cols))).otherwise(counted)
+
+
+def has_shape(cols: list[str], sep: str) -> Column:
+    """The rows a stream keeps: well-formed ones and short ones.  A stream
+    cannot look for line breaks beforehand: a malformed line with a cell that
+    opens a quote and does not close it ends the job."""
+    outside = F.regexp_replace(qcol(CORRUPT), QUOTED, "")
+    opened = F.coalesce(outside.rlike('(^|' + re.escape(sep) + ')"'), F.lit(False))
+    return F.when(opened, F.raise_error(F.lit("a quoted cell holds a line break: not readable as a stream")).cast("boolean")) \
+        .otherwise(n_fields(cols, sep) <= len(cols))
 
 
 FILE_ORDER_COLS = ["_src_file", "_src_block", "_src_pos"]
@@ -61,9 +77,20 @@ FILE_ORDER_COLS = ["_src_file", "_src_block", "_src_pos"]
 def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str = "utf-8",
                    columns: list[str] | None = None, header: bool = True,
                    na_tokens: list[str] | None = None, multiline: bool = False,
-                   file_order: bool = False) -> DataFrame:
+                   file_order: bool = False, headers: str = "by_name", unknown: str = "null",
+                   line_breaks: bool | None = None) -> DataFrame:
     """Read delimited text as all-string columns (see module doc).
 
+    ``headers``: with ``by_name`` each file's own header line says which field
+    is which column.  The columns are ``columns``, else all names in order of
+    first sight (files by path).  ``unknown``: a file without one of them
+    gives nulls, or ends the job (``error``).  ``same`` trusts that all files
+    have the header of the first.
+    ``line_breaks``: whether quoted cells hold line breaks; ``None`` looks.
+    Such a read stays splittable (``records``), a break comes out as ``\\n``.
+    ``False`` trusts that there are none.  ``multiline`` reads a whole file in
+    one task instead.  Looking (for headers or breaks) is one more pass over
+    the lines; ``headers="same", line_breaks=False`` saves it.
     ``na_tokens`` is an argument because a surname such as ``Null`` is a
     real value in some files; pass ``[]`` to keep every token.
     ``file_order`` adds the file, split start and position inside the split
@@ -72,48 +99,95 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
     partition order of many files is not their file order.
     """
     charset = charset_of(encoding)
-    cols = columns or _header(spark, path, sep, charset)
-    cols = [c.lstrip("﻿") for c in cols]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols] + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.schema(schema).option("sep", sep).option("header", header)
-           .option("encoding", charset).option("quote", '"').option("escape", '"')
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-           .option("multiLine", multiline).csv(path))
-    if file_order:
-        raw = raw.select("*", F.col("_metadata.file_path").alias("_src_file"),
-                         F.col("_metadata.file_block_start").alias("_src_block"))
-    kept = raw.where(has_shape(cols, sep, multiline))
-    if file_order:
+    look = header and (headers == "by_name" or line_breaks is None and not multiline)
+    files = None
+    if look:
+        files = stable(records.survey(spark, path, sep, charset))
+        seen = files.groupBy("header").agg(F.min("_src_file").alias("first"), F.max("breaks").alias("breaks")) \
+            .orderBy("first").limit(MOST_LAYOUTS + 1).collect()
+        if len(seen) > MOST_LAYOUTS:
+            raise ValueError(f"more than {MOST_LAYOUTS} different header lines")
+        if line_breaks is None:
+            line_breaks = any(r.breaks for r in seen)
+        lines = [r.header for r in (seen if headers == "by_name" else seen[:1])]
+    elif header:
+        first = spark.read.option("encoding", charset).text(path).where(F.length(F.trim("value")) > 0).first()
+        lines = [first.value] if first else []
+    else:
+        lines = []
+    layouts = [_names(line, sep) for line in lines] or [columns or []]
+    cols = columns or list(dict.fromkeys(n for names in layouts for n in names))
+    if not cols:
+        return spark.createDataFrame([], T.StructType())
+    if unknown == "error" and any(set(cols) - set(names) for names in layouts):
+        raise ValueError("a file lacks a column: " + ", ".join(sorted(set(cols) - set.intersection(*map(set, layouts)))))
+    by_position = not header or headers == "same" and columns is not None
+    width = len(cols) if by_position else max(map(len, layouts))
+    fields = [f"_f{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, CORRUPT]])
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    source = [F.col("_metadata.file_path").alias("_src_file"), F.col("_metadata.file_block_start").alias("_src_block")]
+    many = not by_position and len(layouts) > 1
+    if line_breaks and not multiline:
+        whole = records.whole_records(spark, path, sep, charset)
+        if header:
+            heads = stable(whole.groupBy("_src_file").agg(F.min(F.struct("_src_block", "_src_pos")).alias("h"))
+                           .select("_src_file", "h._src_block", "h._src_pos"))
+            whole = whole.join(held(heads, heads.count()), FILE_ORDER_COLS, "left_anti")
+        raw = whole.select(*FILE_ORDER_COLS, F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), options)
+                           .alias("_r")).select(*FILE_ORDER_COLS, "_r.*")
+    else:
+        raw = spark.read.schema(schema).options(**options).option("header", header).option("encoding", charset) \
+            .option("multiLine", multiline).csv(path)
+        if file_order or many:
+            raw = raw.select("*", *source)
+    size = F.lit(width if by_position else len(layouts[0]))
+    if many:  # per file: which field is which column
+        known = spark.createDataFrame([(line, i) for i, line in enumerate(lines)], "header string, _layout int")
+        own = files.join(F.broadcast(known), "header").select("_src_file", "_layout")
+        n_files = files.count()
+        if n_files > MOST_HELD and "_src_pos" not in raw.columns:
+            raw = raw.withColumn("_src_pos", F.monotonically_increasing_id())
+        raw = raw.join(held(own, n_files), "_src_file")
+        size = F.get(F.array(*[F.lit(len(names)) for names in layouts]), F.col("_layout"))
+    kept = raw.where(n_fields(fields, sep) <= size)
+    if file_order and "_src_pos" not in kept.columns:
         # positions after the row filter: kept rows of one split are contiguous
         kept = kept.withColumn("_src_pos", F.monotonically_increasing_id())
+
+    def cell(i: int, name: str) -> Column:
+        if by_position:
+            return F.col(fields[i])
+        at = [names.index(name) if name in names else -1 for names in layouts]
+        if not many:
+            return F.col(fields[at[0]]) if at[0] >= 0 else F.lit(None).cast("string")
+        return F.get(F.array(*map(F.col, fields)), F.get(F.array(*map(F.lit, at)), F.col("_layout")))
+
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     extra = [F.col(c) for c in FILE_ORDER_COLS] if file_order else []
-    return kept.select(*[F.when(~qcol(c).isin(tokens), qcol(c)).alias(c) if tokens else qcol(c) for c in cols],
-                       *extra)
+    cells = [(c, cell(i, c)) for i, c in enumerate(cols)]
+    return kept.select(*[(F.when(~v.isin(tokens), v) if tokens else v).alias(c) for c, v in cells], *extra)
 
 
-def with_file_row_index(df: DataFrame, name: str = "_row") -> DataFrame:
+def with_file_row_index(df: DataFrame, name: str = "_row", fan: int = FAN) -> DataFrame:
     """Contiguous row numbers in file order for a ``file_order=True`` read,
-    without a shuffle.
+    without a shuffle of the rows.
 
     The read is first materialised in the shared checkpoint folder: how files
     are cut into splits depends on the cluster's size at that moment, so
     offsets and rows must come from one pass.  Rows of one file split are
-    contiguous there; one small aggregate (first position and count per split)
-    gives every split its start offset in (file, split) order.  The offsets
-    have one row per split; a row without an offset ends the job.
+    contiguous there; one aggregate (first position and count per split) and a
+    distributed running sum in (file, split) order give every split its start.
+    Where positions have gaps (records put together over splits), the rows are
+    sorted instead.  A row without an offset ends the job.
     """
-    spark = df.sparkSession
     df = stable(df)
-    splits = (df.groupBy("_src_file", "_src_block")
-              .agg(F.min("_src_pos").alias("_first"), F.count(F.lit(1)).alias("_n")).collect())
-    offsets, running = [], 0
-    for r in sorted(splits, key=lambda r: (r["_src_file"], r["_src_block"])):
-        offsets.append((r["_src_file"], r["_src_block"], r["_first"], running))
-        running += r["_n"]
-    off = spark.createDataFrame(offsets or [("", 0, 0, 0)],
-                                "_src_file string, _src_block long, _first long, _off long")
-    out = df.join(F.broadcast(off), ["_src_file", "_src_block"], "left")
+    splits = stable(df.groupBy("_src_file", "_src_block").agg(
+        F.min("_src_pos").alias("_first"), F.max("_src_pos").alias("_last"), F.count(F.lit(1)).alias("_n")))
+    if not splits.where("_last - _first + 1 <> _n").isEmpty():
+        return with_row_index(df, FILE_ORDER_COLS, name, fan).drop(*FILE_ORDER_COLS)
+    off = with_start(splits.drop("_last"), ["_src_file", "_src_block"], "_n", "_off", fan).drop("_n")
+    out = df.join(held(off, splits.count()), ["_src_file", "_src_block"], "left")
     start = F.coalesce("_off", F.raise_error(F.lit("a file split has no row offset")).cast("long"))
     out = out.withColumn(name, (start + F.col("_src_pos") - F.col("_first")).cast("long"))
     return out.drop(*FILE_ORDER_COLS, "_first", "_off")

@@ -1,11 +1,13 @@
 """Sources and sinks: delimited shapes (FIXTURES.md §5), encodings, dialect,
 writers; plus the DuckDB oracle on the driver tables at sf0.001."""
 
+import io
 import os
 
 import duckdb
 import pytest
 
+from fieldmill.plans import catalog
 from fieldmill.sources import delimited, dims, sinks
 
 SHAPES = ["id;x;y", "1;a;b", "2;s", "3;t;m;c", "4;e;m;", "5;x;y;;z", "6;x;y;w;z", "8;;;;", "9;a;;z",
@@ -123,8 +125,8 @@ def test_oracle_all_queries_sf0001(spark):
         order = sorted(range(len(cols)), key=lambda i: cols[i])
         return sorted(tuple(norm(r[i]) for i in order) for r in data)
 
-    qs, sqls = E.queries(), E.oracle_sql()
-    assert len(qs) == 53 and set(sqls) == set(qs)
+    qs, sqls = catalog.QUERIES, catalog.ORACLES
+    assert len(qs) >= 54 and set(sqls) == set(qs) and qs.items() <= E.queries().items()
     for name, fn in qs.items():
         df = fn(spark, sf)
         got = rows(df.columns, [tuple(r) for r in df.collect()])
@@ -180,3 +182,84 @@ def test_dialect_reads_whole_files(spark, tmpdir_new):
             spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert answers[0] == answers[1] == {"big.csv": ("|", "utf-8", 20001), "late.csv": ("|", "cp1252", 20002),
                                         "odd.csv": ("|", "latin1", 20002)}
+
+
+def _split_size(spark, size):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return old
+
+
+class TestHeadersPerFile:
+    def test_order_differs(self, spark, tmpdir_new):
+        _write(os.path.join(tmpdir_new, "a.csv"), ["id;name", "1;A", "3;C;x", "4"])
+        _write(os.path.join(tmpdir_new, "b.csv"), ["name;id", "B;2"])
+        df = delimited.read_delimited(spark, tmpdir_new)
+        assert df.columns == ["id", "name"]
+        assert sorted(map(tuple, df.collect())) == [("1", "A"), ("2", "B"), ("4", None)]
+
+    def test_missing_and_more_columns(self, spark, tmpdir_new):
+        _write(os.path.join(tmpdir_new, "a.csv"), ["id;name", "1;A", "2;B;long"])
+        _write(os.path.join(tmpdir_new, "b.csv"), ["zip;id;name;id", "9;3;C;7", "8;4"])
+        df = delimited.read_delimited(spark, tmpdir_new)
+        assert df.columns == ["id", "name", "zip", "id1", "id3"]
+        assert sorted(tuple(x or "" for x in r) for r in df.collect()) == [
+            ("", "", "8", "4", ""), ("", "C", "9", "3", "7"), ("1", "A", "", "", "")]
+        only = delimited.read_delimited(spark, tmpdir_new, columns=["name", "zip"])
+        assert sorted(tuple(x or "" for x in r) for r in only.collect()) == [("", "8"), ("A", ""), ("C", "9")]
+        with pytest.raises(ValueError, match="lacks a column"):
+            delimited.read_delimited(spark, tmpdir_new, unknown="error")
+
+    def test_numbered_in_file_order(self, spark, tmpdir_new):
+        _write(os.path.join(tmpdir_new, "a.csv"), ["f;k"] + [f"0;{j}" for j in range(50)])
+        _write(os.path.join(tmpdir_new, "b.csv"), ["k;f"] + [f"{j};1" + (";x" if j % 7 == 0 else "") for j in range(90)])
+        rows = sorted((r._row, r.f, int(r.k)) for r in delimited.with_file_row_index(
+            delimited.read_delimited(spark, tmpdir_new, file_order=True)).collect())
+        want = [("0", j) for j in range(50)] + [("1", j) for j in range(90) if j % 7]
+        assert rows == [(i, *w) for i, w in enumerate(want)]
+
+
+class TestLineBreaks:
+    CELLS = ["a", "", "x\ny", "\n", 'say "hi"', '"', '"\n"', 'b"c', ";\n;", "\n\n", "\u00fc\n\u00df", "NULL"]
+
+    def _file(self, path, seed, n):
+        import csv as csvlib
+        import random
+        rnd = random.Random(seed)
+        rows = [[str(i), rnd.choice(self.CELLS), rnd.choice(self.CELLS) + str(i % 7)] for i in range(n)]
+        with open(path, "w", encoding="utf-8", newline="") as f:
+            f.write("id;x;y\n")
+            for i, r in enumerate(rows):
+                out = io.StringIO()
+                csvlib.writer(out, delimiter=";", lineterminator="\n").writerow(r)
+                f.write(out.getvalue() if i % 5 else f'{r[0]};5" pipe;y{i % 7}\n')
+        return [[r[0], '5" pipe', f"y{i % 7}"] if i % 5 == 0 else r for i, r in enumerate(rows)]
+
+    @pytest.mark.parametrize("size", ["64", "1000", "128m"])
+    def test_any_split_size(self, spark, tmpdir_new, size):
+        want = self._file(os.path.join(tmpdir_new, "a.csv"), 1, 300) + self._file(os.path.join(tmpdir_new, "b.csv"), 2, 40)
+        old = _split_size(spark, size)
+        try:
+            df = delimited.with_file_row_index(
+                delimited.read_delimited(spark, tmpdir_new, file_order=True, na_tokens=[""]))
+            got = [(r.id, r.x or "", r.y or "") for r in df.orderBy("_row").collect()]
+            numbers = sorted(r._row for r in df.collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == [tuple(r) for r in want] and numbers == list(range(340))
+
+    def test_as_multiline(self, spark, tmpdir_new):
+        _write(os.path.join(tmpdir_new, "a.csv"), ["id;name", '1;"x', 'y"', '2;"a;', ';"";b"', "3;z", '4;"', "", '"'])
+        plain = sorted(map(tuple, delimited.read_delimited(spark, tmpdir_new, multiline=True).collect()))
+        assert sorted(map(tuple, delimited.read_delimited(spark, tmpdir_new).collect())) == plain
+        assert plain == [("1", "x\ny"), ("2", 'a;\n;";b'), ("3", "z"), ("4", "\n\n")]
+
+    def test_cell_over_many_splits(self, spark, tmpdir_new):
+        cell = "\n".join(f"line {i}" for i in range(200))
+        _write(os.path.join(tmpdir_new, "a.csv"), ["id;name", "0;a", f'1;"{cell}"', "2;b", '3;"never', "closed;x"])
+        old = _split_size(spark, "50")
+        try:
+            got = sorted(map(tuple, delimited.read_delimited(spark, tmpdir_new).collect()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got[:3] == [("0", "a"), ("1", cell), ("2", "b")] and got[3][0] == "3"

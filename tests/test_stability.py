@@ -61,8 +61,7 @@ def test_long_quoted_cells(spark, tmpdir_new):
 def test_line_break_in_a_cell_is_never_garbled(spark, tmpdir_new):
     with open(os.path.join(tmpdir_new, "f.csv"), "w") as out:
         out.write('a;b;c\n1;"x\ny";z\n')
-    with pytest.raises(Exception, match="line break"):
-        delimited.read_delimited(spark, tmpdir_new).collect()
+    assert [tuple(r) for r in delimited.read_delimited(spark, tmpdir_new).collect()] == [("1", "x\ny", "z")]
     got = delimited.read_delimited(spark, tmpdir_new, multiline=True).collect()
     assert [tuple(r) for r in got] == [("1", "x\ny", "z")]
 

@@ -470,3 +470,23 @@ def test_empty_default_is_written_empty(spark, tmpdir_new):
     paths = twophase.export({"mapped": df.select("_row", "a", "b", "c"), "rest": df.select("_row", "rest")},
                             tmpdir_new, "x.csv")
     assert [r.value for r in spark.read.text(paths["mapped"]).collect()] == ["a;b;c", "1;;NULL"]
+
+
+def test_running_sum_over_levels(spark):
+    """with_start in three levels (fan 7) equals a plain running sum."""
+    from fieldmill.operators.prefix import with_start
+    rows = [(f"f{i % 5}", i, (i * 37) % 11) for i in range(400)]
+    df = spark.createDataFrame(rows, "f string, k long, n long").repartition(6)
+    got = {(r.f, r.k): r._start for r in with_start(df, ["f", "k"], "n", fan=7).collect()}
+    want, running = {}, 0
+    for f, k, n in sorted(rows):
+        want[f, k] = running
+        running += n
+    assert got == want
+    assert with_start(df.where("false"), ["f", "k"], "n").count() == 0
+
+
+def test_row_index_over_many_partitions(spark):
+    df = spark.range(0, 5000, numPartitions=60).selectExpr("id * 7919 % 5000 AS k")
+    out = with_row_index(df, order_by=["k"], fan=8).collect()
+    assert sorted((r.k, r._row) for r in out) == [(i, i) for i in range(5000)]
