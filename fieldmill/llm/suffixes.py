@@ -34,15 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import mix, ragged, text_bytes, windows
+from .arrays import mix, ragged, text_bytes
 from .shared import Scratch, n_parts, ship, table
 
 GRAM = 12
 ROUNDS = (1, 2)  # offsets in phrases: ranks of 1, 2, then 4 phrases
 RUN_BYTES = 1 << 20
 PART_BYTES = 8 << 20
+SALTS = 32
 RANGE_KEYS = 1 << 19  # keys that one range sorts, about
-_BYTE = np.random.Generator(np.random.PCG64(71)).integers(0, 2**64, size=256, dtype=np.uint64)
 _U = np.uint64
 _ASK = "part long, range long, a binary, b binary"
 _KNOWN = "part long, kind string, range long, d1 long, d2 long, a binary, b binary"
@@ -56,15 +56,38 @@ def _slide(op, a: np.ndarray, w: int) -> np.ndarray:
     return op(a[:len(a) - (w - size)], a[w - size:]) if size < w else a
 
 
-def _fingerprint(grams: np.ndarray, start: np.ndarray, size: np.ndarray, base: int) -> np.ndarray:
-    """Hash of the ``size`` bytes from ``start``, from every ``GRAM``-th gram
-    and the last."""
-    out = size.astype(_U)
+def _fingerprints(grams: np.ndarray, start: np.ndarray, size: np.ndarray, *bases: int) -> list[np.ndarray]:
+    """Hashes of the ``size`` bytes from ``start``, from every ``GRAM``-th gram
+    and the last; one per base."""
+    out = [size.astype(_U) for _ in bases]
     last = size - GRAM
+    least = int(last.min()) if len(last) else 0
     for step in range(0, int(last.max(initial=0)) + GRAM, GRAM):
-        longer = out * _U(base) + grams[start + np.minimum(step, last)]
-        out = np.where(step < last + GRAM, longer, out)
-    return mix(out)
+        gram = grams[start + (step if step <= least else np.minimum(step, last))]
+        for i, base in enumerate(bases):
+            longer = out[i] * _U(base)
+            longer += gram
+            out[i] = longer if step < least + GRAM else np.where(step < last + GRAM, longer, out[i])
+    return [mix(x) for x in out]
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Hash of the ``GRAM`` bytes at every place (8 bytes and the next 4)."""
+    n = max(0, len(data) - GRAM + 1)
+    data = np.ascontiguousarray(data)
+    eight = np.ndarray((n,), "<u8", data, 0, (1,)) * _U(0x9FB21C651E98DF25)
+    eight += np.ndarray((n,), "<u4", data, 8, (1,)) * _U(0xC2B2AE3D27D4EB4F) if n else eight
+    return mix(eight)
+
+
+def _distinct(key: np.ndarray, check: np.ndarray):
+    """First places, inverse and counts of the distinct (key, check), in order."""
+    order = np.lexsort((check, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at, np.diff(np.append(np.flatnonzero(new), len(order)))
 
 
 class _Run:
@@ -72,7 +95,7 @@ class _Run:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, w: int):
         self.data, self.bounds, self.w = data, bounds, w
-        self.grams = windows(_BYTE[data], GRAM)
+        self.grams = _grams(data)
         self.weight = (self.grams >> _U(32)).astype(np.uint32)
         self.least = _slide(np.minimum, self.weight, w)
         for k in range(1, GRAM + w - 1):  # neighbours across texts choose nothing: a text's anchors are its own
@@ -87,16 +110,18 @@ class _Run:
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """Anchors that begin a phrase, and its hash."""
         i = np.flatnonzero(self.doc[1:] == self.doc[:-1])
-        return i, _fingerprint(self.grams, self.at[i], self.at[i + 1] - self.at[i] + GRAM, 0x9E3779B97F4A7C15)
+        return i, _fingerprints(self.grams, self.at[i], self.at[i + 1] - self.at[i] + GRAM, 0x9E3779B97F4A7C15)[0]
 
     def blocks(self, live: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """First and last start of the runs of strings of ``length`` bytes whose
         phrases are all live (``live``: by anchor, its rank of four phrases is
         shared) and which have the same first anchor."""
-        size = np.diff(self.bounds) - length + 1
-        has = np.bincount(self.doc[live], minlength=len(size)) > 0
-        size = np.where(has, np.maximum(size, 0), 0)
-        p = np.repeat(self.bounds[:-1], size) + ragged(size)
+        near = np.zeros(len(self.data) + 1, np.int32)  # strings whose first anchor may be live
+        at = self.at[live]
+        np.add.at(near, np.maximum(at - self.w + 1, self.bounds[self.doc[live]]), 1)
+        np.add.at(near, at + 1, -1)
+        p = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        p = p[p + length <= self.bounds[np.searchsorted(self.bounds, p, "right")]]
         if not len(p):
             return p, p
         first = self._to(self.before[p], self.least[p], 1)
@@ -294,17 +319,23 @@ class _Blocks:
             self.runs.append((digests, r.data, r.bounds, lo, hi))
             keys.append(self._keys(r.grams, lo, hi - lo + length))
             self.grams.append(r.grams)
-        self.key = np.concatenate(keys) if keys else np.zeros(0, [("k", "<u8"), ("c", "<u8")])
-        self.found, self.at, self.count = np.unique(self.key, return_inverse=True, return_counts=True)
+        first, self.at, self.count, self.found = self._found(keys)
+        self.speaks = np.zeros(len(self.at), bool)
+        self.speaks[first] = True
         self.verdict = self._answer(kinds["block"])
         self.replies = kinds["string"]
 
     @staticmethod
-    def _keys(grams, start, size) -> np.ndarray:
-        out = np.zeros(len(start), [("k", "<u8"), ("c", "<u8")])
-        out["k"] = _fingerprint(grams, start, size, 0xD6E8FEB86659FD93)
-        out["c"] = _fingerprint(grams, start, size, 0xA0761D6478BD642F)
-        return out
+    def _keys(grams, start, size) -> list[np.ndarray]:
+        return _fingerprints(grams, start, size, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+    @staticmethod
+    def _found(keys: list, bits: int = 64):
+        """First places, inverse, counts and columns of the distinct keys."""
+        key, check = (np.concatenate([np.zeros(0, _U), *(k[c] for k in keys)]) for c in (0, 1))
+        check >>= _U(64 - bits)
+        first, at, count = _distinct(key, check)
+        return first, at, count, (key[first], check[first])
 
     @staticmethod
     def _answer(replies: pa.Table) -> np.ndarray:
@@ -319,31 +350,26 @@ class _Blocks:
         """Per run the strings to judge one by one (start, and whether they
         only answer for their like), and the distinct keys of all."""
         out, keys, at = [], [], 0
-        _, first = np.unique(self.at, return_index=True)
-        speaks = np.zeros(len(self.at), bool)
-        speaks[first] = True
-        for (digests, _, _, lo, hi), grams in zip(self.runs, self.grams):
+        for (_, _, _, lo, hi), grams in zip(self.runs, self.grams):
             v = self.verdict[self.at[at:at + len(lo)]] if len(lo) else np.zeros(0, np.uint8)
-            take = (v == 0) | ((v == 2) & speaks[at:at + len(lo)])
+            take = (v == 0) | ((v == 2) & self.speaks[at:at + len(lo)])
             size = (hi - lo + 1)[take]
             p = np.repeat(lo[take], size) + ragged(size)
             out.append((p, np.repeat(v[take] == 0, size), v))
             keys.append(self._keys(grams, p, np.full(len(p), self.length)))
             at += len(lo)
-        key = np.concatenate(keys) if keys else np.zeros(0, self.key.dtype)
-        key["c"] >>= _U(32)
-        return out, np.unique(key, return_inverse=True, return_counts=True)
+        return out, self._found(keys, 32)
 
 
-def _ask_keys(part: int, found: np.ndarray, count: np.ndarray, n: int, check=np.uint64) -> pa.Table:
+def _ask_keys(part: int, found: tuple, count: np.ndarray, n: int, check=np.uint64) -> pa.Table:
     """Distinct keys in order; the last byte string tells by one bit a key
     whether the part holds it more than once."""
-    ranges = _in_ranges(found["k"], n)
+    ranges = _in_ranges(found[0], n)
     names, first = np.unique(ranges, return_index=True)
     cuts = [*first.tolist(), len(ranges)]
     many = count > 1
-    a = [found["k"][i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
-    b = [found["c"][i:j].astype(check).tobytes() + np.packbits(many[i:j]).tobytes() for i, j in zip(cuts, cuts[1:])]
+    a = [found[0][i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+    b = [found[1][i:j].astype(check).tobytes() + np.packbits(many[i:j]).tobytes() for i, j in zip(cuts, cuts[1:])]
     return pa.Table.from_arrays([pa.array(np.full(len(names), part, np.int64)), pa.array(names.astype(np.int64)),
                                  pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "range", "a", "b"])
 
@@ -386,7 +412,7 @@ def _ask_blocks(length: int, width: int, n: int):
 
 def _ask_strings(length: int, width: int, n: int):
     def run(key, docs: pa.Table, known: pa.Table) -> pa.Table:
-        _, (found, _, count) = _Blocks(docs, known, length, width, n).strings()
+        _, (_, _, count, found) = _Blocks(docs, known, length, width, n).strings()
         return _ask_keys(key[0].as_py(), found, count, n, np.uint32)
     return run
 
@@ -394,7 +420,7 @@ def _ask_strings(length: int, width: int, n: int):
 def _cut(length: int, width: int, n: int, with_text: bool):
     def run(key, docs: pa.Table, known: pa.Table) -> pa.Table:
         blocks = _Blocks(docs, known, length, width, n)
-        strings, (_, at, _) = blocks.strings()
+        strings, (_, at, _, _) = blocks.strings()
         again = blocks._answer(blocks.replies)
         out, done = {c: [] for c in ("d1", "d2", "n_removed", "kept_sha256", "spans", "kept")}, 0
         for (digests, data, bounds, lo, hi), (p, alone, v) in zip(blocks.runs, strings):
@@ -512,17 +538,22 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         _cut(length, width, n, with_text), "d1 long, d2 long, n_removed long, kept_sha256 string, "
                                            "spans array<struct<begin:long,end:long>>, kept binary")
     cut = scratch.write(cut, "cut")
-    twice = copied.where("copies > 1").select("d1", "d2", F.lit(True).alias("twice"))
+    # rows whose text occurs again go whole; a text in many rows is split by the task that reads them
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    twice = copied.where("copies > 1").select("d1", "d2", F.lit(True).alias("twice"), salt)
+    rows = rows.withColumn("salt", F.spark_partition_id() % SALTS).join(twice, ["d1", "d2", "salt"], "left")
+    end = F.col("n_bytes").alias("end")
+    whole = rows.where("twice").select(
+        "id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"),
+        F.array(F.struct(F.lit(0).cast("long").alias("begin"), end)).alias("spans"),
+        (F.lit(b"") if with_text else F.lit(None).cast("binary")).alias("kept"))
     nothing = F.expr("cast(array() as array<struct<begin:long,end:long>>)")
-    every = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("n_bytes").alias("end")))
-    spans = F.when(F.col("twice"), every).otherwise(F.coalesce("spans", nothing))
-    kept = F.when(F.col("twice"), F.lit(b"")).otherwise(F.coalesce("kept", "whole")) if with_text else F.lit(None).cast("binary")
-    return rows.join(twice, ["d1", "d2"], "left").join(cut, ["d1", "d2"], "left").select(
-        F.col("id").alias(id_col), "n_bytes",
-        F.when(F.col("twice"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.size(spans).cast("long").alias("n_spans"),
-        F.when(F.col("twice"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha"))
-        .alias("kept_sha256"), spans.alias("spans"), kept.alias("kept"))
+    rest = rows.where("twice is null").join(cut, ["d1", "d2"], "left").select(
+        "id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", nothing).alias("spans"),
+        (F.coalesce("kept", "whole") if with_text else F.col("kept")).alias("kept"))
+    return whole.unionByName(rest).select(F.col("id").alias(id_col), "n_bytes", "n_removed",
+                                          F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "spans", "kept")
 
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
