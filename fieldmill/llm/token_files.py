@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import array
 import os
-import re
 import struct
 import unicodedata
 import zlib
@@ -31,7 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import ragged, slices
+from fieldmill.operators.prefix import with_start
+
+from .arrays import Words, mix, ragged, slices
 from .bpe import _vocabulary_path
 from .shared import Scratch, n_parts, open_input, put_file, table
 
@@ -40,11 +41,13 @@ HEADER = "<8sHxxxxxxQ"
 FOOTER = "<QQQ8s"
 HEADER_SIZE, FOOTER_SIZE = struct.calcsize(HEADER), struct.calcsize(FOOTER)
 LEVEL = 3
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 64 << 10
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 256 << 10, 64 << 10
 SHARD_BYTES = 16 << 20
-CACHE_WORDS = 900_000
+CACHE_BYTES, CACHED_WORD = 48 << 20, 100  # of one worker's word ids; longest word kept
 RUN_BYTES = 2 << 20
-_LETTERS_MARKS = re.compile(rb"([a-z\x80-\xff]+)([.,;:!?#*$%&|<>()]*)")
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?#*$%&|<>()")] = True
+_LETTER[97:123] = _LETTER[128:] = True
 
 
 def _only_letters(word: bytes) -> bool:
@@ -53,17 +56,53 @@ def _only_letters(word: bytes) -> bool:
                               and unicodedata.normalize("NFC", word.decode()).lower().isalpha())
 
 
+class _Ids:
+    """Ids of distinct words in arrays: 64-bit hash and check, whether the
+    word is letters only, and its run of ``flat``."""
+
+    def __init__(self, key, check, letters, size, flat):
+        self.key, self.check, self.letters, self.size, self.flat = key, check, letters, size, flat
+        self.begin = np.cumsum(size) - size
+
+    @classmethod
+    def none(cls, dtype):
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, dtype))
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.key, self.check, self.letters, self.size, self.begin, self.flat))
+
+    def take(self, at: np.ndarray) -> "_Ids":
+        size = self.size[at]
+        flat = self.flat[np.repeat(self.begin[at], size) + ragged(size)]
+        return _Ids(self.key[at], self.check[at], self.letters[at], size, flat)
+
+    def plus(self, other: "_Ids") -> "_Ids":
+        return _Ids(*(np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("key", "check", "letters", "size", "flat")))
+
+    def sorted(self) -> "_Ids":
+        return self.take(np.argsort(self.key, kind="stable"))
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 if unknown (``self`` sorted by key)."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
+
+
 class LibraryEncoder:
     """Whole texts through the tokenizers library, with a cache of words.
 
     Where a vocabulary drops white space no token crosses it, so a text's ids
     are those of its white-space-separated words in a row; the normaliser
     lower-cases, so words may be looked up lower-cased unless a special
-    token's brackets are in sight.  Of a new word ``letters + ASCII marks``
-    both parts are encoded by themselves (the word pattern cuts there), and
-    many letter words go to the library as one text, whose ids part again
-    behind the word-end tokens.  Vocabularies that keep white space get whole
-    texts."""
+    token's brackets are in sight.  A word ``letters + ASCII marks`` is two
+    units, since the word pattern cuts there; many units of letters go to the
+    library as one text, whose ids part again behind the word-end tokens.
+    Vocabularies that keep white space get whole texts.
+
+    The cache is bounded in bytes: the newest units fill one half of
+    ``CACHE_BYTES``; when it is full it replaces the other half."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,10 +111,10 @@ class LibraryEncoder:
         n = self.library.get_vocab_size(with_added_tokens=True)
         self.width = 2 if n <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
+        self.dtype = np.dtype(f"<u{self.width}")
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(n)])
         self.by_word = bool(self.ends.any()) and self._ids("Ab c") == self._ids("ab") + self._ids("c")
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {}
+        self.young, self.old = _Ids.none(self.dtype), _Ids.none(self.dtype)
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -85,7 +124,7 @@ class LibraryEncoder:
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, column: pa.Array) -> list[bytes]:
-        """Little-endian ids of each text, ``width`` bytes each.  The words of
+        """Little-endian ids of each text, ``width`` bytes each.  The units of
         a run of documents are told apart by 64-bit hashes; each distinct one
         is looked up once and its ids are gathered for all its places."""
         if not self.by_word:
@@ -96,52 +135,75 @@ class LibraryEncoder:
             if b"<|" in raw:  # special tokens are case-sensitive: these texts go whole
                 out += self._batch([t or "" for t in column.slice(i, j - i).to_pylist()])
                 continue
-            _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            ids = self._lookup([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())])
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-            begin = np.cumsum(size) - size
-            count = size[place]
-            flat = np.frombuffer(b"".join(ids), f"<u{self.width}")[np.repeat(begin[place], count) + ragged(count)]
-            cuts = np.concatenate([[0], np.cumsum(count)])[words.doc]
+            ids, place, doc = self._units(words, raw)
+            count = ids.size[place]
+            flat = ids.flat[np.repeat(ids.begin[place], count) + ragged(count)]
+            cuts = np.concatenate([[0], np.cumsum(count)])[doc]
             out += [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
         return out
 
-    def _lookup(self, words: list[bytes]) -> list[bytes]:
-        known = self.words
-        new = set(words).difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            self.letters.clear()
-            new = set(words)
-        self._learn(new)
-        return [known[w] for w in words]
-
-    def _learn(self, new: set[bytes]) -> None:
-        split, whole = {}, []
-        for w in new:
-            m = _LETTERS_MARKS.fullmatch(w)
-            if m and _only_letters(m[1]):
-                split[w] = m.groups()
-            else:
-                whole.append(w)
-        marks = {b for _, b in split.values() if b}
-        whole += marks.difference(whole)
-        self.words.update(zip(whole, self._batch([w.decode() for w in whole])))
-        letters = list({a for a, _ in split.values()}.difference(self.letters))
-        for i in range(0, len(letters), 1000):
-            self._learn_letters(letters[i:i + 1000])
-        for w, (a, b) in split.items():
-            self.words[w] = self.letters[a] + self.words[b] if b else self.letters[a]
-
-    def _learn_letters(self, letters: list[bytes]) -> None:
-        text = b" ".join(letters).decode()
-        ids = np.frombuffer(self._batch([text])[0], f"<u{self.width}")
+    def _units(self, words: Words, raw: bytes) -> tuple[_Ids, np.ndarray, np.ndarray]:
+        """Ids of the distinct units, the unit at every place, and the first
+        place of each document."""
+        start, end, doc = words.start, words.end, words.doc
+        where = np.arange(len(words.data))
+        last = np.maximum.accumulate(np.where(_MARK[words.data], -1, where)) if len(where) else where
+        core = np.maximum(last[end - 1] + 1, start)
+        other = np.concatenate([[0], np.cumsum(~_LETTER[words.data])])
+        core = np.where((other[core] == other[start]) & (core > start), core, end)
+        while True:
+            edges = np.stack([start, core, end], axis=1)
+            real = np.stack([np.ones(len(start), bool), core < end], axis=1).ravel()
+            words.start, words.end = edges[:, :2].ravel()[real], edges[:, 1:].ravel()[real]
+            key, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            ids = self._lookup(key, words.start[first], words.end[first], words.data, raw)
+            begin = np.cumsum(np.append(0, 1 + (core < end)))
+            if len(start):  # what looked like letters may not be: such words stay whole
+                whole = (core < end) & ~ids.letters[place[begin[:-1]]]
+                if whole.any():
+                    core = np.where(whole, end, core)
+                    continue
+            return ids, place, begin[doc]
+
+    def _lookup(self, key, start, end, data, raw) -> _Ids:
+        n = np.minimum(end - start, 8)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+        shift = np.uint64(64) - np.uint64(8) * n.astype(np.uint64)
+        check = mix((eight[start] << shift) + mix((eight[end - n] << shift) + (end - start).astype(np.uint64)))
+        young, old = self.young.find(key, check), self.old.find(key, check)
+        new = np.flatnonzero((young < 0) & (old < 0))
+        told = self._learn([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())], key[new], check[new])
+        known = self.young.take(young[young >= 0]).plus(self.old.take(old[(young < 0) & (old >= 0)])).plus(told)
+        order = np.concatenate([np.flatnonzero(young >= 0), np.flatnonzero((young < 0) & (old >= 0)), new])
+        keep = told.take(np.flatnonzero((end - start)[new] <= CACHED_WORD))
+        if len(keep.key):
+            self.young = self.young.plus(keep).sorted()
+            if self.young.nbytes() > CACHE_BYTES // 2:
+                self.young, self.old = _Ids.none(self.dtype), self.young
+        return known.take(np.argsort(order, kind="stable"))
+
+    def _learn(self, words: list[bytes], key: np.ndarray, check: np.ndarray) -> _Ids:
+        alpha = [_only_letters(w) for w in words]
+        at = [i for i, a in enumerate(alpha) if a]
+        rest = [i for i, a in enumerate(alpha) if not a]
+        ids: list[bytes] = [b""] * len(words)
+        for i in range(0, len(at), 1000):
+            part = at[i:i + 1000]
+            for k, x in zip(part, self._letters([words[k] for k in part])):
+                ids[k] = x
+        for k, x in zip(rest, self._batch([words[k].decode() for k in rest])):
+            ids[k] = x
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        return _Ids(key, check, np.array(alpha, bool), size, np.frombuffer(b"".join(ids), self.dtype))
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        ids = np.frombuffer(self._batch([b" ".join(words).decode()])[0], self.dtype)
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(letters):
+        if len(cuts) == len(words):
             flat, at = ids.tobytes(), [0, *(cuts * self.width).tolist()]
-            self.letters.update((w, flat[i:j]) for w, i, j in zip(letters, at, at[1:]))
-        else:  # lower-casing a letter may make several words of one
-            self.letters.update(zip(letters, self._batch([w.decode() for w in letters])))
+            return [flat[a:b] for a, b in zip(at, at[1:])]
+        return self._batch([w.decode() for w in words])  # lower-casing a letter may make several words of one
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -234,23 +296,24 @@ def _write_shard(folder: str, vocabulary: str, end_id: int, dictionary: bytes):
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       vocabulary_file: str = "word_bpe_49k.json", end_id: int = 2) -> tuple[DataFrame, bytes]:
     """Encode every text, append ``end_id`` to each document and write shards
-    in ascending id order (null ids first, equal ids by text) to a new folder
+    in ascending id order (null ids first, equal ids by text hash, so that a
+    repeated id is spread over shards) to a new folder
     below the shared checkpoint folder.  Returns the manifest (shard, uri,
     n_docs, n_tokens, start: tokens before the shard) and the dictionary.
 
     Null and empty texts are documents of the end id alone; an empty table
     gives an empty manifest.  Other columns are not read.  The dictionary is
-    trained on at most ``SAMPLE_DOCS`` documents' first ``SAMPLE_CHARS``
-    characters (the documents with the smallest id hashes); it shapes the
-    file's size, not its content.
+    trained on the whole id arrays of at most ``SAMPLE_DOCS`` documents (those
+    with the smallest id hashes among texts of up to ``SAMPLE_BYTES``); it
+    shapes the file's size, not its content.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-files")
     folder = scratch.path("shards")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chosen = docs.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).distinct()
-    sample = docs.join(F.broadcast(chosen), "id", "left_semi") \
-        .select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("text").limit(SAMPLE_DOCS)
+    small = docs.where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("id").isNotNull())
+    chosen = small.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).distinct()
+    sample = small.join(F.broadcast(chosen), "id", "left_semi").select("text").orderBy("text").limit(SAMPLE_DOCS)
 
     def encoded(batches):
         enc = encoder(vocabulary_file)
@@ -260,16 +323,12 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dictionary = train_dictionary([bytes(r.ids) for r in sample.mapInArrow(encoded, "ids binary").collect()])
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = n_parts(size, SHARD_BYTES, least=12)
-    ordered = docs.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
+    ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "id", "h") \
+        .sortWithinPartitions("id", "h").select("id", "text")
     written = scratch.write(ordered.mapInArrow(_write_shard(folder, vocabulary_file, end_id, dictionary),
                                                "shard long, uri string, n_docs long, n_tokens long"), "manifest")
     put_file(f"{folder}/dictionary.zdict", [dictionary])
-    # one row per shard file: tokens before each shard
-    rows = sorted(written.where("n_docs > 0").collect(), key=lambda r: r.shard)
-    before = np.concatenate([[0], np.cumsum([r.n_tokens for r in rows], dtype=np.int64)])
-    manifest = [(r.shard, r.uri, r.n_docs, r.n_tokens, int(b)) for r, b in zip(rows, before)]
-    return spark.createDataFrame(
-        manifest, "shard long, uri string, n_docs long, n_tokens long, start long"), dictionary
+    return with_start(written.where("n_docs > 0"), ["shard"], "n_tokens", "start"), dictionary
 
 
 def read_token_files(manifest: DataFrame, dictionary: bytes, with_ids: bool = True) -> DataFrame:
