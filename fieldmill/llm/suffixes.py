@@ -551,7 +551,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = rows.where("twice is null").join(cut, ["d1", "d2"], "left").select(
         "id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", nothing).alias("spans"),
-        (F.coalesce("kept", "whole") if with_text else F.col("kept")).alias("kept"))
+        (F.coalesce("kept", "whole", F.lit(b"")) if with_text else F.col("kept")).alias("kept"))
     return whole.unionByName(rest).select(F.col("id").alias(id_col), "n_bytes", "n_removed",
                                           F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "spans", "kept")
 
