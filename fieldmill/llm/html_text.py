@@ -7,10 +7,11 @@ Their entropies give its importance: a branch that looks and reads the same
 on page after page has an importance near 0, an article near 1.  Copies of a
 page are no evidence: of the pages of a host whose content is equal, one
 counts.  Branches of low importance are cut from each page, together with those whose element says
-that they are not the article (navigation, forms, advertising, ...), by tag,
-role or name, where fewer than ``LEAST_PAGES`` pages of the host show it.  On
-the others importance alone decides, but for elements that never hold text of
-the page (head, buttons, ...).  Where a page declares an
+that they are not the article (navigation, forms, advertising, comments, ...),
+by tag, role or name, however important: what differs from page to page is not
+therefore the article.  Only a name that tells what is around an element
+(``has-sidebar``) gives way, where ``LEAST_PAGES`` pages of the host show the
+element and it is of high importance.  Where a page declares an
 article, text beside it goes, and its text elements stay however often a copy
 of it occurs; a cut never takes html, body, the article or an element around
 it, nor all of an article's text.
@@ -36,10 +37,8 @@ from .urls import url_parts
 LEAST_PAGES, LEAST_IMPORTANCE, CONTENT_SHARE = 4, 0.2, 0.9
 SMALL_TABLE = 100_000  # cut branches that may be broadcast: about 3 MB of digests
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']{1,4096}+|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'){0,200}+)>"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_MARKUP = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*)")
+_TAG_PART = re.compile(r">|=\s*([\"'])")  # the tag's end, or a quoted value's begin
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript",
                                                                  "template", "iframe", "svg", "select", "xmp")}
@@ -55,6 +54,7 @@ _NOISE_NAME = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sidebar|cookies?|consent|notices?|alert|comments?|replies|respond|menu|nav|"
     r"navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|promo\w*|popup|modal|newsletter|"
     r"subscribe|related|recommended|sponsor\w*|toolbar|pagination|widget|login|signup|search)(?:[-_\s]|$)", re.I)
+_LAYOUT_NAME = re.compile(r"(?<!\S)(?:has|have|with|without|no|hide|show)[-_]\S*", re.I)  # says what is around
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
            "th": ("td", "th"), "option": ("option",)}
 _DIGITS = re.compile(r"\d+")
@@ -96,12 +96,13 @@ class Page:
         self._stack = [_Node("", 0, 0, False)]
         self._open: dict[str, int] = {}
         self._run: list[str] = []
+        self._unclosed: set[str] = set()
         self._parse(source)
 
     def _parse(self, s: str) -> None:
         at, last = 0, s.rfind(">") + 1
         while at < len(s):
-            m = _TAG.search(s, at, last) if at < last else None
+            m = _MARKUP.search(s, at, last) if at < last else None
             if m is None:
                 # the rest is text, or a tag that the page's end cuts off
                 tail = re.search(r"<[A-Za-z/!]", s[at:])
@@ -109,14 +110,15 @@ class Page:
                 break
             if m.start() > at:
                 self._run.append(s[at:m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+            if m[2] is None:  # a comment, or a declaration
+                end = s.find("-->", m.end(), last) if m[0] == "<!--" else s.find(">", m.end(), last)
+                at = last if end < 0 else end + (3 if m[0] == "<!--" else 1)
                 continue
-            if m[1] or m[4]:
+            tag, end = m[2].lower(), self._tag_end(s, m.end(), last)
+            attributes, at = s[m.end():end], end + 1
+            if m[1]:
                 self._end(tag)
                 continue
-            attributes = m[3] or m[6] or ""
             if tag in _RAW and not (attributes.endswith("/") and tag == "svg"):
                 end = _RAW[tag].search(s, at)
                 at = end.end() if end else len(s)
@@ -126,6 +128,21 @@ class Page:
         while len(self._stack) > 1:
             self._pop()
 
+    def _tag_end(self, s: str, start: int, last: int) -> int:
+        """The tag's ``>``: the first outside quoted values, or, where a quote
+        is never closed, the first of all.  That a quote has no end is found
+        out once a page, so time stays linear."""
+        at = start
+        while m := _TAG_PART.search(s, at, last):
+            if not m[1]:
+                return m.start()
+            end = -1 if m[1] in self._unclosed else s.find(m[1], m.end(), last)
+            if end < 0:
+                self._unclosed.add(m[1])
+                break
+            at = end + 1
+        return s.find(">", start, last)
+
     def _flush(self) -> None:
         if self._run:
             text = " ".join(html.unescape("".join(self._run)).split())
@@ -184,9 +201,10 @@ class Page:
         inherited = 0 if article and not up.declared and up.noise in (CUT, NAMED) else up.noise
         key = _key(up.key, tag, _DIGITS.sub("", name))
         said = self._noise(tag, role, name, up)
-        decided = tag not in _NEVER_TEXT and (key in self.cut or key in self.live)
-        # an article's own class or id never drops it
-        noise = 0 if decided and not (key in self.cut and said == BESIDE) or article and said == NAMED else said
+        # importance cuts more; of what an element says of itself it overrules only a name that tells
+        # what is around (``has-sidebar``); an article's own class or id never drops it
+        weak = said == NAMED and (article or key in self.live and not _NOISE_NAME.search(_LAYOUT_NAME.sub(" ", name)))
+        noise = 0 if weak else said
         declared = up.declared or (article and not max(noise, inherited))
         if not noise and key in self.cut and tag not in ("html", "body") \
                 and not (declared and (tag in _TEXT or not up.declared)):

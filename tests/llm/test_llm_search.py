@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from fieldmill.llm import divergence, lexical, queries, suffixes, token_files
+from fieldmill.llm import divergence, html_text, lexical, queries, suffixes, token_files
 
 CLASH = "term string, shard string, part int, n long, rank int, score long, value string, salt int, kind string"
 CLASH_ROW = ("t", "s", 1, 2, 3, 4, "v", 5, "k")
@@ -223,3 +223,68 @@ def test_sql_of_the_queries(spark, name):
     cols = [d[0] for d in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert sorted(map(str, map(tuple, df.select(*cols).collect()))) == sorted(map(str, cur.fetchall()))
+
+
+def _host_pages(host, article, extra):
+    """Eight pages of one host; all that is not the article differs per page too."""
+    out = []
+    for i in range(8):
+        body = [f"Title {host} {i}", f"First paragraph {host} {i} & more.", f"Second paragraph {i * 7}."]
+        inner = f"<h1>{body[0]}</h1><p>First paragraph {host} {i} &amp; more.</p>{extra[0].format(i=i)}<p>{body[2]}</p>{extra[1].format(i=i)}"
+        opening, closing = article
+        page = f"<html><body class=has-sidebar><nav><a>menu {i}</a></nav>{opening}{inner}{closing}" \
+               f"<div id=comments><p>reader {i} says {i}</p></div><footer>printed {i}</footer></body></html>"
+        out.append((f"https://h{host}.org/{i}", page, "\n\n".join(body)))
+    return out
+
+
+def test_hosts_whose_noise_differs_per_page(spark):
+    """Ten templates against labelled texts: importance re-admits no advert,
+    comment, form, aside, menu or footer."""
+    extras = [("<div class=ad>buy item {i}</div>", "<div class='comments list'><p>reader {i}</p></div><form>answer {i}</form>"),
+              ("<aside>also read {i}</aside>", "<section class='comment-list'><p>re {i}</p></section>"),
+              ("<div class='promo-box'>sale {i}</div>", "<ul class=related-posts><li>see {i}</li></ul>"),
+              ("<script>var x = {i};</script>", "<div role=complementary>more {i}</div>"),
+              ("<div class=share>share {i}</div>", "<button>b {i}</button><div class=newsletter>mail {i}</div>")]
+    shapes = [("<article>", "</article>"), ("<div class=content>", "</div>")]
+    pages = [p for k, (shape, extra) in enumerate((s, e) for s in shapes for e in extras)
+             for p in _host_pages(k, shape, extra)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_texts(df).collect()}
+    assert [(i, got[i]) for i in range(len(pages))] == [(i, t) for i, (_, _, t) in enumerate(pages)]
+
+
+@pytest.mark.parametrize("n", [10, 5000, 200_000])
+def test_long_attributes(n):
+    assert html_text.Page(f'<p data-x="{"y" * n}>leak">t</p>').main_text() == "t"
+    assert html_text.Page(f"<p {'a=1 ' * n} it's=\"x>y\">t</p><p>don't</p>").main_text() == "t\n\ndon't"
+    assert html_text.Page(f'<p title="never closed>{"z" * n}</p><p>u</p>').main_text() == f'{"z" * n}\n\nu'
+
+
+def _importance(pages):
+    """Entropies of a style tree from its definition, path by path."""
+    seen, trees = {}, {}
+    for host, source in pages:
+        page = html_text.Page(source)
+        trees.setdefault(host, {}).setdefault(page.content(), page)
+    for host, different in trees.items():
+        for page in different.values():
+            for path, both in page.paths.items():
+                seen.setdefault((host, path), []).append(both)
+    out = {}
+    for at, both in seen.items():
+        parts = []
+        for k in (0, 1):
+            n = len(both)
+            share = [c / n for c in Counter(b[k] for b in both).values()]
+            parts.append(-sum(p * math.log(p) for p in share) / math.log(n) if n > 1 else 1.0)
+        out[at] = (len(both), round(0.1 * parts[0] + 0.9 * parts[1], 9))
+    return out
+
+
+def test_importance_from_its_definition(spark):
+    pages = [(k, h) for k in range(3) for _, h, _ in _host_pages(k, ("<article>", "</article>"), ("<div class=ad>x</div>", "<i class=ad>{i}</i>"))]
+    pages += pages[:5]  # copies are no evidence
+    df = spark.createDataFrame(pages, "host long, html string")
+    got = {(r.host, r.path): (r.pages, round(r.importance, 9)) for r in html_text.style_tree(df).collect()}
+    assert {(h, p - 0): v for (h, p), v in _importance(pages).items()} == got

@@ -237,8 +237,8 @@ def test_copies_of_a_page_do_not_empty_it(spark):
     assert whole.main_text() == "x"
 
 
-def test_importance_decides_over_names(spark):
-    page = ("<div class='nav box'><p>page {} on rivers</p></div><div class=plain><p>same strip</p></div>"
+def test_importance_decides_over_names_of_what_is_around(spark):
+    page = ("<div class='has-nav box'><p>page {} on rivers</p></div><div class=plain><p>same strip</p></div>"
             "<div class='related posts'><p>same list</p></div><aside>same aside</aside>")
     pages = [(i, f"http://many/{i}", page.format(i * i)) for i in range(12)] + [(20, "http://few/1", page.format("x"))]
     df = spark.createDataFrame([p + (1,) for p in pages], "page_id long, url string, html string, host int")
