@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fieldmill.functions import checks, dates, keys, text
 from fieldmill.operators import extras, findings, lookups, mapping, resolve
 from fieldmill.operators.findings import Checked
+from fieldmill.operators import similar
 from fieldmill.operators.rowid import with_row_index
 from fieldmill.plans import inputs as I
 from fieldmill.plans import oracle as O
@@ -478,6 +479,23 @@ def q_match_payer_fuzzy(spark, sf):
                       F.floor(F.col("match_score") * 1000).cast("long").alias("score_pm"))
 
 
+def q_match_payer_weighted(spark, sf):
+    p = I.derived(spark, sf, f"SELECT p_partkey, {_FUZZY_PROBE} AS name_in FROM part", ["part"])
+    out = similar.match_payer_similar(p, F.col("name_in"), _payer_dim(spark, sf), cutoff=0.6)
+    return out.select("p_partkey", "match_ik", "match_name", F.floor(F.col("match_score") * 1000).cast("long").alias("score_pm"))
+
+
+def q_match_payer_blocks(spark, sf):
+    p = I.derived(spark, sf, f"SELECT p_partkey, {_FUZZY_PROBE} AS name_in FROM part", ["part"])
+    out = similar.match_payer_similar(p, F.col("name_in"), _payer_dim(spark, sf), cutoff=0.6, scorer="blocks")
+    return out.select("p_partkey", "match_ik", "match_name", F.floor(F.col("match_score") * 1000).cast("long").alias("score_pm"))
+
+
+# beyond SQL: common subsequences and recursive blocks; tested against all pairs
+QUERIES["match_payer_weighted"] = q_match_payer_weighted
+QUERIES["match_payer_blocks"] = q_match_payer_blocks
+
+
 # ============================================================ dimension files
 
 

@@ -490,3 +490,73 @@ def test_row_index_over_many_partitions(spark):
     df = spark.range(0, 5000, numPartitions=60).selectExpr("id * 7919 % 5000 AS k")
     out = with_row_index(df, order_by=["k"], fan=8).collect()
     assert sorted((r.k, r._row) for r in out) == [(i, i) for i in range(5000)]
+
+
+def _similar_names(seed, n):
+    import random
+    rnd = random.Random(seed)
+    words = ["AOK", "BKK", "Die", "Plus", "Gesundheit", "Kasse", "Nord", "Süd-West", "Ersatz", "der", "Ärzte", "KK", "x"]
+    out = []
+    for _ in range(n):
+        w = [rnd.choice(words) for _ in range(rnd.choice([1, 1, 2, 3, 6, 14]))]
+        text = rnd.choice([" ", "  "]).join(w)
+        for _ in range(rnd.choice([0, 0, 1, 3])):
+            at = rnd.randrange(len(text))
+            text = text[:at] + rnd.choice("aäKz ") + text[at + rnd.randint(0, 2):]
+        out.append(text.strip() or "AOK")
+    return out
+
+
+@pytest.mark.parametrize("scorer", ["weighted", "blocks"])
+@pytest.mark.parametrize("cutoff", [0.0, 0.4, 0.6, 0.8, 0.97])
+def test_similar_names_equal_all_pairs(spark, scorer, cutoff):
+    """Both scorers give what scoring all pairs gives; blocks also what the
+    standard library's close matches are."""
+    import difflib
+
+    from fieldmill.operators import similar
+    names, asked = list(dict.fromkeys(_similar_names(1, 60))), _similar_names(2, 40) + [None, " ", " die kasse ", "zzz", "A"]
+    dim = spark.createDataFrame([(i, f"{i:09d}", x) for i, x in enumerate(names)], "line long, ik string, name string")
+    src = spark.createDataFrame(list(enumerate(asked)), "p long, n string")
+    got = {r.p: (r.match_name, round(r.match_score, 9)) for r in
+           similar.match_payer_similar(src, F.col("n"), dim, cutoff=cutoff, scorer=scorer).collect()}
+    exact = {x.lower(): x for x in names}
+    for p, text in enumerate(asked):
+        text = (text or "").strip()
+        if not text:
+            want = (None, 0.0)
+        elif text.lower() in exact:
+            want = (exact[text.lower()], 1.0)
+        elif scorer == "blocks":
+            best = difflib.get_close_matches(text, names, n=1, cutoff=cutoff)
+            want = (best[0], cutoff) if best else (None, 0.0)
+        else:
+            best = max((similar.weighted(text, x), -i, x) for i, x in enumerate(names))
+            want = (best[2], round(best[0], 9)) if best[0] >= cutoff else (None, 0.0)
+        assert got[p] == want, text
+    queries = src.where("trim(n) <> ''").selectExpr("trim(n) AS _q").distinct()
+    pairs = similar.close_pairs(queries, dim.select("line", "name"), cutoff, scorer).count()
+    assert pairs < queries.count() * len(names) or cutoff < 0.5
+    wide = similar.match_payer_similar(src, F.col("n"), dim, cutoff=cutoff, scorer=scorer, max_rows=0) if cutoff == 0.6 else None
+    assert wide is None or {r.p: (r.match_name, round(r.match_score, 9)) for r in wide.collect()} == got
+
+
+def test_common_subsequence_and_views():
+    """The bit-parallel length equals the table's; the views by hand."""
+    import random
+
+    from fieldmill.operators.similar import _common, _stretch, weighted
+    rnd = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abc ") for _ in range(rnd.randrange(12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [max(row[j + 1], 0) if x != y else row[j] + 1 for j, y in enumerate(b)]
+            for j in range(len(b)):
+                row[j + 1] = max(row[j + 1], row[j])
+        assert _common(a, b) == row[-1]
+    assert _stretch("bcd", "abcde") == 1.0 and _stretch("xyz", "abcde") == 0.0
+    assert weighted("Nord AOK", "aok  nord") == 0.95  # sorted words
+    assert weighted("AOK", "aok") == 1.0 and weighted("", "a") == 0.0
+    assert weighted("AOK", "AOK Plus Gesundheit") == pytest.approx(0.9)  # a stretch
+    assert weighted("AOK Nord", "die ganz andere Kasse im hohen Nord") == pytest.approx(0.95 * 0.9)  # a shared word
