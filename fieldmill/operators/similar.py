@@ -56,37 +56,63 @@ def _ratio(a: str, b: str) -> float:
     return 2 * _common(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def _stretch(a: str, b: str) -> float:
-    """Best ratio of the shorter with a stretch of the longer."""
+def _stretch(a: str, b: str, least: float = 0.0) -> float:
+    """Best ratio of the shorter with a stretch of the longer (0 if that is
+    not above ``least``)."""
     a, b = sorted((a, b), key=len)
-    n, best = len(a), 0.0
+    if a in b:
+        return 1.0
+    n, best = len(a), least
     for i in range(1 - n, len(b)):
         part = b[max(0, i):i + n]
         if 2 * min(n, len(part)) > best * (n + len(part)):
             best = max(best, _ratio(a, part))
-    return best
+    return best if best > least else 0.0
+
+
+def _most(la: int, lb: int, common: int, shared: bool) -> float:
+    """Bound of ``weighted`` from the lengths, the characters in common and
+    whether a word is shared."""
+    short, longer = sorted((la, lb))
+    whole = 2 * common / (la + lb) if longer else 1.0
+    if longer < LONGER * short:
+        return max(whole, WORDS) if shared else whole
+    scale = PART if longer < FAR_LONGER * short else SMALL_PART
+    part = 1.0 if common >= short else 2 * common / (short + common)
+    return max(whole, scale * part, WORDS * scale if shared else 0.0)
 
 
-def weighted(a: str, b: str) -> float:
-    """The weighted similarity of two names (see module doc)."""
+def weighted(a: str, b: str, least: float = 0.0) -> float:
+    """The weighted similarity of two names (see module doc), exact where it
+    is at least ``least``: views that cannot matter are not computed."""
     wa, wb = a.lower().split(), b.lower().split()
-    a, b, sa, sb = " ".join(wa), " ".join(wb), " ".join(sorted(wa)), " ".join(sorted(wb))
+    a, b = " ".join(wa), " ".join(wb)
     if not a or not b:
         return float(a == b)
-    best, shared = _ratio(a, b), sorted(set(wa) & set(wb))
-    longer = max(len(a), len(b)) / min(len(a), len(b))
-    if longer < LONGER:
-        best = max(best, WORDS * _ratio(sa, sb))
-        if shared:
-            one, two = ([*shared, *sorted(set(w).difference(shared))] for w in (wa, wb))
-            views = [" ".join(w) for w in (shared, one, two)]
-            best = max(best, WORDS * max(_ratio(x, y) for i, x in enumerate(views) for y in views[i + 1:]))
+    shared = sorted(set(wa) & set(wb))
+    short, longer = sorted((len(a), len(b)))
+    if longer < LONGER * short:
+        best = _ratio(a, b)
+        if best < WORDS:
+            best = max(best, WORDS * _ratio(" ".join(sorted(wa)), " ".join(sorted(wb))))
+        if shared and best < WORDS:
+            rest = [" ".join(sorted(set(w).difference(shared))) for w in (wa, wb)]
+            n, (p, q) = len(" ".join(shared)), (len(r) + bool(r) for r in rest)
+            both = (n + _common(*rest) + (p > 0 and q > 0)) / (2 * n + p + q) * 2  # all begin with the shared words
+            best = max(best, WORDS * max(both, 2 * n / (2 * n + min(p, q))))
         return best
-    scale = PART if longer < FAR_LONGER else SMALL_PART
-    return max(best, scale * _stretch(a, b), WORDS * scale * (1.0 if shared else _stretch(sa, sb)))
+    scale = PART if longer < FAR_LONGER * short else SMALL_PART
+    best = WORDS * scale if shared else 0.0
+    if 2 * short / (short + longer) > max(best, least - _EPS):
+        best = max(best, _ratio(a, b))
+    if scale > max(best, least - _EPS):
+        best = max(best, scale * _stretch(a, b, max(best, least - _EPS) / scale))
+    if not shared and WORDS * scale > max(best, least - _EPS):
+        best = max(best, WORDS * scale * _stretch(" ".join(sorted(wa)), " ".join(sorted(wb)), max(best, least - _EPS) / (WORDS * scale)))
+    return best
 
 
-def blocks(a: str, b: str) -> float:
+def blocks(a: str, b: str, least: float = 0.0) -> float:
     """The standard library's ratio, with the dictionary's name first."""
     return difflib.SequenceMatcher(None, b, a).ratio()
 
@@ -120,7 +146,8 @@ def _needs(cutoff: float, scorer: str, la: Column, lb: Column) -> Column:
 
 def close_pairs(queries: DataFrame, names: DataFrame, cutoff: float, scorer: str = "weighted",
                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """(query, line, name) rows that hold every pair at or above ``cutoff``.
+    """(query, line, name) rows that hold every pair at or above ``cutoff``,
+    with both lengths, the characters in common and whether a word is shared.
     ``queries`` has ``_q``, ``names`` has line and name (distinct)."""
     def form(c: Column) -> Column:
         words = F.filter(F.split(F.lower(c), WS + "+"), lambda w: w != "")
@@ -139,27 +166,41 @@ def close_pairs(queries: DataFrame, names: DataFrame, cutoff: float, scorer: str
         return F.least(F.col("_lq"), x) + _EPS >= _needs(cutoff, scorer, F.col("_lq"), x)
     keyed = q.withColumn("_one", F.lit(0)).join(F.broadcast(lengths), "_one") \
         .withColumn("_ln", F.explode(F.filter("_ls", reach))).drop("_ls", "_one")
-    pairs = keyed.join(held(n), "_ln")
-    enough = F.size(F.array_intersect("_cq", "_cn")) + _EPS >= _needs(cutoff, scorer, F.col("_lq"), F.col("_ln"))
-    if scorer == "weighted":
-        enough = enough | F.arrays_overlap("_wq", "_wn")
-        # a shared word may reach the cutoff at any length
-        words = q.withColumn("_w", F.explode("_wq")).join(held(n.withColumn("_w", F.explode("_wn"))), "_w") \
-            .where(~reach(F.col("_ln"))).select("_q", "line", "name").distinct()
-        return pairs.where(enough).select("_q", "line", "name").union(words)
-    return pairs.where(enough).select("_q", "line", "name")
-
-
-def score_pairs(pairs: DataFrame, cutoff: float, scorer: str) -> DataFrame:
-    """``pairs`` (_q, line, name) at or above ``cutoff``, with score ``_s``."""
+    told = lambda df: df.withColumn("_o", F.size(F.array_intersect("_cq", "_cn"))).withColumn(
+        "_sw", F.arrays_overlap("_wq", "_wn") if scorer == "weighted" else F.lit(False))
+    columns = ["_q", F.col("line").cast("long").alias("line"), "name", "_lq", "_ln", "_o", "_sw"]
+    enough = F.col("_o") + _EPS >= _needs(cutoff, scorer, F.col("_lq"), F.col("_ln"))
+    pairs = told(keyed.join(held(n), "_ln")).where(enough | F.col("_sw")).select(*columns)
+    if scorer == "blocks":
+        return pairs
+    # a shared word may reach the cutoff at any length
+    words = q.withColumn("_w", F.explode("_wq")).join(held(n.withColumn("_w", F.explode("_wn"))), "_w") \
+        .where(~reach(F.col("_ln"))).dropDuplicates(["_q", "line", "name"])
+    return pairs.union(told(words).select(*columns))
+
+
+def best_pairs(pairs: DataFrame, cutoff: float, scorer: str) -> DataFrame:
+    """``pairs`` with score ``_s``: of every query at least those of its best
+    score, if that is at or above ``cutoff``.  A task scores its pairs in the
+    order of their bounds and leaves out what cannot reach the best that it
+    has found for the query."""
     score = SCORERS[scorer]
 
     def run(batches):
+        best: dict[str, float] = {}
         for batch in batches:
-            q, names = (batch.column(c).to_pylist() for c in ("_q", "name"))
-            values = pa.array([score(a, b) for a, b in zip(q, names)], pa.float64())
-            out = pa.RecordBatch.from_arrays([*batch.columns, values], names=["_q", "line", "name", "_s"])
-            yield out.filter(pa.array([v >= cutoff for v in values.to_pylist()], pa.bool_()))
+            q, names, la, lb, common, shared = (batch.column(c).to_pylist() for c in ("_q", "name", "_lq", "_ln", "_o", "_sw"))
+            most = [_most(*x) if scorer == "weighted" else 2 * x[2] / max(1, x[0] + x[1]) if x[0] + x[1] else 1.0
+                    for x in zip(la, lb, common, shared)]
+            kept, values = [], []
+            for i in sorted(range(len(q)), key=most.__getitem__, reverse=True):
+                least = max(cutoff, best.get(q[i], 0.0))
+                if most[i] + _EPS >= least and (value := score(q[i], names[i], least)) >= least:
+                    best[q[i]] = value
+                    kept.append(i)
+                    values.append(value)
+            out = batch.select(["_q", "line", "name"]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(values, pa.float64())], names=["_q", "line", "name", "_s"])
 
     return pairs.mapInArrow(run, "_q string, line long, name string, _s double")
 
@@ -180,8 +221,9 @@ def match_payer_similar(df: DataFrame, name, dim: DataFrame, cutoff: float = 0.6
     exact = _exact_payer(df, name, by_name, prefix, max_rows)
     qkey = utrim(col_of(name))
     queries = stable(exact.where(F.col(f"{prefix}_ik").isNull() & ~is_blank(name)).select(qkey.alias("_q")).distinct())
-    pairs = close_pairs(queries, payer_names(dim).select("line", "name"), cutoff, scorer, max_rows)
-    scored = score_pairs(pairs.select("_q", F.col("line").cast("long").alias("line"), "name"), cutoff, scorer)
+    # few names, many pairs each: spread over all tasks, a query's pairs in one
+    queries = queries.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_q")
+    scored = best_pairs(close_pairs(queries, payer_names(dim).select("line", "name"), cutoff, scorer, max_rows), cutoff, scorer)
     order = F.struct("_s", (-F.col("line")).alias("o")) if scorer == "weighted" else F.struct("_s", F.col("name").alias("o"))
     best = scored.groupBy("_q").agg(F.max_by(F.struct("name", "_s"), order).alias("_b")).select(
         "_q", F.col("_b.name").alias("_fn"), (F.col("_b._s") if scorer == "weighted" else F.lit(float(cutoff))).alias("_fs"))

@@ -557,6 +557,24 @@ def test_common_subsequence_and_views():
         assert _common(a, b) == row[-1]
     assert _stretch("bcd", "abcde") == 1.0 and _stretch("xyz", "abcde") == 0.0
     assert weighted("Nord AOK", "aok  nord") == 0.95  # sorted words
+    def plainly(a, b):  # every view, by its definition
+        from fieldmill.operators.similar import _ratio
+        wa, wb = a.lower().split(), b.lower().split()
+        a, b, sa, sb, both = " ".join(wa), " ".join(wb), " ".join(sorted(wa)), " ".join(sorted(wb)), sorted(set(wa) & set(wb))
+        if not a or not b:
+            return float(a == b)
+        longer = max(len(a), len(b)) / min(len(a), len(b))
+        if longer < 1.5:
+            views = [" ".join(x) for x in (both, *([*both, *sorted(set(w) - set(both))] for w in (wa, wb)))] if both else []
+            return max([_ratio(a, b), 0.95 * _ratio(sa, sb), *(0.95 * _ratio(x, y) for x, y in itertools.combinations(views, 2))])
+        scale = 0.9 if longer < 8 else 0.6
+        return max(_ratio(a, b), scale * _stretch(a, b), 0.95 * scale * (1.0 if both else _stretch(sa, sb)))
+
+    some = _similar_names(5, 80)
+    for a, b in itertools.product(some, some[:40]):
+        value = plainly(a, b)
+        assert weighted(a, b) == pytest.approx(value, abs=1e-12)
+        assert weighted(a, b, value) == pytest.approx(value, abs=1e-12) and weighted(a, b, 0.7) >= value - 1e-9 or value < 0.7
     assert weighted("AOK", "aok") == 1.0 and weighted("", "a") == 0.0
     assert weighted("AOK", "AOK Plus Gesundheit") == pytest.approx(0.9)  # a stretch
     assert weighted("AOK Nord", "die ganz andere Kasse im hohen Nord") == pytest.approx(0.95 * 0.9)  # a shared word
