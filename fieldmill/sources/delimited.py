@@ -35,10 +35,10 @@ def charset_of(encoding: str) -> str:
 MOST_LAYOUTS = 1000  # different header lines that one read may have
 
 
-def _names(line: str, sep: str) -> list[str]:
+def _names(line: str, sep: str, quote: str) -> list[str]:
     """Column names of a header line: empty ones become ``_c0``..., repeated
     ones get their position appended."""
-    names = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
+    names = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep, quotechar=quote), [])
     low = [n.lower() for n in names]
     return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(names)]
 
@@ -46,13 +46,14 @@ def _names(line: str, sep: str) -> list[str]:
 # A doubled quote inside a quoted field is two quoted runs side by side, so
 # this linear pattern removes every quoted part.
 QUOTED = '"[^"]*"'
+QUOTES = ['"', "'"]  # fixed values: quote candidates, most usual first
 
 
-def n_fields(cols: list[str], sep: str) -> Column:
+def n_fields(cols: list[str], sep: str, quote: str = '"') -> Column:
     """Fields of a row: as many as columns if it is well-formed, else counted
     by the separators outside quotes."""
     raw = qcol(CORRUPT)
-    outside = F.regexp_replace(raw, QUOTED, "")
+    outside = F.regexp_replace(raw, QUOTED.replace('"', quote), "")
     counted = F.length(F.regexp_replace(outside, "[^" + re.escape(sep) + "]", "")) + 1
     # The test references every field: with CSV column pruning a scan of
     # fewer columns would not see a too-long row as malformed, and Spark
@@ -78,7 +79,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
                    columns: list[str] | None = None, header: bool = True,
                    na_tokens: list[str] | None = None, multiline: bool = False,
                    file_order: bool = False, headers: str = "by_name", unknown: str = "null",
-                   line_breaks: bool | None = None) -> DataFrame:
+                   line_breaks: bool | None = None, quote: str = '"') -> DataFrame:
     """Read delimited text as all-string columns (see module doc).
 
     ``headers``: with ``by_name`` each file's own header line says which field
@@ -102,7 +103,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
     look = header and (headers == "by_name" or line_breaks is None and not multiline)
     files = None
     if look:
-        files = stable(records.survey(spark, path, sep, charset))
+        files = stable(records.survey(spark, path, sep, charset, quote))
         seen = files.groupBy("header").agg(F.min("_src_file").alias("first"), F.max("breaks").alias("breaks")) \
             .orderBy("first").limit(MOST_LAYOUTS + 1).collect()
         if len(seen) > MOST_LAYOUTS:
@@ -115,7 +116,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
         lines = [first.value] if first else []
     else:
         lines = []
-    layouts = [_names(line, sep) for line in lines] or [columns or []]
+    layouts = [_names(line, sep, quote) for line in lines] or [columns or []]
     cols = columns or list(dict.fromkeys(n for names in layouts for n in names))
     if not cols:
         return spark.createDataFrame([], T.StructType())
@@ -125,11 +126,11 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
     width = len(cols) if by_position else max(map(len, layouts))
     fields = [f"_f{i}" for i in range(width)]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, CORRUPT]])
-    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    options = {"sep": sep, "quote": quote, "escape": quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     source = [F.col("_metadata.file_path").alias("_src_file"), F.col("_metadata.file_block_start").alias("_src_block")]
     many = not by_position and len(layouts) > 1
     if line_breaks and not multiline:
-        whole = records.whole_records(spark, path, sep, charset)
+        whole = records.whole_records(spark, path, sep, charset, quote)
         if header:
             heads = stable(whole.groupBy("_src_file").agg(F.min(F.struct("_src_block", "_src_pos")).alias("h"))
                            .select("_src_file", "h._src_block", "h._src_pos"))
@@ -150,7 +151,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
             raw = raw.withColumn("_src_pos", F.monotonically_increasing_id())
         raw = raw.join(held(own, n_files), "_src_file")
         size = F.get(F.array(*[F.lit(len(names)) for names in layouts]), F.col("_layout"))
-    kept = raw.where(n_fields(fields, sep) <= size)
+    kept = raw.where(n_fields(fields, sep, quote) <= size)
     if file_order and "_src_pos" not in kept.columns:
         # positions after the row filter: kept rows of one split are contiguous
         kept = kept.withColumn("_src_pos", F.monotonically_increasing_id())
@@ -193,47 +194,54 @@ def with_file_row_index(df: DataFrame, name: str = "_row", fan: int = FAN) -> Da
     return out.drop(*FILE_ORDER_COLS, "_first", "_off")
 
 
+ALIKE = 0.9  # share of a file's lines that must have the same number of fields
+
+
 def detect_dialect(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: the delimiter and the encoding to read it with.
+    """Per file: the delimiter, the encoding and the quote to read it with,
+    its lines, and the share of them that have the usual number of fields.
 
     Whole files are read, so the answer does not depend on how they are
     split: one late cp1252 byte decides the encoding.
 
-    Delimiter: for each candidate, count it per non-blank line outside
-    quotes; a candidate whose count is the same non-zero number on every
-    line wins (highest count first), else the one with the highest minimum,
-    else ``;``.  Encoding: a BOM -> utf-8-sig; any line that is not valid
-    UTF-8 -> cp1252, or latin1 if it holds a byte cp1252 leaves undefined;
-    else utf-8.  All aggregates are partial (map-side).
+    For each delimiter and quote a histogram of delimiters outside quotes per
+    non-blank line is counted (map-side combined); its mode is the usual
+    number.  Of the candidates whose mode is above 0 and holds for at least
+    ``ALIKE`` of the lines the highest mode wins, so a title line or a few
+    broken lines change nothing; if there is none, the highest share, and
+    ``;`` with ``"`` if no candidate occurs.  Equal ones go by the order of
+    ``DELIMITERS`` and ``QUOTES``.  Encoding: a BOM -> utf-8-sig; any line
+    that is not valid UTF-8 -> cp1252, or latin1 if it holds a byte cp1252
+    leaves undefined; else utf-8.
     """
     text = spark.read.option("encoding", "UTF-8").text(path)
-    lines = text.select(F.col("_metadata.file_path").alias("file_path"), F.col("value"))
-    stripped = F.regexp_replace("value", QUOTED, "")
+    lines = text.select(F.col("_metadata.file_path").alias("file_path"), F.col("value")).where(F.length(F.trim("value")) > 0)
     undefined = F.when(~F.is_valid_utf8("value"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")
                        .rlike("[\u0081\u008d\u008f\u0090\u009d]")).otherwise(False)
-    counted = lines.where(F.length(F.trim("value")) > 0).select(
-        "file_path", "value",
-        *[(F.length(stripped) - F.length(F.regexp_replace(stripped, re.escape(d), ""))).alias(f"_n{i}")
-          for i, d in enumerate(DELIMITERS)])
-    aggs = []
-    for i in range(len(DELIMITERS)):
-        aggs += [F.min(f"_n{i}").alias(f"_min{i}"), F.max(f"_n{i}").alias(f"_max{i}")]
-    aggs += [F.max(F.col("value").startswith("﻿").cast("int")).alias("_bom"),
-             F.max((~F.is_valid_utf8("value")).cast("int")).alias("_bad"),
-             F.max(undefined.cast("int")).alias("_latin"),
-             F.count(F.lit(1)).alias("n_lines")]
-    per_file = counted.groupBy("file_path").agg(*aggs)
-    # score: consistent candidates rank above inconsistent ones, then by count
-    scores = [F.struct(
-        ((F.col(f"_min{i}") == F.col(f"_max{i}")) & (F.col(f"_min{i}") > 0)).cast("int").alias("consistent"),
-        F.col(f"_min{i}").alias("n"), F.lit(-i).alias("pref"), F.lit(d).alias("delimiter"))
-        for i, d in enumerate(DELIMITERS)]
-    best = F.array_max(F.array(*scores))
-    delim = F.when((best["consistent"] == 1) | (best["n"] > 0), best["delimiter"]).otherwise(F.lit(";"))
-    enc = (F.when(F.col("_bom") == 1, F.lit("utf-8-sig"))
-           .when(F.col("_latin") > 0, F.lit("latin1"))
-           .when(F.col("_bad") > 0, F.lit("cp1252")).otherwise(F.lit("utf-8")))
-    return per_file.select("file_path", delim.alias("delimiter"), enc.alias("encoding"), "n_lines")
+    counts = []
+    for q, quote in enumerate(QUOTES):
+        outside = F.when(F.instr("value", quote) > 0, F.regexp_replace("value", QUOTED.replace('"', quote), "")) \
+            .otherwise(F.col("value"))
+        counts += [F.struct(F.lit(d).alias("d"), F.lit(q).alias("q"),
+                            (F.length(outside) - F.length(F.replace(outside, F.lit(delimiter), F.lit("")))).alias("n"))
+                   for d, delimiter in enumerate(DELIMITERS)]
+    told = lines.select("file_path", F.array(*counts).alias("c"), F.col("value").startswith("\ufeff").alias("bom"),
+                        (~F.is_valid_utf8("value")).alias("bad"), undefined.alias("latin"))
+    seen = told.select("file_path", F.explode("c").alias("c"), "bom", "bad", "latin").groupBy("file_path", "c.d", "c.q", "c.n") \
+        .agg(F.count(F.lit(1)).alias("lines"), *[F.max(c).alias(c) for c in ("bom", "bad", "latin")])
+    rated = seen.groupBy("file_path", "d", "q").agg(
+        F.sum("lines").alias("n_lines"), F.max_by(F.struct("n", "lines"), F.struct("lines", "n")).alias("mode"),
+        *[F.max(c).alias(c) for c in ("bom", "bad", "latin")])
+    share = F.when(F.col("mode.n") > 0, F.col("mode.lines") / F.col("n_lines")).otherwise(0.0)
+    score = F.struct((share >= ALIKE).alias("alike"), F.when(share >= ALIKE, F.col("mode.n")).otherwise(0).alias("n"),
+                     share.alias("share"), F.col("mode.n").alias("mode"), (-F.col("d")).alias("d"), (-F.col("q")).alias("q"))
+    best = rated.groupBy("file_path").agg(F.max(score).alias("s"), F.first("n_lines").alias("n_lines"),
+                                          *[F.max(c).alias(c) for c in ("bom", "bad", "latin")])
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), F.when(F.col("s.share") > 0, -at).otherwise(0))
+    enc = (F.when(F.col("bom"), F.lit("utf-8-sig")).when(F.col("latin"), F.lit("latin1"))
+           .when(F.col("bad"), F.lit("cp1252")).otherwise(F.lit("utf-8")))
+    return best.select("file_path", pick(DELIMITERS, F.col("s.d")).alias("delimiter"), enc.alias("encoding"), "n_lines",
+                       pick(QUOTES, F.col("s.q")).alias("quote"), F.col("s.share").alias("share"))
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:

@@ -24,13 +24,13 @@ from fieldmill.session import stable
 SPLIT = ["_src_file", "_src_block"]
 
 
-def _open_after(value: Column, sep: str, inside: bool) -> Column:
+def _open_after(value: Column, sep: str, inside: bool, quote: str) -> Column:
     """Whether a line that begins inside (or outside) a quoted cell ends inside
     one.  A cell is quoted if it begins with a quote; quotes elsewhere in an
     unquoted cell are text."""
-    odd = lambda piece: (F.length(piece) - F.length(F.replace(piece, F.lit('"'), F.lit("")))) % 2 == 1
+    odd = lambda piece: (F.length(piece) - F.length(F.replace(piece, F.lit(quote), F.lit("")))) % 2 == 1
     return F.aggregate(F.split(value, re.escape(sep)), F.lit(inside),
-                       lambda state, piece: odd(piece) & ~state & piece.startswith('"') | state & ~odd(piece))
+                       lambda state, piece: odd(piece) & ~state & piece.startswith(quote) | state & ~odd(piece))
 
 
 def read_text(spark: SparkSession, path: str, charset: str) -> DataFrame:
@@ -39,11 +39,11 @@ def read_text(spark: SparkSession, path: str, charset: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_src_pos"), "value")
 
 
-def survey(spark: SparkSession, path: str, sep: str, charset: str) -> DataFrame:
+def survey(spark: SparkSession, path: str, sep: str, charset: str, quote: str = '"') -> DataFrame:
     """One row per file, from one pass over its lines: its header line (the
     first that is not blank) and whether any line ends inside a quoted cell."""
     lines = read_text(spark, path, charset).where(F.length(F.trim("value")) > 0)
-    breaks = F.when(F.instr("value", '"') > 0, _open_after(F.col("value"), sep, False)).otherwise(False)
+    breaks = F.when(F.instr("value", quote) > 0, _open_after(F.col("value"), sep, False, quote)).otherwise(False)
     return lines.groupBy("_src_file").agg(
         F.min_by("value", F.struct("_src_block", "_src_pos")).alias("header"), F.max(breaks).alias("breaks"))
 
@@ -59,10 +59,10 @@ def _state_after(group: Window, *flags: str) -> tuple[Column, Column, Column]:
     return last.isNotNull(), last.isNotNull() & (last["v"] != over), last.isNull() & over
 
 
-def split_states(lines: DataFrame, sep: str) -> DataFrame:
+def split_states(lines: DataFrame, sep: str, quote: str) -> DataFrame:
     """(file, split) of the splits that begin inside a quoted cell."""
-    quoted = lines.where(F.instr("value", '"') > 0).select(
-        *SPLIT, "_src_pos", _open_after(F.col("value"), sep, False).alias("o"), _open_after(F.col("value"), sep, True).alias("i"))
+    quoted = lines.where(F.instr("value", quote) > 0).select(
+        *SPLIT, "_src_pos", _open_after(F.col("value"), sep, False, quote).alias("o"), _open_after(F.col("value"), sep, True, quote).alias("i"))
     # (o, i): end state after a beginning outside, inside; (false, true) changes nothing
     quoted = quoted.where("o or not i").select(*SPLIT, "_src_pos", (F.col("o") == F.col("i")).alias("f"),
                                                F.col("o").alias("v"), (F.col("o") & ~F.col("i")).alias("t"))
@@ -120,7 +120,7 @@ def _assemble(batches):
                                                            ("_src_pos", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
 
 
-def whole_records(spark: SparkSession, path: str, sep: str, charset: str) -> DataFrame:
+def whole_records(spark: SparkSession, path: str, sep: str, charset: str, quote: str = '"') -> DataFrame:
     """(``_src_file``, ``_src_block``, ``_src_pos``, value): one row per record
     that is not blank, header records included; a line break inside a quoted
     cell is ``\\n``.  Lines are materialised once in the shared checkpoint
@@ -129,15 +129,15 @@ def whole_records(spark: SparkSession, path: str, sep: str, charset: str) -> Dat
     the rest of its file one record.
     """
     lines = stable(read_text(spark, path, charset))
-    inside = stable(split_states(lines, sep))
-    has = F.instr("value", '"') > 0
+    inside = stable(split_states(lines, sep, quote))
+    has = F.instr("value", quote) > 0
     n = inside.count()
     told = lines.join(held(inside, n), SPLIT, "left")
     if n > MOST_HELD:  # joined by shuffle: back to whole splits in order
         told = told.repartition(*SPLIT).sortWithinPartitions(*SPLIT, "_src_pos")
     told = told.select(
-        *SPLIT, "_src_pos", "value", F.when(has, _open_after(F.col("value"), sep, False)).alias("o"),
-        F.when(has, _open_after(F.col("value"), sep, True)).alias("i"), "inside")
+        *SPLIT, "_src_pos", "value", F.when(has, _open_after(F.col("value"), sep, False, quote)).alias("o"),
+        F.when(has, _open_after(F.col("value"), sep, True, quote)).alias("i"), "inside")
     pieces = stable(told.mapInArrow(_assemble, _PIECES))
     cut = pieces.where("kind <> 'whole'")
     # pieces follow their ``begin``; there are at most two per split

@@ -263,3 +263,31 @@ class TestLineBreaks:
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         assert got[:3] == [("0", "a"), ("1", cell), ("2", "b")] and got[3][0] == "3"
+
+
+class TestDialectOfFlawedFiles:
+    def _of(self, spark, folder, name, lines, encoding="utf-8"):
+        _write(os.path.join(folder, name), lines, encoding)
+        r = delimited.detect_dialect(spark, os.path.join(folder, name)).first()
+        return r.delimiter, r.quote, r.encoding, r.n_lines
+
+    def test_golden(self, spark, tmpdir_new):
+        of = lambda *a: self._of(spark, tmpdir_new, *a)
+        body = [f"{i};Name, {i};x" for i in range(40)]
+        assert of("title.csv", ["Export of 1 May, 2020", "", "id;name;x", *body]) == (";", '"', "utf-8", 42)
+        assert of("broken.csv", ["id;name;x", *body, "1;2;3;4;5", "cut off"]) == (";", '"', "utf-8", 43)
+        assert of("single.csv", ["id,name,x", *[f"{i},'a, b{i % 3 * ', c'}',y" for i in range(30)]]) == (",", "'", "utf-8", 31)
+        assert of("apostrophe.csv", ["id;name", *[f"{i};O'Neill;{i}" for i in range(20)]])[:2] == (";", '"')
+        assert of("quoted.csv", ["id\tname", *[f'{i}\t"a\t{"b" * (i % 4)}{chr(9) * (i % 3)}"' for i in range(20)]])[:2] == ("\t", '"')
+        assert of("one.csv", ["name", "a", "b"]) == (";", '"', "utf-8", 3)
+        assert of("umlaut.csv", ["a|b", *["M\u00fc|1"] * 9], "cp1252") == ("|", '"', "cp1252", 10)
+
+    def test_a_broken_line_among_many(self, spark, tmpdir_new):
+        assert self._of(spark, tmpdir_new, "big.csv", ["a|b|c"] + ["1,5|2|3"] * 20000 + ["|"])[0] == "|"
+
+    def test_read_with_the_quote_found(self, spark, tmpdir_new):
+        path = os.path.join(tmpdir_new, "s.csv")
+        _write(path, ["id;name", "1;'a;b'", "2;'x", "y'", "3;\"z\"", "4;'it''s'", "5;'q';long"])
+        d = delimited.detect_dialect(spark, path).first()
+        rows = delimited.read_delimited(spark, path, sep=d.delimiter, quote="'").collect()
+        assert sorted(map(tuple, rows)) == [("1", "a;b"), ("2", "x\ny"), ("3", '"z"'), ("4", "it's")]
