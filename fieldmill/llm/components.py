@@ -42,3 +42,17 @@ def connected(edges: DataFrame) -> DataFrame:
                              "edges")
         scratch.drop(near, jump, old_label, old_live)
     return label
+
+
+def components_of(scratch: Scratch, rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(c, component): for every class (``node``) that is linked, the smallest
+    row id reachable.  ``rows`` (id, digest) belong to ``classes`` (digest,
+    node, class: its smallest id); ``links`` (a, b) are between nodes.  Classes
+    that share an id are linked through it."""
+    ids = rows.select("id", "digest").join(classes.select("digest", "node"), "digest").select("id", "node").distinct()
+    shared = ids.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    through = ids.join(shared.select("id", "a"), "id").select("a", F.col("node").alias("b"))
+    found = scratch.write(connected(links.select("a", "b").union(through).where("a <> b")), "components")
+    named = found.join(classes.select(F.col("node").alias("id"), "class"), "id")
+    least = named.groupBy("component").agg(F.min("class").alias("least"))
+    return found.join(least, "component").select(F.col("id").alias("c"), F.col("least").alias("component"))

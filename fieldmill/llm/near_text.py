@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix, slices, windows
-from .components import connected
+from .components import components_of, connected
 from .shared import Scratch, table
 
 MINIMA, ROWS, BITS = 96, 4, 8
@@ -182,9 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links, itself included.
     Null and empty texts have no shingles and link with nothing; fewer words
     than ``shingle`` make one shingle of them all; a repeated id is one
-    document for linking, each of its rows is returned, and of different texts
-    under one id the one with the smallest set digest is compared (equal sets
-    always link); a null id links with
+    document, each of its rows is returned and each of its texts can link it
+    (equal sets always link); a null id links with
     nothing, has a null component and is kept; an empty table gives no rows.
     Other columns of ``docs`` are not read.
     """
@@ -193,10 +192,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sigs = scratch.write(texts.mapInArrow(
         _signatures(shingle), "id long, n long, digest binary, sig binary, bands array<long>"), "signatures")
-    classes = scratch.write(sigs.where("digest is not null and id is not null").groupBy("digest")
-                            .agg(F.min("id").alias("class")), "classes")
-    reps = sigs.join(classes, (sigs.id == classes["class"]) & (sigs.digest == classes.digest), "left_semi") \
-        .groupBy("id").agg(F.min(F.struct("digest", "sig", "bands")).alias("one")).select("id", "one.*")
+    usable = sigs.where("digest is not null and id is not null")
+    # a class: the rows of equal sets; numbered once, since several may share their smallest id.
+    # From here to the components, ids are those numbers
+    classes = scratch.write(usable.groupBy("digest").agg(F.min("id").alias("class"))
+                            .withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = sigs.withColumnRenamed("id", "class").join(classes, ["class", "digest"]) \
+        .select(F.col("node").alias("id"), "class", "digest", "sig", "bands").dropDuplicates(["id"])
     reps = scratch.write(reps, "representatives")
 
     keyed = reps.select("id", F.explode("bands").alias("key"))
@@ -211,10 +213,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           .distinct(), "stars")
 
     # the full sets of every document that shares a bucket, computed once
-    wanted = members.select("id").distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(
+    wanted = reps.select("id", "class", "digest").join(members.select("id").distinct(), "id", "left_semi")
+    sets = texts.join(wanted.select(F.col("class").alias("id")).distinct(), "id", "left_semi").mapInArrow(
         _set_rows(shingle), "id long, digest binary, shingles binary")
-    sets = scratch.write(sets.join(reps.select("id", "digest"), ["id", "digest"], "left_semi")
+    sets = scratch.write(sets.withColumnRenamed("id", "class").join(wanted, ["class", "digest"])
                          .dropDuplicates(["id"]).select("id", "shingles"), "sets")
     links = _links_of_stars(stars, reps, sets, percent)
     links = scratch.write(links, "star-links")
@@ -231,16 +233,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1))) \
         .select("key", "id", "component", "chunk", F.least("chunk", "other").alias("ci"),
                 F.greatest("chunk", "other").alias("cj"))
-    blocks = blocks.join(reps.drop("digest"), "id").join(sets, "id")
+    blocks = blocks.join(reps.drop("digest", "class"), "id").join(sets, "id")
     more = scratch.write(blocks.groupBy("key", "ci", "cj").applyInArrow(_scan(percent), "a long, b long"),
                          "block-links")
-    component = connected(links.union(more))
+    component = components_of(scratch, usable, classes, links.union(more))
     scratch.drop(members, sets, reps)
 
     rows = sigs.select(F.col("id"), F.col("n"), F.col("digest")) \
         .join(classes.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"), "left") \
-        .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class")) \
-        .join(component.withColumnRenamed("id", "c"), F.col("class") == F.col("c"), "left") \
+        .select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class"),
+                F.when(F.col("id").isNotNull(), F.col("node")).alias("node")) \
+        .join(component, F.col("node") == F.col("c"), "left") \
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                 F.coalesce("component", "class").alias("component_id"))
     return rows.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

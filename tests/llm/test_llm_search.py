@@ -12,7 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from fieldmill.llm import divergence, html_text, lexical, queries, suffixes, token_files
+from fieldmill.llm import divergence, html_text, lexical, near_text, near_vectors, queries, suffixes, token_files
 
 CLASH = "term string, shard string, part int, n long, rank int, score long, value string, salt int, kind string"
 CLASH_ROW = ("t", "s", 1, 2, 3, 4, "v", 5, "k")
@@ -288,3 +288,22 @@ def test_importance_from_its_definition(spark):
     df = spark.createDataFrame(pages, "host long, html string")
     got = {(r.host, r.path): (r.pages, round(r.importance, 9)) for r in html_text.style_tree(df).collect()}
     assert {(h, p - 0): v for (h, p), v in _importance(pages).items()} == got
+
+
+def test_several_texts_under_one_id(spark):
+    rnd = random.Random(8)
+    w, x = (" ".join(rnd.choice(["ab", "cd", "ef", "gh", "ij"]) + str(i) for i in range(60)) for _ in range(2))
+    rows = [(1, w), (5, w + " q"), (5, x), (6, x + " r"), (7, "other words stand in this text alone"), (7, "one more"), (8, None), (8, w)]
+    got = near_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    root = {r.doc_id: set() for r in got}
+    for r in got:
+        root[r.doc_id].add(r.component_id)
+    assert root == {1: {1}, 5: {1}, 6: {1}, 7: {7}, 8: {8, 1}} and len(got) == len(rows)
+
+
+def test_several_vectors_under_one_id(spark):
+    e0, e1, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.1]
+    rows = [(1, e0, 0), (1, e1, 0), (2, e0, 0), (3, near, 0), (4, near, 0), (9, [0.0, 0.0, 1.0], 0), (9, [0.0, 0.0, 2.0], 0)]
+    got = near_vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [
+        (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (9, 1, 9), (9, 1, 9)]
