@@ -281,7 +281,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     parts = n_parts(size, each=4 << 20)
     names = [f"carried_{i}" for i in range(len(carry))]
     docs = docs.select(
-        F.pmod(F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.lit(0)), F.lit(parts)).alias("part"),
+        # rows without id concern nobody else: spread by their text
+        F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(F.col(id_col).cast("long"))),
+               F.lit(parts)).alias("part"),
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
         *[docs[c].alias(n) for c, n in zip(carry, names)])
     plain = docs.select("part", "id", "text").groupBy("part")

@@ -12,7 +12,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from fieldmill.llm import divergence, html_text, lexical, near_text, near_vectors, queries, suffixes, token_files
+import corpus_pipeline
+from fieldmill.llm import divergence, html_text, lexical, near_text, near_vectors, queries, substrings, suffixes, token_files
 
 CLASH = "term string, shard string, part int, n long, rank int, score long, value string, salt int, kind string"
 CLASH_ROW = ("t", "s", 1, 2, 3, 4, "v", 5, "k")
@@ -307,3 +308,21 @@ def test_several_vectors_under_one_id(spark):
     got = near_vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [
         (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (9, 1, 9), (9, 1, 9)]
+
+
+def test_stages_with_clashing_names(spark):
+    """Columns named like those that the operators make pass through."""
+    rows = [(i, f"words of text {i} " * 30, "s", i, "k", 2, "m", "c") for i in range(20)] + [(None, None, None, 1, "k", 2, "m", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words long, kept_text string, mix_takes int, "
+                                       "mix_source string, carried_0 string")
+    for stage in (corpus_pipeline.substring_dedup, corpus_pipeline.mix_sources):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 15
+        kept = {tuple(r)[3:] for r in out.collect()}
+        assert kept <= {r[3:] for r in rows}
+
+
+def test_rows_without_id_are_spread(spark):
+    rows = [(None, f"text {i} " * 20) for i in range(2000)]
+    out = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 2000 and {r.n_removed for r in out} == {0}
