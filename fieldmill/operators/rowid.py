@@ -31,9 +31,9 @@ def with_row_index(df: DataFrame, order_by=None, name: str = "_row", fan: int =
     tagged = stable(df.withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_mid"), _POS_BITS)
     counts = stable(tagged.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n")))
-    offsets = with_start(counts, ["_pid"], "_n", "_off", fan).drop("_n")
+    offsets = stable(with_start(counts, ["_pid"], "_n", "_off", fan).drop("_n"))
     pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
     return (tagged.withColumn("_pid", part)
-            .join(held(offsets, counts.count()), "_pid")
+            .join(held(offsets, offsets.count()), "_pid")
             .withColumn(name, (F.col("_off") + pos).cast("long"))
             .drop("_pid", "_off", "_mid"))

@@ -187,8 +187,8 @@ def with_file_row_index(df: DataFrame, name: str = "_row", fan: int = FAN) -> Da
         F.min("_src_pos").alias("_first"), F.max("_src_pos").alias("_last"), F.count(F.lit(1)).alias("_n")))
     if not splits.where("_last - _first + 1 <> _n").isEmpty():
         return with_row_index(df, FILE_ORDER_COLS, name, fan).drop(*FILE_ORDER_COLS)
-    off = with_start(splits.drop("_last"), ["_src_file", "_src_block"], "_n", "_off", fan).drop("_n")
-    out = df.join(held(off, splits.count()), ["_src_file", "_src_block"], "left")
+    off = stable(with_start(splits.drop("_last"), ["_src_file", "_src_block"], "_n", "_off", fan).drop("_n"))
+    out = df.join(held(off, off.count()), ["_src_file", "_src_block"], "left")
     start = F.coalesce("_off", F.raise_error(F.lit("a file split has no row offset")).cast("long"))
     out = out.withColumn(name, (start + F.col("_src_pos") - F.col("_first")).cast("long"))
     return out.drop(*FILE_ORDER_COLS, "_first", "_off")
