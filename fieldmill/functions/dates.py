@@ -3,8 +3,9 @@
 Accepted shapes (optional ``[ T]hh:mm[:ss[.f]]`` suffix is cut first):
 ``d.M.yyyy`` and ``d.M.yy`` (day first), ``yyyy/M/d``, ``yyyy-M-d``,
 ``yyyyMMdd`` and ``M/d/yyyy`` (month first unless the first number exceeds
-12).  Two-digit years pivot at 69: 69-99 -> 19xx, 00-68 -> 20xx.  Text that
-is already ``dddd-dd-dd`` is returned unchanged; unparsable text is returned
+12).  Other text goes through the grammar of ``datewords.py`` (month names,
+weekdays, zones, other separators).  Two-digit years pivot at 69: 69-99 ->
+19xx, 00-68 -> 20xx.  Text that is already ``dddd-dd-dd`` is returned unchanged; unparsable text is returned
 trimmed; empties become null (or the fallback).  ``day_first=False`` reads
 dotted dates month first unless the first number exceeds 12.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmill.functions import datewords
 from fieldmill.functions.text import col_of, is_empty_token, qcol, utrim
 
 _T = r"(?:[ T][0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?)?"
@@ -72,8 +74,12 @@ def _stages(src: Column, p: str, fallback: str | None, day_first: bool = True) -
         {p + "iso": F.when(c("code").isNotNull(), F.concat_ws(
             "-", F.lpad(c("y").cast("string"), 4, "0"), F.lpad(c("m").cast("string"), 2, "0"),
             F.lpad(c("d").cast("string"), 2, "0")))},
+        # what is of no plain shape; null text passes the grammar's stages unread
+        {p + "w_text": F.when(c("code").isNull() & ~c("empty") & (c("sig") != "9999-99-99"), c("v"))},
+        *[{p + "w_" + k: f(lambda n: c("w_" + n)) for k, f in stage.items()} for stage in datewords.stages(day_first)],
         {p + "out": F.when(~c("empty"), F.when(c("sig") == "9999-99-99", c("v"))
-                           .when(F.try_to_date(c("iso"), "yyyy-MM-dd").isNotNull(), c("iso")).otherwise(c("v")))},
+                           .when(F.try_to_date(c("iso"), "yyyy-MM-dd").isNotNull(), c("iso"))
+                           .otherwise(F.coalesce(c("w_spelled"), c("v"))))},
     ]
 
 
@@ -102,8 +108,10 @@ def format_date(c, fallback: str | None = None, day_first: bool = True) -> Colum
     for pat, rep in (_CHAIN if day_first else _MONTH_FIRST + _CHAIN):
         r = F.regexp_replace(r, pat, rep)
     iso = F.when(r.startswith("D:"), F.substring(r, 3, 10))
+    plain = r.startswith("D:") | v.rlike(ISO)
     pick = F.when(v.rlike(ISO), F.lit(1)).when(F.try_to_date(iso, "yyyy-MM-dd").isNotNull(), F.lit(2)).otherwise(F.lit(1))
-    return F.when(~empty, F.element_at(F.array(v, iso), pick))
+    spelled = datewords.spelled(F.when(~plain & ~empty, v), day_first)
+    return F.when(~empty, F.coalesce(spelled, F.element_at(F.array(v, iso), pick)))
 
 
 # Each accepted shape rewritten to ``D:yyyy-M-d``; rewritten text matches no

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.functions import checks, text
-from fieldmill.functions.dates import ISO
+from fieldmill.functions import checks, datewords, text
+from fieldmill.functions.dates import ISO, with_format_date
 from fieldmill.functions.text import is_empty_token, qcol, utrim
 
 
@@ -193,6 +193,25 @@ def date_unparsed(df: DataFrame, date_cols: list[str], row_col: str = "_row") ->
     return _explode_cells(df, row_col, cells, "target_col: string, original_val: string, issue: string")
 
 
+def date_ambiguous(df: DataFrame, columns: list[tuple[str, str]], row_col: str = "_row",
+                   day_first: bool = True) -> DataFrame:
+    """Cells of (target, source) date columns whose day and month could change
+    places: the text, how the projection reads it and the other reading.
+    Nulls, blanks, year-first dates, month names and equal numbers are clear."""
+    cells = []
+    for t, s in columns:
+        read = f"_da_{t}"
+        df = with_format_date(df.withColumn(f"_dv_{t}", text.clean_by_kind(qcol(s), t)), qcol(f"_dv_{t}"), read,
+                              day_first=day_first)
+        iso = qcol(read)
+        other = F.concat(F.substring(iso, 1, 5), F.substring(iso, 9, 2), F.lit("-"), F.substring(iso, 6, 2))
+        cells.append(F.when(datewords.ambiguous(text.utrim(qcol(f"_dv_{t}"))) & iso.rlike(ISO), F.struct(
+            F.lit(t).alias("target_col"), qcol(s).alias("original_val"), iso.alias("read_as"),
+            other.alias("other_reading"), F.lit("date_ambiguous").alias("issue"))))
+    return _explode_cells(df, row_col, cells, "target_col: string, original_val: string, read_as: string, "
+                                              "other_reading: string, issue: string")
+
+
 def issue_summary(findings: DataFrame, by: list[str]) -> DataFrame:
     """Counts per issue group (map-side partial aggregation, tiny output)."""
     return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

@@ -98,6 +98,42 @@ def q_format_date(spark, sf):
     return dates.with_format_date(o, "date_in", "date_out").select("o_orderkey", "date_in", "date_out")
 
 
+_SPELLED = """CASE o_orderkey % 8
+  WHEN 0 THEN {day} || '. ' || {german} || ' ' || {year} WHEN 1 THEN {month} || ' ' || {day} || ', ' || {year}
+  WHEN 2 THEN {day} || '-' || upper({short}) || '-' || {year} WHEN 3 THEN {weekday} || ', ' || {day} || ' ' || {month} || ' ' || {year}
+  WHEN 4 THEN {day} || '-' || {number} || '-' || {year} WHEN 5 THEN {year} || '.' || {number} || '.' || {day}
+  WHEN 6 THEN {day} || '. ' || {short} || ' ' || substr({year}, 3) || ' 10:30 Uhr'
+  ELSE 'im ' || {german} || ' ' || {year} END"""
+_GERMAN = "CASE month(o_orderdate) " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(
+    ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November",
+     "Dezember"], 1)) + " END"
+_PARTS = {"day": "cast(day(o_orderdate) as varchar(2))", "number": "cast(month(o_orderdate) as varchar(2))",
+          "year": "cast(year(o_orderdate) as varchar(4))", "german": f"({_GERMAN})"}
+_SPELLED_SPARK = _SPELLED.format(month="date_format(o_orderdate, 'MMMM')", short="date_format(o_orderdate, 'MMM')",
+                                 weekday="date_format(o_orderdate, 'EEEE')", **_PARTS)
+_SPELLED_DUCK = _SPELLED.format(month="strftime(o_orderdate, '%B')", short="strftime(o_orderdate, '%b')",
+                                weekday="strftime(o_orderdate, '%A')", **_PARTS)
+
+
+@query("format_date_spelled", f"""
+SELECT o_orderkey, date_in, {O.spelled_date('date_in')} AS date_out
+FROM (SELECT o_orderkey, {_SPELLED_DUCK} AS date_in FROM orders)""")
+def q_format_date_spelled(spark, sf):
+    o = I.derived(spark, sf, f"SELECT o_orderkey, {_SPELLED_SPARK} AS date_in FROM orders", ["orders"])
+    return dates.with_format_date(o, "date_in", "date_out").select("o_orderkey", "date_in", "date_out")
+
+
+@query("ambiguous_dates", f"""
+SELECT o_orderkey AS row_idx, date_in AS original_val,
+  strftime(o_orderdate, '%Y-%m-%d') AS read_as, strftime(o_orderdate, '%Y-%d-%m') AS other_reading
+FROM (SELECT o_orderkey, o_orderdate, {_DATE_IN_DUCK} AS date_in FROM orders)
+WHERE o_orderkey % 7 IN (0, 3, 5) AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)""")
+def q_ambiguous_dates(spark, sf):
+    o = I.derived(spark, sf, f"SELECT o_orderkey, {_DATE_IN_SPARK} AS date_in FROM orders", ["orders"])
+    found = findings.date_ambiguous(o, [("p_birth", "date_in")], "o_orderkey")
+    return found.select("row_idx", "original_val", "read_as", "other_reading")
+
+
 @query("default_value", f"""
 SELECT k, seg, CASE WHEN seg IS NULL OR {O.utrim('seg')} IN ('', 'nan', 'null', 'None') THEN 'Unbekannt'
   ELSE seg END AS seg_out FROM {P}""")

@@ -203,5 +203,20 @@ def format_date(x: str) -> str:
             f"WHEN {y} IS NOT NULL AND try_strptime({iso}, '%Y-%m-%d') IS NOT NULL THEN {iso} ELSE {v} END)")
 
 
+def spelled_date(x: str) -> str:
+    """Spelled dates by list: German month names become English ones and the
+    day's name is cut, then the first of these formats that fits decides."""
+    words = [("Januar", "January"), ("Februar", "February"), ("März", "March"), ("Mai", "May"), ("Juni", "June"),
+             ("Juli", "July"), ("Oktober", "October"), ("Dezember", "December")]
+    v = f"regexp_replace({utrim(x)}, '^[A-Za-z]+day, ', '')"
+    for german, english in words:
+        v = f"regexp_replace({v}, '\\b{german}\\b', '{english}')"
+    v = f"regexp_replace({v}, ' [0-9]+:[0-9]+ Uhr$', '')"
+    # two-digit years first: %Y would read 95 as the year 95
+    formats = ["%d. %b %y", "%d. %B %Y", "%B %d, %Y", "%d-%b-%Y", "%d %B %Y", "%d-%m-%Y", "%Y.%m.%d"]
+    tries = ", ".join(f"try_strptime({v}, '{f}')" for f in formats)
+    return f"coalesce(strftime(coalesce({tries}), '%Y-%m-%d'), {utrim(x)})"
+
+
 def seq6(row: str) -> str:
     return f"printf('%06d', ({row}) + 1)"

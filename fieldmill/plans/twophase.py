@@ -102,6 +102,8 @@ def phase_a(job: Job, split_mode: str = "export",
         "invalid": invalid,
         "length": length,
         "dates": findings.date_unparsed(projected, job.date_columns(), job.row_col),
+        "dates_ambiguous": findings.date_ambiguous(src, [(t, job.spec.source(t)) for t in job.date_columns()],
+                                                   job.row_col, job.day_first),
         "invalid_summary": findings.issue_summary(invalid, ["target_col", "rule_type", "issue"]),
         "length_summary": findings.issue_summary(length, ["col_name"]),
     }
