@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmill.functions import checks, dates, keys, text
+from fieldmill.functions import checks, dates, keys, mail, text
 from fieldmill.operators import extras, findings, lookups, mapping, resolve
 from fieldmill.operators.findings import Checked
 from fieldmill.operators import similar
@@ -261,6 +261,22 @@ def q_validate_email(spark, sf):
     return _persons(spark, sf).select("k", "mail", checks.validate_email("mail").cast("int").alias("mail_valid"))
 
 
+# label as written, its ASCII form (null: the address is not valid)
+_WIRE = [("müller.de", "xn--mller-kva.de"), ("BÜCHER.example", "xn--bcher-kva.example"), ("straße.de", "xn--strae-oqa.de"),
+         ("例え。テスト", "xn--r8jz45g.xn--zckzah"), ("Mail.Example.ORG", "mail.example.org"), ("ü..de", None), ("-ü.de", None),
+         ("ü", None)]
+_MAIL_IN = "replace(lower(c_name), '#', '.') || '@' || CASE c_custkey % 8 " + " ".join(
+    f"WHEN {i} THEN '{w}'" for i, (w, _) in enumerate(_WIRE)) + " END"
+_MAIL_OUT = "CASE c_custkey % 8 " + " ".join(
+    f"WHEN {i} THEN replace(lower(c_name), '#', '.') || '@{a}'" for i, (_, a) in enumerate(_WIRE) if a) + " END"
+
+
+@query("email_ascii", f"SELECT c_custkey AS k, {_MAIL_IN} AS mail, {_MAIL_OUT} AS mail_ascii FROM customer")
+def q_email_ascii(spark, sf):
+    c = I.derived(spark, sf, f"SELECT c_custkey AS k, {_MAIL_IN} AS mail FROM customer", ["customer"])
+    return c.select("k", "mail", mail.email_ascii("mail").alias("mail_ascii"))
+
+
 _CHECKED = [("p_vnr", "kv", "validate_kvnr"), ("p_ik", "ik", "validate_ik"), ("p_email", "mail", "validate_email")]
 _KV_C = O.kvnr_clean("kv")
 _KV_OK = O.kvnr_ok(O.kvnr_value(_KV_C))
