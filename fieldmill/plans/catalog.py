@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmill.functions import checks, dates, keys, mail, text
-from fieldmill.operators import extras, findings, lookups, mapping, resolve
+from fieldmill.operators import claims, extras, findings, lookups, mapping, resolve
 from fieldmill.operators.findings import Checked
 from fieldmill.operators import similar
 from fieldmill.operators.rowid import with_row_index
@@ -23,6 +23,7 @@ from fieldmill.plans.spec import MappingSpec, Rule, default_rules
 from fieldmill.schemas import LAYOUTS, limits
 from fieldmill.session import scratch_path
 from fieldmill.sources import delimited, dims, sinks
+from fieldmill.streaming import sequence_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -378,6 +379,29 @@ def q_generate_uid(spark, sf):
                  F.sum(F.col("uid").rlike(keys.UID_SHAPE).cast("long")).cast("long").alias("n_shape"))
 
 
+@query("generate_uid_claimed", "SELECT 2 * count(*) AS n, 2 * count(*) AS n_distinct FROM orders")
+def q_generate_uid_claimed(spark, sf):
+    """Two jobs of one clock reading over all orders: no id twice."""
+    o = with_row_index(_table(spark, sf, "orders").select("o_orderkey"), order_by=["o_orderkey"])
+    folder, n = scratch_path(spark, "uids"), o.count()
+    first, second = (claims.claim_base(spark, n, folder=folder, now_ms=1_700_000_000_000) for _ in range(2))
+    u = o.select(keys.generate_uid("_row", first).alias("uid")).union(o.select(keys.generate_uid("_row", second)))
+    return u.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("n_distinct"))
+
+
+@query("auto_sequence_stream", """
+SELECT o_orderkey, CASE WHEN existing IS NULL THEN printf('%06d', rn) ELSE existing END AS id
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'K' || o_custkey END AS existing,
+        row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders)""")
+def q_auto_sequence_stream(spark, sf):
+    # a pattern, since a stream takes no single file by its name
+    o = spark.readStream.schema(_table(spark, sf, "orders").schema).parquet(f"{sf}/orders.parque[t]") \
+        .selectExpr("o_orderkey", "CASE WHEN o_orderkey % 5 = 0 THEN 'K' || o_custkey END AS existing")
+    out = scratch_path(spark, "sequence")
+    sequence_stream.run_sequence(o, out, out.rsplit("/", 1)[-1], ["o_orderkey"], "existing")
+    return spark.read.parquet(out).select("o_orderkey", "id")
+
+
 # ================================================================= lookups
 
 _PL = f"({I.POSTCODE_LINES})"

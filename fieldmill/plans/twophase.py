@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import os
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldmill.functions.text import qcol
-from fieldmill.operators import extras, findings, mapping, resolve
+from fieldmill.operators import claims, extras, findings, mapping, resolve
 from fieldmill.operators.findings import Checked
 from fieldmill.plans.spec import MappingSpec
 from fieldmill.schemas import limits, parse_limit
@@ -70,6 +70,15 @@ class Job:
                 and mapping.is_date_target(t, self.spec.rule(t)) and self.spec.rule(t).type in DATE_RULES]
 
 
+def claimed(job: Job, folder: str | None = None) -> Job:
+    """``job`` with uids that no other claimed job of the shared ``folder``
+    writes: counts the source's rows once and claims the milliseconds of its
+    row ids and of its extra fields' value ids."""
+    rows = job.source.count()
+    return replace(job, base_ms=claims.claim_base(job.source.sparkSession, rows, rows * len(job.extra_fields),
+                                                  folder, job.base_ms))
+
+
 RAW = "_raw_"
 
 
