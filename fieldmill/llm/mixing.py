@@ -5,7 +5,9 @@ its words takes the documents below a hash threshold.  To find it, words are
 summed by source and hash bucket (the top 10 bits), the bucket in which the
 source's budget runs out is split by the next 10 bits, and so on: only the
 documents of boundary buckets are looked at again, nothing is sorted, and the
-thresholds are nested (a larger budget takes a superset).
+thresholds are nested (a larger budget takes a superset).  Rows of one id and
+text have one hash; where the budget runs out among them, they are numbered
+and as many are taken as come nearest to it.
 """
 
 from __future__ import annotations
@@ -62,9 +64,11 @@ def _maybe_small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SMALL_TABLE else df
 
 
-def plan(scratch: Scratch, sized: DataFrame, weights, share, most) -> tuple[DataFrame, int]:
-    """Per source: source_size, target, passes (whole takes of every document)
-    and below (hash threshold of one more take).  ``sized``: source, size, u."""
+def plan(scratch: Scratch, sized: DataFrame, weights, share, most) -> tuple[DataFrame, int, bool]:
+    """Per source: source_size, target, passes (whole takes of every document),
+    below (hash threshold of one more take), tied (rows of the hash ``below``
+    that are taken besides, null without such); the number of sources, and
+    whether any has tied rows.  ``sized``: source, size, u."""
     goal = targets(scratch, sized, weights, share, most)
     goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                            .otherwise(0).cast("long")) \
@@ -86,17 +90,40 @@ def plan(scratch: Scratch, sized: DataFrame, weights, share, most) -> tuple[Data
             "bucket").alias("at"))
         edge = scratch.write(over.select("s", F.col("at.bucket").alias("prefix"), F.col("at.left").alias("rest"),
                                          F.col("at.words").alias("words"), F.col("at.docs").alias("docs")), "edge")
-        if not edge.agg(F.max("docs")).first()[0] or edge.agg(F.max("docs")).first()[0] <= 1:
+        most_docs = edge.agg(F.max("docs")).first()[0] or 0
+        if most_docs <= 1:
             break
-    # the last bucket (one document, or equal hashes) goes to the nearer side
-    cut = F.shiftleft(F.col("prefix") + F.when(F.col("rest") * 2 >= F.col("words"), 1).otherwise(0).cast("long"), bits)
-    out = goal.join(_maybe_small(edge.select("s", cut.alias("below")), n), F.col("source").eqNullSafe(F.col("s")), "left")
+    # one document in the last bucket goes to the nearer side, of equal hashes as many as come nearest
+    nearer = F.when(F.col("rest") * 2 >= F.col("words"), 1).otherwise(0).cast("long")
+    several = F.col("docs") > 1
+    edge = edge.select("s", F.when(several, F.col("prefix")).otherwise(F.shiftleft(F.col("prefix") + nearer, bits))
+                       .alias("below"),
+                       F.when(several, F.floor(F.col("rest") * F.col("docs") / F.col("words") + 0.5)).alias("tied"))
+    out = goal.join(_maybe_small(edge, n), F.col("source").eqNullSafe(F.col("s")), "left")
     return scratch.write(out.select(
         F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"),
         F.col("target").alias("mix_target"), F.col("passes").alias("mix_passes"),
         # no boundary: the rest is at least what one more pass holds (or zero)
         F.coalesce("below", F.when(F.col("rest") > 0, 1 << (STEP * LEVELS)).otherwise(0)).cast("long")
-        .alias("mix_below")), "plan"), n
+        .alias("mix_below"), F.col("tied").alias("mix_tied")), "plan"), n, most_docs > 1
+
+
+def _numbered(scratch: Scratch, tied: DataFrame) -> DataFrame:
+    """``tied`` with mix_no, 0-based within mix_source.  The rows are written
+    once with their scan part; a part's rows are numbered by themselves, after
+    the counts of the parts before it, so that a source of any size is spread."""
+    tied = scratch.write(tied.withColumn("mix_part", F.spark_partition_id())
+                         .withColumn("mix_row", F.monotonically_increasing_id()), "tied")
+    counts = tied.groupBy("mix_source", "mix_part").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("mix_source").orderBy("mix_part")) - F.col("rows")
+    counts = scratch.write(counts.select(F.col("mix_source").alias("mix_s"), F.col("mix_part").alias("mix_p"),
+                                         before.alias("mix_before")), "tied_counts")
+    inside = F.row_number().over(Window.partitionBy("mix_source", "mix_part").orderBy("mix_row"))
+    return tied.withColumn("mix_no", inside - 1) \
+        .join(_maybe_small(counts, counts.count()),
+              F.col("mix_source").eqNullSafe(F.col("mix_s")) & (F.col("mix_part") == F.col("mix_p"))) \
+        .withColumn("mix_no", F.col("mix_no") + F.col("mix_before")) \
+        .drop("mix_s", "mix_p", "mix_before", "mix_part", "mix_row")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -106,8 +133,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     the document: at most ``most`` times, a whole number).
 
     Sources by code point, null last, weigh ``weights`` in turn.  A document's
-    hash is of its id and text, so null and repeated ids are spread, and rows
-    that repeat both are taken together.  Null and empty texts have size 0; a
+    hash is of its id and text, so null and repeated ids are spread.  Rows that
+    repeat both are taken together, but where the target falls among them: of
+    those the first in file order are taken.  Null and empty texts have size 0; a
     source of size 0 has target 0; an empty table gives no rows.  Columns of
     ``docs`` keep their names; those that begin with ``mix_`` are refused.
     """
@@ -118,11 +146,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - STEP * LEVELS)
     sized = scratch.write(docs.select(F.col(source_col).cast("string").alias("source"), size.alias("size"), u.alias("u")),
                           "sized")
-    takes, n = plan(scratch, sized, weights, share, most)
+    takes, n, ties = plan(scratch, sized, weights, share, most)
     out = docs.withColumn("mix_size", size).withColumn("mix_u", u).withColumn("mix_key", F.col(source_col).cast("string"))
-    return out.join(_maybe_small(takes, n), F.col("mix_key").eqNullSafe(F.col("mix_source"))) \
-        .withColumn("mix_takes", F.col("mix_passes") + (F.col("mix_u") < F.col("mix_below")).cast("long")) \
-        .drop("mix_u", "mix_key")
+    out = out.join(_maybe_small(takes, n), F.col("mix_key").eqNullSafe(F.col("mix_source"))) \
+        .withColumn("mix_takes", F.col("mix_passes") + (F.col("mix_u") < F.col("mix_below")).cast("long"))
+    if ties:
+        tied = F.col("mix_tied").isNotNull() & (F.col("mix_u") == F.col("mix_below"))
+        some = _numbered(scratch, out.where(tied)) \
+            .withColumn("mix_takes", F.col("mix_takes") + (F.col("mix_no") < F.col("mix_tied")).cast("long"))
+        out = out.where(~tied).unionByName(some.drop("mix_no"))
+    return out.drop("mix_u", "mix_key", "mix_tied")
 
 
 def op7_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

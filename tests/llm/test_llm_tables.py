@@ -176,6 +176,20 @@ def test_mix(spark):
         mixing.mixed(_docs(spark, rows).withColumn("mix_size", F.lit(1)))
 
 
+@pytest.mark.parametrize("ident", [None, 7])
+def test_mix_takes_some_of_equal_rows(spark, ident):
+    """Rows of one id and text: a source of them alone, one beside other rows, a null source."""
+    rows = [(ident, "ten words " * 5, "a")] * 400 + [(i, "w " * (i % 9), "b") for i in range(300)] + \
+        [(ident, "of null " * 3, None)] * 250 + [(1000 + i, "x y", None) for i in range(20)] + [(ident, None, "a")] * 3
+    got = mixing.mixed(_docs(spark, rows).repartition(7)).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
+    taken, target = Counter(), {r.source: r.mix_target for r in got}
+    for r in got:
+        assert 0 <= r.mix_takes <= 2
+        taken[r.source] += r.mix_size * r.mix_takes
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target)
+
+
 def test_url_rules(spark):
     cases = [("http://example.org/es/1", "example.org/es/", "block"), ("http://A.Example.ORG/es", "org/", "allow"),
              ("http://example.org/en/12?x", "example.org/en/1", "block"), ("http://x.com/fr/", "com/fr/", "allow"),
