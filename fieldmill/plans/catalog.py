@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmill.functions import checks, dates, keys, mail, text
-from fieldmill.operators import claims, extras, findings, lookups, mapping, resolve
+from fieldmill.operators import claims, extras, findings, lookups, mapping, resolve, upsert
 from fieldmill.operators.findings import Checked
 from fieldmill.operators import similar
 from fieldmill.operators.rowid import with_row_index
@@ -1015,3 +1015,27 @@ def q_write_mapped(spark, sf):
     layout = {"ext_id": "VARCHAR(40)", "name1": "VARCHAR(60)", "ort": "VARCHAR(60)"}
     sinks.write_mapped(I.derived(spark, sf, _WM_SRC, ["customer"]), path, layout)
     return spark.read.text(path).where(F.col("value") != ";".join(layout))
+
+
+# ===================================================================== upsert
+
+_UP_TABLE = """SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey END AS k, c_name AS name,
+  c_mktsegment AS segment, c_nationkey AS nation FROM customer"""
+_UP_CHANGES = """SELECT CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_custkey + 1000000
+  ELSE o_custkey END AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS segment,
+  o_orderstatus AS name, o_orderkey AS seq FROM orders"""
+
+
+@query("upsert_fields", f"""
+WITH t AS ({_UP_TABLE}), c AS ({_UP_CHANGES}),
+d AS (SELECT k, segment, name FROM c WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY seq DESC) = 1)
+SELECT t.k, t.name, coalesce(d.segment, t.segment) AS segment, t.nation FROM t LEFT JOIN d ON t.k = d.k
+UNION ALL SELECT k, name, segment, NULL FROM d WHERE k NOT IN (SELECT k FROM t WHERE k IS NOT NULL)
+UNION ALL SELECT k, name, segment, NULL FROM c WHERE k IS NULL""")
+def q_upsert_fields(spark, sf):
+    """The last order of each customer sets one field; orders of unknown customers are added."""
+    path = scratch_path(spark, "upsert")
+    upsert.create_table(I.derived(spark, sf, _UP_TABLE, ["customer"]), path, ["k"])
+    upsert.upsert_table(I.derived(spark, sf, _UP_CHANGES, ["orders"]), path, fields=["segment"], order_by=("seq",),
+                        keep_if_null=True)
+    return upsert.read_table(spark, path)
