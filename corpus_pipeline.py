@@ -52,8 +52,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice.
     Other columns may have any name.  Null sources are one source, the last;
-    null and empty texts have no words; rows that repeat id and text are taken
-    together."""
+    null and empty texts have no words; of rows that repeat id and text as many
+    are taken as come nearest the target."""
     held, rest = _private(docs, "doc_id", "text", "source")
     taken = mixing.mixed(held).where("mix_takes > 0")
     back = iter(rest)
