@@ -18,7 +18,8 @@ blocks, on the names as they are.
 No pair is scored that cannot reach the cutoff.  Pairs meet by length (an
 equi-join on the lengths that can reach it, or on a shared word); then the
 characters that two names have in common, counted with repeats, bound LCS and
-blocks alike.  What is left is scored in Arrow batches.
+blocks alike.  They are counted on bits, a few instructions a pair.  What is
+left is scored in Arrow batches.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ from fieldmill.session import stable
 # Weights of the views and the length ratios at which they change.
 WORDS, PART, SMALL_PART, LONGER, FAR_LONGER = 0.95, 0.9, 0.6, 1.5, 8.0
 _EPS = 1e-9
+# Bits of a text's characters: 96 codes by 4 repeats, in words of 64.  Others share these bits.
+CODES, REPEATS, BITS = 96, 4, 64
+MASKS = CODES * REPEATS // BITS
 
 
 def _common(a: str, b: str) -> int:
@@ -103,12 +107,18 @@ def weighted(a: str, b: str, least: float = 0.0) -> float:
         return best
     scale = PART if longer < FAR_LONGER * short else SMALL_PART
     best = WORDS * scale if shared else 0.0
-    if 2 * short / (short + longer) > max(best, least - _EPS):
-        best = max(best, _ratio(a, b))
-    if scale > max(best, least - _EPS):
-        best = max(best, scale * _stretch(a, b, max(best, least - _EPS) / scale))
-    if not shared and WORDS * scale > max(best, least - _EPS):
-        best = max(best, WORDS * scale * _stretch(" ".join(sorted(wa)), " ".join(sorted(wb)), max(best, least - _EPS) / (WORDS * scale)))
+    if scale <= max(best, least - _EPS) >= 2 * short / (short + longer):
+        return best
+    common = _common(a, b)
+    best = max(best, 2 * common / (short + longer))
+    # a stretch has no more in common than the whole text
+    if scale * 2 * common / (short + common) > (need := max(best, least - _EPS)) - _EPS:
+        best = max(best, scale * _stretch(a, b, need / scale))
+    if not shared and WORDS * scale > (need := max(best, least - _EPS)):
+        x, y = " ".join(sorted(wa)), " ".join(sorted(wb))
+        # of words sorted already it is the view above, weighted less
+        if (x, y) != (a, b) and WORDS * scale * 2 * (common := _common(x, y)) / (short + common) > need - _EPS:
+            best = max(best, WORDS * scale * _stretch(x, y, need / (WORDS * scale)))
     return best
 
 
@@ -131,6 +141,29 @@ def _characters(text: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
+def _masked(df: DataFrame, p: str) -> DataFrame:
+    """``_m<i><p>``: the numbered characters of ``_t<p>`` as bits; ``_x<p>``:
+    how many of them found their bit taken."""
+    def at(x):
+        code, nth = F.ascii(F.substring(x, 1, 1)), F.substring(x, 2, 9).cast("int")
+        return F.pmod(code - 32, F.lit(CODES)) + F.pmod(nth - 1, F.lit(REPEATS)) * CODES
+
+    def word(i):
+        here = F.filter("_at", lambda b: F.floor(b / BITS) == i)
+        return F.aggregate(here, F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), b % BITS)))
+    df = df.withColumn("_at", F.array_distinct(F.transform(_characters(F.col(f"_t{p}")), at)))
+    return df.withColumns({f"_m{i}{p}": word(i) for i in range(MASKS)}
+                          | {f"_x{p}": F.col(f"_l{p}") - F.size("_at")}).drop("_at")
+
+
+def _most_common() -> Column:
+    """Bound of the characters in common, from both texts' bits: the common
+    ones among those that found their bit taken are no more than either has."""
+    both = [F.bit_count(F.col(f"_m{i}q").bitwiseAND(F.col(f"_m{i}n"))) for i in range(MASKS)]
+    return sum(both[1:], both[0]) + F.least("_xq", "_xn")
+
+
 def _needs(cutoff: float, scorer: str, la: Column, lb: Column) -> Column:
     """Least common characters of two texts at or above ``cutoff``."""
     whole = (la + lb) * (cutoff / 2)
@@ -147,36 +180,38 @@ def _needs(cutoff: float, scorer: str, la: Column, lb: Column) -> Column:
 def close_pairs(queries: DataFrame, names: DataFrame, cutoff: float, scorer: str = "weighted",
                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """(query, line, name) rows that hold every pair at or above ``cutoff``,
-    with both lengths, the characters in common and whether a word is shared.
-    ``queries`` has ``_q``, ``names`` has line and name (distinct)."""
+    with both lengths and a bound of the characters in common.  ``queries`` has
+    ``_q``, ``names`` has line and name (distinct)."""
     def form(c: Column) -> Column:
         words = F.filter(F.split(F.lower(c), WS + "+"), lambda w: w != "")
         return F.array_join(words, " ") if scorer == "weighted" else c
 
     def described(df: DataFrame, text: str, p: str) -> DataFrame:
         df = df.withColumn(f"_t{p}", form(qcol(text))).withColumn(f"_l{p}", F.length(f"_t{p}"))
-        df = df.withColumn(f"_c{p}", _characters(F.col(f"_t{p}")))
+        df = _masked(df, p)
         return df.withColumn(f"_w{p}", F.array_distinct(F.split(f"_t{p}", " "))) if scorer == "weighted" else df
 
-    q, n = described(queries, "_q", "q"), stable(described(names, "name", "n"))
+    # both are read more than once, and no pushed-down filter shall describe them again
+    q, n = stable(described(queries, "_q", "q")), stable(described(names, "name", "n"))
     held = F.broadcast if is_broadcastable(n, max_rows) else (lambda d: d)
     lengths = n.groupBy(F.lit(0).alias("_one")).agg(F.collect_set("_ln").alias("_ls"))  # one row
 
     def reach(x):  # a name of this length can have enough characters in common
         return F.least(F.col("_lq"), x) + _EPS >= _needs(cutoff, scorer, F.col("_lq"), x)
     keyed = q.withColumn("_one", F.lit(0)).join(F.broadcast(lengths), "_one") \
-        .withColumn("_ln", F.explode(F.filter("_ls", reach))).drop("_ls", "_one")
-    told = lambda df: df.withColumn("_o", F.size(F.array_intersect("_cq", "_cn"))).withColumn(
-        "_sw", F.arrays_overlap("_wq", "_wn") if scorer == "weighted" else F.lit(False))
-    columns = ["_q", F.col("line").cast("long").alias("line"), "name", "_lq", "_ln", "_o", "_sw"]
-    enough = F.col("_o") + _EPS >= _needs(cutoff, scorer, F.col("_lq"), F.col("_ln"))
-    pairs = told(keyed.join(held(n), "_ln")).where(enough | F.col("_sw")).select(*columns)
+        .withColumn("_ln", F.explode(F.filter("_ls", reach))).drop("_ls", "_one") \
+        .withColumn("_least", _needs(cutoff, scorer, F.col("_lq"), F.col("_ln")))
+    columns = ["_q", F.col("line").cast("long").alias("line"), "name", "_lq", "_ln",
+               F.least("_lq", "_ln", _most_common()).alias("_o")]
+    pairs = keyed.join(held(n.drop("_wn") if scorer == "weighted" else n), "_ln") \
+        .where(_most_common() + _EPS >= F.col("_least")).select(*columns)
     if scorer == "blocks":
         return pairs
-    # a shared word may reach the cutoff at any length
+    # a shared word may reach the cutoff at any length; a pair is taken at its first one
+    met = _most_common() + _EPS >= _needs(cutoff, scorer, F.col("_lq"), F.col("_ln"))
     words = q.withColumn("_w", F.explode("_wq")).join(held(n.withColumn("_w", F.explode("_wn"))), "_w") \
-        .where(~reach(F.col("_ln"))).dropDuplicates(["_q", "line", "name"])
-    return pairs.union(told(words).select(*columns))
+        .where(~(reach(F.col("_ln")) & met) & (F.element_at(F.array_intersect("_wq", "_wn"), 1) == F.col("_w")))
+    return pairs.union(words.select(*columns))
 
 
 def best_pairs(pairs: DataFrame, cutoff: float, scorer: str) -> DataFrame:
@@ -189,9 +224,12 @@ def best_pairs(pairs: DataFrame, cutoff: float, scorer: str) -> DataFrame:
     def run(batches):
         best: dict[str, float] = {}
         for batch in batches:
-            q, names, la, lb, common, shared = (batch.column(c).to_pylist() for c in ("_q", "name", "_lq", "_ln", "_o", "_sw"))
-            most = [_most(*x) if scorer == "weighted" else 2 * x[2] / max(1, x[0] + x[1]) if x[0] + x[1] else 1.0
-                    for x in zip(la, lb, common, shared)]
+            q, names, la, lb, common = (batch.column(c).to_pylist() for c in ("_q", "name", "_lq", "_ln", "_o"))
+            if scorer == "weighted":
+                words = {x: set(x.lower().split()) for x in {*q, *names}}
+                most = [_most(a, b, c, not words[x].isdisjoint(words[y])) for x, y, a, b, c in zip(q, names, la, lb, common)]
+            else:
+                most = [2 * c / (a + b) if a + b else 1.0 for a, b, c in zip(la, lb, common)]
             kept, values = [], []
             for i in sorted(range(len(q)), key=most.__getitem__, reverse=True):
                 least = max(cutoff, best.get(q[i], 0.0))

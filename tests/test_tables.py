@@ -541,6 +541,41 @@ def test_similar_names_equal_all_pairs(spark, scorer, cutoff):
     assert wide is None or {r.p: (r.match_name, round(r.match_score, 9)) for r in wide.collect()} == got
 
 
+def test_characters_in_common_are_bounded_on_bits(spark):
+    """The join that meets every pair compares bits alone: its count is never
+    below the characters in common, and is that count for plain short names."""
+    from collections import Counter
+
+    from fieldmill.operators import similar
+    names = ["Nord AOK", "süd-west krankenkasse", "a" * 9, "Ärzte \U0001f600 Kasse", "zz1234567", "x", *_similar_names(7, 30)]
+    asked = ["zz7654321", "aaaa aaaa aaa", "kasse ärzte \u2028 \U0001f600", "0 " * 30 + "9", *_similar_names(8, 30)]
+    dim = spark.createDataFrame(list(enumerate(dict.fromkeys(names))), "line long, name string")
+    queries = spark.createDataFrame([(x,) for x in dict.fromkeys(asked)], "_q string")
+    for scorer in ("weighted", "blocks"):
+        form = (lambda x: " ".join(x.lower().split())) if scorer == "weighted" else (lambda x: x)
+        frame = similar.close_pairs(queries, dim, 0.0, scorer)
+        rows = frame.collect()
+        pairs = [(r._q, r.name) for r in rows]
+        assert len(set(pairs)) == len(pairs) == len(set(names)) * len(set(asked))
+        for r in rows:
+            a, b = Counter(form(r._q)), Counter(form(r.name))
+            exact = sum((a & b).values())
+            assert exact <= r._o <= min(r._lq, r._ln)
+            if all(c.isascii() and k <= similar.REPEATS for x in (a, b) for c, k in x.items()):
+                assert r._o == exact, (r._q, r.name)
+    plan = similar.close_pairs(queries, dim, 0.6, "blocks")._jdf.queryExecution().toString()
+    assert "bit_count" in plan and "array_intersect" not in plan
+
+
+def test_stretches_that_cannot_reach_are_not_searched(monkeypatch):
+    """The whole texts' common subsequence bounds every stretch."""
+    from fieldmill.operators import similar
+    called = []
+    monkeypatch.setattr(similar, "_stretch", lambda *x, f=similar._stretch: called.append(x) or f(*x))
+    assert similar.weighted("zz654321", "brand#12 large stadt34 weg", 0.6) < 0.6 and not called
+    assert similar.weighted("zz123456", "weg 12 brand 3456 stadt", 0.6) >= 0.6 - 1e-9 and called
+
+
 def test_common_subsequence_and_views():
     """The bit-parallel length equals the table's; the views by hand."""
     import random
